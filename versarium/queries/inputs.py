@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from versarium.session import load
+from versarium.session import load_text
 
 
 def marked_documents(spark, sf_dir):
@@ -15,5 +15,5 @@ def marked_documents(spark, sf_dir):
     body = F.replace(body, F.lit("\n"), mark)
     t = text(doc, ", ", body, " vgl. https://x.example/", source, " lib. IV n. 7 ",
              F.col("n_chars").cast("string"))
-    return load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars",
-                                                   t.alias("t"))
+    return load_text(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars",
+                                                        t.alias("t"))

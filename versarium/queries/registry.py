@@ -1,5 +1,7 @@
 """Named queries and their SQL twins."""
 
+from versarium.session import TEXT_KEYS, load, spread
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -16,11 +18,12 @@ def query(name, sql=None):
 
 def projected(query_name, table, keys, sql, /, **columns):
     """Register a plain projection: key columns plus named expressions."""
-    from versarium.session import load
 
     @query(query_name, sql)
     def run(spark, sf_dir):
+        made = [fn().alias(name) for name, fn in columns.items()]
         df = load(spark, sf_dir, table)
-        made = {k: v() for k, v in columns.items()}
-        return df.select(*keys, *[c.alias(n) for n, c in made.items()])
+        if table in TEXT_KEYS:
+            df = spread(df, *TEXT_KEYS[table])
+        return df.select(*keys, *made)
     return run

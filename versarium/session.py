@@ -52,3 +52,24 @@ def ensure_checkpoint_dir(spark):
 
 def load(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df, *keys):
+    """Give CPU-heavy text work one partition per core when the scan yields
+    fewer (a few small files). A large table keeps its scan partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
+
+
+def load_text(spark, sf_dir, table, *columns):
+    """A text table, pruned to the named columns and spread over the cores."""
+    keys = TEXT_KEYS[table]
+    df = load(spark, sf_dir, table)
+    if columns:
+        df = df.select(*columns)
+    return spread(df, *keys)
