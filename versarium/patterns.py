@@ -194,7 +194,7 @@ SENTENCE_GAP = Rx(r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])", re2=r"([.!?])\s+([A-ZÄÖÜ])
 CHAPTER_MARKERS = any_of([r"\n\s*Kapitel\s+\d+", r"\n\s*Kap\.\s+\d+", r"\n\s*\d+\.\s+[A-Z]",
                           r"\n\s*Brief\s+\d+", r"\n\s*Buch\s+\d+"])
 LEADING_NUMBER = Rx(r"\A(\d+)\.?\s*(.*)\z")
-NUMBERED_FRAGMENT = Rx(r"(\A|\s)(\d+\))")
+NUMBERED_FRAGMENT = Rx(r"(\A|\s)(\d+\))", "\u0001$2")
 QUOTES = Rx(r"„[^“]+“|«[^»]+»|»[^«]+«|“[^”]+”|‚[^’]+’|\"[^\"]+\"|'[^']+'")
 FOOTNOTE_SLOT = Rx(r"\{FN([^}]+)\}")
 TOKENS = Rx(r"\s+|[.,;:!?\"'()\[\]{}«»„”]|[^\s.,;:!?\"'()\[\]{}«»„”]+")

@@ -34,6 +34,7 @@ def local_session(cores="8", app_name="versarium-local"):
         f"local[{cores}]",
         spark__sql__shuffle__partitions=str(cores),
         spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
         spark__driver__memory="12g",
         spark__driver__host="127.0.0.1",
     )
