@@ -205,8 +205,11 @@ def book_aliases():
 
 
 def constant(spark, rows, schema):
-    """A literal table. Always a constant of this module, so its size is fixed."""
-    return spark.createDataFrame(rows, schema)
+    """A literal table. Always a constant of this module, so its size is fixed
+    and known to the optimizer."""
+    names = [part.split()[0] for part in schema.split(",")]
+    typed = [f"CAST({name} AS {part.split()[1]}) AS {name}" for name, part in zip(names, schema.split(","))]
+    return spark.sql(f"SELECT {', '.join(typed)} FROM {sql_values(rows, 'c', names)}")
 
 
 def books_df(spark):
