@@ -339,8 +339,10 @@ def page_metadata(df, keys, url="url"):
     """Author, title and work id of a page."""
     nodes = F.col("nodes")
     def pick(*tests):
-        found = [F.get(F.filter(nodes, lambda n, t=t: t(n) & (F.length(n["text"]) > 3)), 0)["text"] for t in tests]
-        return F.coalesce(*found)
+        def first(test):
+            hits = F.filter(nodes, lambda n: test(n) & (F.length(n["text"]) > 3))
+            return F.get(hits, 0)["text"]
+        return F.coalesce(*[first(test) for test in tests])
     def tag(name):
         return lambda n: n["tag"] == name
     def cls(name):

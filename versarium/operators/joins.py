@@ -79,11 +79,13 @@ def book_lookup(query):
     """Books whose name equals, contains or is contained in the query, or that
     an abbreviation inside the query stands for."""
     low = F.lower(query)
-    names = F.array(*[F.struct(F.lit(b[2]).alias("book"), F.lit(b[2].lower()).alias("low")) for b in dims.books()])
-    parts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in _name_parts().items()])
-    meant = F.filter(parts, lambda p: F.contains(low, p["a"]))
-    hits = F.filter(names, lambda b: F.contains(b["low"], low) | F.contains(low, b["low"])
-                    | F.exists(meant, lambda p: F.contains(b["low"], p["n"])))
+    rows = []
+    for _, _, display, _, _ in dims.books():
+        short = [a for a, n in _name_parts().items() if n in display.lower()]
+        rows.append(F.struct(F.lit(display).alias("book"), F.lit(display.lower()).alias("low"),
+                             F.array(*[F.lit(a) for a in short]).alias("short")))
+    hits = F.filter(F.array(*rows), lambda b: F.contains(b["low"], low) | F.contains(low, b["low"])
+                    | F.exists(b["short"], lambda a: F.contains(low, a)))
     return F.transform(hits, lambda b: b["book"])
 
 
@@ -93,15 +95,25 @@ def label_match(name, label, slack=20):
     return (a == b) | (F.contains(b, a) & (F.length(label) < F.length(name) + slack))
 
 
-def longest_prefix(query, books):
+def longest_prefix(df, keys, query, books):
     """Book with the longest label that starts the query, and the chapter after
-    it. ``books`` are (abbr, labels, chapters) constants."""
-    low = F.lower(F.trim(query))
-    table = F.array(*[F.struct(F.lit(len(label)).alias("n"), F.lit(-i).alias("tie"), F.lit(label.lower()).alias("label"),
-                               F.lit(abbr).alias("abbr"), F.lit(chapters).alias("chapters"))
-                      for i, (abbr, labels, chapters) in enumerate(books) for label in labels])
-    best = F.array_max(F.filter(table, lambda e: F.startswith(low, e["label"])))
-    rest = F.trim(F.substring(low, best["n"] + 1, F.length(low)))
+    it. ``books`` are (abbr, labels, chapters) constants; they are indexed by
+    label length, so a row makes one map lookup per length."""
+    entries = {}
+    for abbr, labels, chapters in books:
+        for label in labels:
+            entries.setdefault(label.lower(), (abbr, chapters))
+    sizes = sorted({len(label) for label in entries}, reverse=True)
+    spark = df.sparkSession
+    table = dims.constant(spark, [(label, abbr, n) for label, (abbr, n) in entries.items()],
+                          "label string, abbr string, chapters int")
+    low = F.lower(F.trim(F.col(query)))
+    tries = F.array(*[F.struct(F.lit(n).alias("n"), F.substring(low, 1, n).alias("label")) for n in sizes])
+    tries = F.filter(tries, lambda t: F.length(t["label"]) == t["n"])
+    found = (df.select(*keys, low.alias("q_"), F.inline(tries)).join(F.broadcast(table), "label")
+             .groupBy(*keys).agg(F.max(F.struct("n", "abbr", "chapters", "q_")).alias("m")))
+    rest = F.trim(F.substring(F.col("m.q_"), F.col("m.n") + 1, F.length("m.q_")))
     number = rest.try_cast("int")
-    chapter = F.when(rest == "", 1).when(F.rlike(rest, F.lit("^[0-9]+$")) & number.between(1, best["chapters"]), number)
-    return F.struct(best["abbr"].alias("abbr"), chapter.alias("chapter"))
+    fits = F.rlike(rest, F.lit("^[0-9]+$")) & number.between(1, F.col("m.chapters"))
+    return found.select(*keys, F.col("m.abbr").alias("abbr"),
+                        F.when(rest == "", 1).when(fits, number).alias("chapter"))

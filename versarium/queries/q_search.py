@@ -31,7 +31,7 @@ def multi_pattern_or(spark, sf_dir):
 def substring_join(spark, sf_dir):
     docs = load_text(spark, sf_dir, "documents", "doc_id", "text")
     needles = load(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"^[^.]*", 0).alias("needle"))
-    return X.substring_join(docs, "text", needles, "needle").join(needles, "needle").select("doc_id", "item_id")
+    return X.substring_join(docs, "doc_id", "text", needles, "needle").join(needles, "needle").select("doc_id", "item_id")
 
 
 @query("substring_join_seeded", """SELECT doc_id, item_id FROM documents d JOIN (SELECT item_id,
@@ -39,7 +39,7 @@ def substring_join(spark, sf_dir):
 def substring_join_seeded(spark, sf_dir):
     docs = load_text(spark, sf_dir, "documents", "doc_id", "text")
     needles = load(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"^[^.]*", 0).alias("needle"))
-    return X.seeded_join(docs, "text", needles, "needle").join(needles, "needle").select("doc_id", "item_id")
+    return X.seeded_join(docs, "doc_id", "text", needles, "needle").join(needles, "needle").select("doc_id", "item_id")
 
 
 @query("variant_match", """SELECT doc_id, min(item_id) AS rank FROM documents JOIN (SELECT item_id, regexp_extract(text, '^[^.]*', 0) AS needle
@@ -89,7 +89,7 @@ _SMART = f"""WITH {_CITING}, {_VERSES}, q AS (SELECT o_orderkey, display, c, s,
       {dims.sql_values(sorted(X.J._name_parts().items()), 'pt', ['a', 'n'])} WHERE contains(lower(display), pt.a) AND contains(b.low, pt.n))))
   SELECT o_orderkey, 'chapter' AS type, book || ' ' || c AS title, NULL::VARCHAR AS subtitle FROM named WHERE form = 1
   UNION ALL SELECT o_orderkey, 'verse', display || ' ' || chapter || ':' || verse, text FROM named JOIN verses v ON form = 0 AND
-    v.translation = 'schoeningh' AND v.display = book AND v.chapter = c AND verse BETWEEN s AND e
+    v.translation = 'schoeningh' AND v.display = named.book AND v.chapter = c AND verse BETWEEN s AND e
   UNION ALL SELECT o_orderkey, 'book', book, NULL FROM asked JOIN {dims.sql_values([(b[2], b[2].lower()) for b in dims.books()], 'b', ['book', 'low'])} ON contains(b.low, lower(t))
   UNION ALL SELECT o_orderkey, 'verse', display || ' ' || chapter || ':' || verse, text FROM (SELECT o_orderkey, v.*, row_number() OVER
     (PARTITION BY o_orderkey ORDER BY v.book, v.chapter, v.verse) AS rn FROM asked JOIN verses v ON form = 2 AND v.translation = 'schoeningh' AND contains(lower(v.text), t)) WHERE rn <= 10"""
