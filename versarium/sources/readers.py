@@ -169,13 +169,15 @@ FEED_XML = "title string, link string, category array<string>, enclosure struct<
 
 
 def feed_items(spark, path):
-    """Items of a feed; CDATA and entities are decoded by the XML reader."""
+    """Items of a feed, CDATA and entities decoded."""
     items = spark.read.format("xml").option("rowTag", "item").schema(FEED_XML).load(path)
-    return items.select(F.trim("title").alias("title"), F.trim("link").alias("link"),
-                        F.col("category").alias("categories"), F.col("enclosure._url").alias("audio"),
-                        F.coalesce(F.try_to_timestamp("pubDate", F.lit("EEE, dd MMM yyyy HH:mm:ss Z")),
-                                   F.try_to_timestamp(F.substring("pubDate", 6, 40), F.lit("dd MMM yyyy HH:mm:ss Z")))
-                        .alias("published"))
+    # the weekday in front carries no information and is not parsed
+    stamp = F.regexp_extract("pubDate", r"([0-9]{1,2} [A-Za-z]{3} .*)$", 1)
+    # entities inside CDATA are left for us to decode
+    return items.select(
+        F.trim(T.decode_entities(F.col("title"))).alias("title"), F.trim(T.decode_entities(F.col("link"))).alias("link"),
+        F.transform("category", T.decode_entities).alias("categories"), F.col("enclosure._url").alias("audio"),
+        F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss Z")).alias("published"))
 
 
 BOOK_DIM = "abbr string, short string, long string, osis string, type string, nt boolean, chapters int"
