@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from versarium import patterns as P
 from versarium.functions.classify import contains_any
-from versarium.functions.text import blank_null, trim_space, word_count, words
+from versarium.functions.text import blank_null, let, trim_space, word_count, words
 
 
 def valid_text(c, min_chars=50, min_words=15):
     """Substantial running text: long enough, not digits, not a label line,
     not a list of short tokens."""
-    t = trim_space(blank_null(c))
-    pieces = words(t)
-    n_words = F.size(pieces)
-    n_short = F.size(F.filter(pieces, lambda w: F.length(w) <= 3))
-    n_digits = F.regexp_count(t, F.lit(r"\p{Nd}"))
-    shouting = (F.upper(t) == t) & (F.lower(t) != t) & (n_words < 20)
-    return ((F.length(t) >= min_chars) & (n_words >= min_words) & P.HAS_WORD.found(t) & ~shouting
-            & ~P.METADATA_START.found(t) & (n_digits <= 0.3 * F.length(t))
-            & (n_short <= 0.7 * n_words))
+    def check(m):
+        t, pieces = m["t"], m["w"]
+        n_words = F.size(pieces)
+        n_short = F.size(F.filter(pieces, lambda w: F.length(w) <= 3))
+        n_digits = F.regexp_count(t, F.lit(r"\p{Nd}"))
+        shouting = (n_words < 20) & (F.upper(t) == t) & (F.lower(t) != t)
+        return ((F.length(t) >= min_chars) & (n_words >= min_words) & P.HAS_WORD.found(t) & ~shouting
+                & ~P.METADATA_START.found(t) & (n_digits <= 0.3 * F.length(t)) & (n_short <= 0.7 * n_words))
+    trimmed = trim_space(blank_null(c))
+    return let(let(trimmed, lambda t: F.struct(t.alias("t"), words(t).alias("w"))), check)
 
 
 def min_words(c, n=15):

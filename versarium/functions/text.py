@@ -15,6 +15,12 @@ def blank_null(c):
     return F.coalesce(c, F.lit(""))
 
 
+def let(c, body):
+    """body(value) with the value computed once. A column used twice in an
+    expression is otherwise computed twice where Spark does not share it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def trim_space(c):
     """Trim every Unicode space, not only U+0020."""
     return P.EDGE_SPACE.sub(c)
@@ -112,12 +118,14 @@ def drop_name_lists(c, variant="titles"):
             titled = (n <= 3) & P.NAME_TITLES.found(line)
             pair = (n == 2) & P.TWO_NAMES.found(trim_space(line))
             return ~(titled | pair)
-        return F.when(P.PRIEST_OR_DEACON.found(c), _keep_lines(c, keep)).otherwise(c)
+        return let(c, lambda t: F.when(P.PRIEST_OR_DEACON.found(t), _keep_lines(t, keep)).otherwise(t))
 
     def short(line):
         return ~(P.PRIEST_OR_DEACON.found(line) & (word_count(line) < 10))
-    both = F.contains(c, F.lit("Priester")) & F.contains(c, F.lit("Diakon"))
-    return F.when(both, _keep_lines(c, short)).otherwise(c)
+
+    def named(t):
+        return F.contains(t, F.lit("Priester")) & F.contains(t, F.lit("Diakon"))
+    return let(c, lambda t: F.when(named(t), _keep_lines(t, short)).otherwise(t))
 
 
 def trim_artifacts(c):
@@ -191,10 +199,12 @@ def fold_diacritics(c, lower=True):
     """Diacritics off by table (Latin, Greek, Cyrillic), JVM-side."""
     c = F.translate(c, "".join(_SINGLE), "".join(_SINGLE.values()))
     c = F.regexp_replace(c, r"\p{Mn}", "")
-    spelled = c
-    for char, base in _SEVERAL.items():
-        spelled = F.replace(spelled, F.lit(char), F.lit(base))
-    c = F.when(F.rlike(c, F.lit(_SEVERAL_CLASS)), spelled).otherwise(c)
+
+    def spell(t):
+        for char, base in _SEVERAL.items():
+            t = F.replace(t, F.lit(char), F.lit(base))
+        return t
+    c = let(c, lambda t: F.when(F.rlike(t, F.lit(_SEVERAL_CLASS)), spell(t)).otherwise(t))
     return F.lower(c) if lower else c
 
 
@@ -266,7 +276,7 @@ def describe_name(c):
 
 
 def snippet(c, limit=80):
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
+    return let(c, lambda t: F.when(F.length(t) > limit, F.concat(F.substring(t, 1, limit), F.lit("..."))).otherwise(t))
 
 
 def ref_norm(c):
@@ -296,12 +306,13 @@ def display_ref(c):
     c = F.regexp_replace(c, r"^(Ps\s+\d+)\s*\([^)]*\)", "$1")
     c = F.translate(c, "–—−", "---")
     c = F.regexp_replace(c, r"\su\.\s*", ".")
-    head = F.regexp_extract(c, r"^([^,]*,\s*)", 1)
-    list_part = F.regexp_extract(c, r"^[^,]*,\s*([^,]+)", 1)
-    tail = F.substring(c, F.length(head) + F.length(list_part) + 1, F.length(c))
-    cleaned = F.concat(head, F.regexp_replace(list_part, "[a-zA-Z]", ""), tail)
-    c = F.when(F.contains(c, F.lit(",")), cleaned).otherwise(c)
-    return F.trim(F.regexp_replace(c, r"\.{2,}", "."))
+
+    def cleaned(t):
+        head = F.regexp_extract(t, r"^([^,]*,\s*)", 1)
+        verses = F.regexp_extract(t, r"^[^,]*,\s*([^,]+)", 1)
+        tail = F.substring(t, F.length(head) + F.length(verses) + 1, F.length(t))
+        return F.when(F.contains(t, F.lit(",")), F.concat(head, F.regexp_replace(verses, "[a-zA-Z]", ""), tail)).otherwise(t)
+    return F.trim(F.regexp_replace(let(c, cleaned), r"\.{2,}", "."))
 
 
 def truncate_text(c, limit=6000):

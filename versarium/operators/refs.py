@@ -29,7 +29,7 @@ NUMBERS = r"\s*([0-9]{1,3})\s*[,.:]\s*([0-9]{1,3})(?:\s*[–-]\s*([0-9]{1,3}))?"
 # A token does not start inside a word or number. Tokens are matched as they
 # are written: a lower-case one would name no book and drop out later.
 CITATION = r"(?<![\p{L}\p{N}])(?=[1-3A-ZÖvV])(?:(?i:vgl\.)\s*)?(?:" + TOKEN + ")" + NUMBERS
-WALK = "(?s)(.*?)(" + CITATION + ")"
+CUT = "\ue001"
 LABEL = r"^(?:(?i:vgl\.)\s*)?(.+?)" + NUMBERS + "$"
 
 
@@ -45,20 +45,17 @@ def alias_df(spark):
 
 def find_refs(df, keys, text):
     """Every citation in free text with its offset and label."""
-    c = F.col(text)
-    found = F.arrays_zip(F.regexp_extract_all(c, F.lit(WALK), F.lit(1)).alias("lead"),
-                         F.regexp_extract_all(c, F.lit(WALK), F.lit(2)).alias("label"))
-    # the walk costs a pass per start; only texts with a citation take it
-    found = F.when(F.rlike(c, F.lit(CITATION)), found)
+    # one pass of the pattern fences every label; after the split, labels stand
+    # at the odd places and the lengths before them add up to their offset
+    fenced = F.regexp_replace(F.translate(F.col(text), CUT, " "), "(" + CITATION + ")", CUT + "$1" + CUT)
+    parts = df.select(*keys, fenced.alias("f_")).where(F.contains("f_", F.lit(CUT)))
     hit = "struct<at:int,label:string>"
-    placed = F.aggregate(
-        found, F.struct(F.array().cast(f"array<{hit}>").alias("hits"), F.lit(0).alias("end")),
-        lambda acc, x: F.struct(
-            F.concat(acc["hits"], F.array(F.struct((acc["end"] + F.length(x["lead"])).alias("at"),
-                                                   x["label"].alias("label")))).alias("hits"),
-            (acc["end"] + F.length(x["lead"]) + F.length(x["label"])).alias("end")),
+    start = F.struct(F.array().cast(f"array<{hit}>").alias("hits"), F.lit(0).alias("end"), F.lit(False).alias("odd"))
+    placed = F.aggregate(F.split("f_", CUT), start, lambda acc, x: F.struct(
+        F.when(acc["odd"], F.concat(acc["hits"], F.array(F.struct(acc["end"].alias("at"), x.alias("label")))))
+        .otherwise(acc["hits"]).alias("hits"), (acc["end"] + F.length(x)).alias("end"), (~acc["odd"]).alias("odd")),
         lambda acc: acc["hits"])
-    rows = df.select(*keys, F.inline(placed))
+    rows = parts.select(*keys, F.inline(placed))
     def group(i):
         return F.regexp_extract("label", LABEL, i)
     rows = rows.withColumns({

@@ -132,24 +132,36 @@ def merge_rows(df, by, order, text, limit=200, hot_rows=O.HOT_ROWS, ranges=O.RAN
     rows = rows.withColumns({
         "len_": F.length("t_"), "starts_": C.section_start(F.col("t_")),
         "ends_": F.endswith("t_", F.lit("."))})
-    narrow = rows.drop("t_")
-    hot = O._hot_groups(narrow, by, order, hot_rows)
-    split = O._ranged(narrow, hot, by, order, ranges, "left")
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                           for f in narrow.select(*by).schema.fields)
-    order_type = narrow.schema[order].dataType.simpleString()
-
-    def end_states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        state = np.arange(limit + 2)
-        for length, starts, ends in zip(pdf["len_"], pdf["starts_"], pdf["ends_"]):
-            base = np.zeros_like(state) if starts else state
-            state = np.minimum(np.where(base == 0, length, base + 1 + length), limit + 1)
-            if ends:
-                state = np.where(state > limit, 0, state)
-        out = pdf[[*by, "range_"]].head(1).copy()
-        out["end_"] = [state.tolist()]
-        return out
+    hot = O._hot_groups(rows, by, order, hot_rows)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+    order_type = rows.schema[order].dataType.simpleString()
+    group = [*by, "range_"]
+
+    def key_of(values):
+        # a missing key reads as NaN, which would never equal itself
+        return tuple(None if v != v else v for v in values)
+
+    def in_order(frame):
+        # whole groups per partition, each in order, streamed through the task
+        return frame.repartition(*group).sortWithinPartitions(*group, order)
+
+    def end_states(batches):
+        key, state = None, None
+        for pdf in batches:
+            done = []
+            for row in pdf[[*group, "len_", "starts_", "ends_"]].itertuples(index=False, name=None):
+                length, starts, ends = row[-3:]
+                if key_of(row[:-3]) != key:
+                    if key is not None:
+                        done.append((*key, state.tolist()))
+                    key, state = key_of(row[:-3]), np.arange(limit + 2)
+                base = np.zeros_like(state) if starts else state
+                state = np.minimum(np.where(base == 0, length, base + 1 + length), limit + 1)
+                if ends:
+                    state = np.where(state > limit, 0, state)
+            yield pd.DataFrame(done, columns=[*group, "end_"])
+        if key is not None:
+            yield pd.DataFrame([(*key, state.tolist())], columns=[*group, "end_"])
 
     def start_states(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("range_")
@@ -157,37 +169,47 @@ def merge_rows(df, by, order, text, limit=200, hot_rows=O.HOT_ROWS, ranges=O.RAN
         for end in pdf["end_"]:
             starts.append(state)
             state = int(end[state])
-        return pdf[[*by, "range_"]].assign(start_=starts)
-
-    cut = O._ranged(narrow, hot, by, order, ranges, "inner")
-    ends = cut.groupBy(*by, "range_").applyInPandas(
-        end_states, f"{key_schema}, range_ int, end_ array<int>")
-    # one row per range of a hot work: ranges * rows / hot_rows at most
+        return pdf[group].assign(start_=starts)
+
+    def paragraphs(batches):
+        key, state, first = None, 0, None
+        for pdf in batches:
+            marks = []
+            columns = pdf[[*group, order, "start_", "len_", "starts_", "ends_"]]
+            for row in columns.itertuples(index=False, name=None):
+                at, start, length, starts, ends = row[-5:]
+                if key_of(row[:-5]) != key:
+                    key, state, first = key_of(row[:-5]), start, None
+                if starts or state == 0:
+                    state, first = length, at
+                else:
+                    state += 1 + length
+                marks.append(first)
+                if ends and state > limit:
+                    state = 0
+            out = pdf[[*group, order, "t_"]].copy()
+            out["paragraph"] = pd.Series(marks, index=out.index, dtype="object")
+            yield out
+
+    cut = O._ranged(rows.drop("t_"), hot, by, order, ranges, "inner")
+    ends = in_order(cut).mapInPandas(end_states, f"{key_schema}, range_ int, end_ array<int>")
+    # one row per range of a hot work: (ranges + 1) * rows / hot_rows at most
     begin = ends.groupBy(*by).applyInPandas(start_states, f"{key_schema}, range_ int, start_ int")
-    same = [F.col(f"split.{k}").eqNullSafe(F.col(f"begin.{k}")) for k in by]
-    ready = (split.alias("split")
-             .join(F.broadcast(begin).alias("begin"),
-                   same + [F.col("split.range_") == F.col("begin.range_")], "left")
-             .select("split.*", F.coalesce("begin.start_", F.lit(0)).alias("start_")))
-
-    def breaks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        state, marks = int(pdf["start_"].iloc[0]), []
-        for length, starts, ends in zip(pdf["len_"], pdf["starts_"], pdf["ends_"]):
-            base = 0 if starts else state
-            marks.append(base == 0)
-            state = length if base == 0 else base + 1 + length
-            if ends and state > limit:
-                state = 0
-        kept = pdf[[*by, order]].copy()
-        kept["first_"] = [at if mark else None for at, mark in zip(pdf[order].tolist(), marks)]
-        return kept
-
-    marked = ready.groupBy(*by, "range_").applyInPandas(
-        breaks, f"{key_schema}, `{order}` {order_type}, first_ {order_type}")
-    named = O.carry_forward(marked, by, order, "first_", "paragraph", hot_rows=hot_rows, ranges=ranges)
-    placed = named.select(*by, order, "paragraph").join(rows.select(*by, order, "t_"), [*by, order])
-    return (placed.groupBy(*by, "paragraph")
+    renamed = begin.select(*[F.col(k).alias(f"b_{k}") for k in group], "start_")
+    same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in group]
+
+    def placed(how):
+        split = O._ranged(rows, hot, by, order, ranges, how)
+        ready = split.join(F.broadcast(renamed), same, "left").drop(*[f"b_{k}" for k in group])
+        ready = ready.withColumn("start_", F.coalesce("start_", F.lit(0)))
+        return in_order(ready).mapInPandas(
+            paragraphs, f"{key_schema}, range_ int, `{order}` {order_type}, t_ string, paragraph {order_type}")
+
+    # a paragraph that began in an earlier range of a hot work
+    opened = placed("inner").groupBy(*group).agg(F.max("paragraph").alias("last_"))
+    named = O._with_earlier(placed("left"), by, opened, lambda w: F.last("last_", ignorenulls=True).over(w))
+    named = named.withColumn("paragraph", F.coalesce("paragraph", "before_"))
+    return (named.groupBy(*by, "paragraph")
             .agg(F.sort_array(F.collect_list(F.struct(order, "t_"))).alias("rows_"))
             .select(*by, "paragraph", F.array_join(F.transform("rows_", lambda r: r["t_"]), " ")
                     .alias("text"), F.size("rows_").alias("n_rows")))
@@ -327,15 +349,14 @@ def reading_slots(first, psalm, second, gospel):
 # ---- office pages --------------------------------------------------------------------
 def office_psalms(df, key, html, before=300, after=2000):
     """Psalms with the antiphon in the text before and the verses after."""
-    walk = F.lit(r"(?s)(.*?)" + P.PSALM_HEADER.java)
-    found = F.arrays_zip(F.regexp_extract_all(html, walk, F.lit(0)).alias("all"),
-                         F.regexp_extract_all(html, walk, F.lit(1)).alias("lead"),
-                         F.regexp_extract_all(html, walk, F.lit(2)).alias("number"))
+    # headers fenced in one pass; they stand at the odd places of the split
+    fenced = F.regexp_replace(F.translate(F.col(html), CUT, " "), "(" + P.PSALM_HEADER.java + ")", CUT + "$1" + CUT)
     empty = F.array().cast("array<struct<number:string,at:int>>")
-    at = F.aggregate(found, F.struct(empty.alias("hits"), F.lit(0).alias("end")), lambda acc, x: F.struct(
-        F.concat(acc["hits"], F.array(F.struct(x["number"].alias("number"),
-                                               (acc["end"] + F.length(x["lead"])).alias("at")))).alias("hits"),
-        (acc["end"] + F.length(x["all"])).alias("end")), lambda acc: acc["hits"])
+    start = F.struct(empty.alias("hits"), F.lit(0).alias("end"), F.lit(False).alias("odd"))
+    at = F.aggregate(F.split(fenced, CUT), start, lambda acc, x: F.struct(
+        F.when(acc["odd"], F.concat(acc["hits"], F.array(F.struct(P.PSALM_HEADER.group(x, 1).alias("number"), acc["end"].alias("at")))))
+        .otherwise(acc["hits"]).alias("hits"), (acc["end"] + F.length(x)).alias("end"), (~acc["odd"]).alias("odd")),
+        lambda acc: acc["hits"])
     rows = df.select(key, F.col(html).alias("h_"), F.posexplode(at).alias("pos", "p"))
     begin = F.greatest(F.col("p.at") - before, F.lit(0))
     lead = F.substring(F.col("h_"), begin + 1, F.col("p.at") - begin)

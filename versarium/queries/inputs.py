@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from versarium.session import load, load_text
+from versarium.session import load, load_text, spread
 
 
 def marked_documents(spark, sf_dir):
@@ -38,7 +38,7 @@ def verses(spark, sf_dir):
 def citing(spark, sf_dir):
     """Orders with the parts of a reference drawn from their keys."""
     from versarium import dims
-    orders = load(spark, sf_dir, "orders").select(
+    orders = spread(load(spark, sf_dir, "orders"), "o_orderkey").select(
         "o_orderkey", F.pmod("o_custkey", F.lit(73)).cast("int").alias("book_ix"),
         (F.pmod("o_orderkey", F.lit(29)) + 1).cast("int").alias("c"),
         (F.pmod("o_custkey", F.lit(20)) + 1).cast("int").alias("s"),
