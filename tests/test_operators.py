@@ -27,7 +27,7 @@ def skewed(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.7 else f"g{rng.randrange(9)}", rng.choice([rng.randrange(50), rng.randrange(10**6)]), i,
              None if rng.random() < 0.8 else i) for i in range(600)]
-    rows += [(None, 3, 1000, None), (None, 2, 1001, 5)]
+    rows += [(None, 3, 1000, None), (None, 2, 1001, 5), ("hot", None, 1002, 7), ("hot", None, 1003, None)]
     return rows, spark.createDataFrame(rows, "g string, o int, t int, v int").repartition(5)
 
 
@@ -37,7 +37,7 @@ def test_number_and_carry_split_like_one_window(skewed, hot_rows, ranges):
     numbers, carried = {}, {}
     for g in {r[0] for r in rows}:
         last = None
-        for n, (_, o, t, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1):
+        for n, (_, o, t, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2])), 1):
             last = v if v is not None else last
             numbers[t], carried[t] = n, last
     got = O.number_rows(df, ["g"], "o", "n", ["t"], hot_rows, ranges)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from versarium import dims
 from versarium import patterns as P
-from versarium.functions.text import (blank_null, collapse_ws, fold_diacritics, nonempty,
+from versarium.functions.text import (blank_null, collapse_ws, fold_diacritics, let, nonempty,
                                       trim_space)
 
 
@@ -58,7 +58,7 @@ def hour_band(ts):
 def _first_stem(c, stems):
     """Value of the first stem, in list order, that the text contains."""
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in stems])
-    return F.get(F.filter(table, lambda s: F.contains(c, s["k"])), 0)["v"]
+    return let(c, lambda t: F.get(F.filter(table, lambda s: F.contains(t, s["k"])), 0))["v"]
 
 
 def author_by_substring(url, title):
@@ -70,16 +70,17 @@ def author_by_substring(url, title):
 
 
 def contains_any(c, values):
-    return F.exists(F.array(*[F.lit(v) for v in values]), lambda v: F.contains(c, v))
+    return let(c, lambda t: F.exists(F.array(*[F.lit(v) for v in values]), lambda v: F.contains(t, v)))
 
 
 def section_role(heading):
-    folded = fold_diacritics(blank_null(heading))
-    out = None
-    for role, keywords in P.SECTION_ROLES:
-        hit = contains_any(folded, keywords)
-        out = F.when(hit, role) if out is None else out.when(hit, role)
-    return out.otherwise("main")
+    def role_of(folded):
+        out = None
+        for role, keywords in P.SECTION_ROLES:
+            hit = contains_any(folded, keywords)
+            out = F.when(hit, role) if out is None else out.when(hit, role)
+        return out.otherwise("main")
+    return let(fold_diacritics(blank_null(heading)), role_of)
 
 
 def looks_like_intro(c):
@@ -114,8 +115,7 @@ def section_start(c):
 
 def chapter_header(c):
     """Chapter number of a header line, else null."""
-    bare = trim_space(c)
-    return F.coalesce(*[nonempty(rx.group(bare, 1)) for rx in P.CHAPTER_HEADER])
+    return let(trim_space(c), lambda t: F.coalesce(*[nonempty(rx.group(t, 1)) for rx in P.CHAPTER_HEADER]))
 
 
 def _distinct(rx, c):

@@ -78,15 +78,15 @@ def _name_parts():
 def book_lookup(query):
     """Books whose name equals, contains or is contained in the query, or that
     an abbreviation inside the query stands for."""
-    low = F.lower(query)
     rows = []
     for _, _, display, _, _ in dims.books():
         short = [a for a, n in _name_parts().items() if n in display.lower()]
         rows.append(F.struct(F.lit(display).alias("book"), F.lit(display.lower()).alias("low"),
                              F.array(*[F.lit(a) for a in short]).alias("short")))
-    hits = F.filter(F.array(*rows), lambda b: F.contains(b["low"], low) | F.contains(low, b["low"])
-                    | F.exists(b["short"], lambda a: F.contains(low, a)))
-    return F.transform(hits, lambda b: b["book"])
+    def hits(low):
+        return F.filter(F.array(*rows), lambda b: F.contains(b["low"], low) | F.contains(low, b["low"])
+                        | F.exists(b["short"], lambda a: F.contains(low, a)))
+    return F.transform(T.let(F.lower(query), hits), lambda b: b["book"])
 
 
 def label_match(name, label, slack=20):

@@ -17,7 +17,7 @@ def _grouped(df, by):
     return (df, list(by)) if by else (df.withColumn("one_", F.lit(1)), ["one_"])
 
 
-def _hot_groups(df, by, order, hot_rows):
+def hot_groups(df, by, order, hot_rows):
     value = F.col(order).cast("double")
     hot = (df.groupBy(*by)
            .agg(F.count(F.lit(1)).alias("n_"), F.min(value).alias("lo_"), F.max(value).alias("hi_"))
@@ -30,7 +30,8 @@ def _ranged(df, hot, by, order, ranges, how):
     same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in by]
     share = (F.col(order).cast("double") - F.col("lo_")) / (F.col("hi_") - F.col("lo_") + 1)
     # rows without an order value sort first, as in the windows
-    place = F.coalesce(F.least(F.lit(ranges), 1 + F.floor(share * ranges)), F.lit(0))
+    place = F.when(F.col(order).isNull(), 0).otherwise(
+        F.greatest(F.lit(1), F.least(F.lit(ranges), 1 + F.floor(share * ranges))))
     joined = df.join(F.broadcast(hot), same, how)
     return (joined.withColumn("range_", F.when(F.col("n_").isNull(), 0).otherwise(place).cast("int"))
             .drop("n_", "lo_", "hi_", *[f"hot_{k}" for k in by]))
@@ -48,10 +49,17 @@ def _with_earlier(split, by, totals, earlier):
             .drop("b_range_", *[f"b_{k}" for k in by]))
 
 
-def number_rows(df, by, order, out="rn", ties=(), hot_rows=HOT_ROWS, ranges=RANGES):
-    """1-based number of a row within its group, or in the whole table."""
+def number_rows(df, by, order, out="rn", ties=(), hot_rows=HOT_ROWS, ranges=RANGES, hot=None):
+    """1-based number of a row within its group, or in the whole table.
+
+    hot_rows=None is for groups of known small size, such as the parts of one
+    page: a plain window. ``hot`` takes a hot-group table made by hot_groups()
+    from a cheaper frame with the same groups and order values.
+    """
+    if hot_rows is None:
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(order, *ties)))
     df, by = _grouped(df, by)
-    hot = _hot_groups(df, by, order, hot_rows)
+    hot = hot_groups(df, by, order, hot_rows) if hot is None else hot
     local = F.row_number().over(W.partitionBy(*by, "range_").orderBy(order, *ties))
     split = _ranged(df, hot, by, order, ranges, "left").withColumn("local_", local)
     totals = (_ranged(df.select(*by, order), hot, by, order, ranges, "inner")
@@ -61,10 +69,13 @@ def number_rows(df, by, order, out="rn", ties=(), hot_rows=HOT_ROWS, ranges=RANG
     return joined.withColumn(out, number).drop("local_", "before_", "range_", "one_")
 
 
-def carry_forward(df, by, order, value, out, ties=(), hot_rows=HOT_ROWS, ranges=RANGES):
+def carry_forward(df, by, order, value, out, ties=(), hot_rows=HOT_ROWS, ranges=RANGES, hot=None):
     """Last non-null value of the group up to and including the row."""
+    if hot_rows is None:
+        plain = W.partitionBy(*by).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(plain))
     df, by = _grouped(df, by)
-    hot = _hot_groups(df, by, order, hot_rows)
+    hot = hot_groups(df, by, order, hot_rows) if hot is None else hot
     w = (W.partitionBy(*by, "range_").orderBy(order, *ties)
          .rowsBetween(W.unboundedPreceding, W.currentRow))
     local = F.last(value, ignorenulls=True).over(w)

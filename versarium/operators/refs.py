@@ -146,7 +146,7 @@ def abbrev_variants(book, chapter, verse):
     ch, v = chapter.cast("string"), verse.cast("string")
     table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n.lower()).alias("n")) for a, n in dims.SEARCH_NAMES])
     low = F.lower(book)
-    hits = F.filter(table, lambda e: F.contains(e["n"], low))
+    hits = T.let(low, lambda t: F.filter(table, lambda e: F.contains(e["n"], t)))
     def forms(name):
         return F.array(F.concat(name, F.lit(" "), ch, F.lit(":"), v), F.concat(name, F.lit(" "), ch, F.lit(" "), v))
     bare = F.array(F.concat(ch, F.lit(":"), v), F.concat(ch, F.lit(" "), v))

@@ -119,8 +119,9 @@ def smart_search(queries, key, query, verses, translation="schoeningh", limit=10
             "display", F.lit(" "), F.col("chapter").cast("string"), F.lit(":"), F.col("verse").cast("string")).alias("title"),
             T.snippet(F.col("text"), 80).alias("subtitle"))
     verse_hits = shown(R.resolve_refs(ranges, one, [key]))
-    names = F.array(*[F.lit(b[2]) for b in dims.books()])
-    books = asked.select(key, F.explode(F.filter(names, lambda b: F.contains(F.lower(b), F.lower("q")))).alias("title")) \
+    names = F.array(*[F.struct(F.lit(b[2]).alias("t"), F.lit(b[2].lower()).alias("low")) for b in dims.books()])
+    named = T.let(F.lower("q"), lambda q: F.transform(F.filter(names, lambda b: F.contains(b["low"], q)), lambda b: b["t"]))
+    books = asked.select(key, F.explode(named).alias("title")) \
         .select(key, F.lit("book").alias("type"), "title", F.lit(None).cast("string").alias("subtitle"))
     free = parsed.where(F.col("r").isNull()).select(key, F.lower("q").alias("needle"))
     # rank once per distinct needle and verse text, then give the hits to the queries

@@ -132,7 +132,7 @@ def merge_rows(df, by, order, text, limit=200, hot_rows=O.HOT_ROWS, ranges=O.RAN
     rows = rows.withColumns({
         "len_": F.length("t_"), "starts_": C.section_start(F.col("t_")),
         "ends_": F.endswith("t_", F.lit("."))})
-    hot = O._hot_groups(rows, by, order, hot_rows)
+    hot = O.hot_groups(rows, by, order, hot_rows)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
     order_type = rows.schema[order].dataType.simpleString()
     group = [*by, "range_"]
@@ -218,14 +218,16 @@ def merge_rows(df, by, order, text, limit=200, hot_rows=O.HOT_ROWS, ranges=O.RAN
 def verse_number(df, by, order, text, separator=P.BLANK_LINES, hot_rows=O.HOT_ROWS):
     """Running verse number over a work; the chapter is carried from headers."""
     by = list(by)
+    # a work is hot by its rows; each row gives some hundred verses
+    hot = O.hot_groups(df.select(*by, order), by, order, max(hot_rows // 100, 1))
     blocks = explode_parts(df.select(*by, order, text), split_paragraphs(F.col(text), separator),
                            "block", "pos")
     blocks = blocks.withColumn("header", C.chapter_header(F.col("block"))).drop(text)
-    chaptered = O.carry_forward(blocks, by, order, "header", "chapter", ["pos"], hot_rows)
+    chaptered = O.carry_forward(blocks, by, order, "header", "chapter", ["pos"], hot=hot)
     verses = chaptered.where(F.col("header").isNull()).select(
         *by, order, "pos", F.coalesce("chapter", F.lit("1")).alias("chapter"),
         F.posexplode(split_sentences_simple(F.col("block"))).alias("sub", "text"))
-    return O.number_rows(verses, by, order, "verse", ["pos", "sub"], hot_rows)
+    return O.number_rows(verses, by, order, "verse", ["pos", "sub"], hot=hot)
 
 
 # ---- lines, quotes, slots, tokens -------------------------------------------------

@@ -28,8 +28,11 @@ def verses(spark, sf_dir):
         F.pmod("l_suppkey", F.lit(73)).cast("int").alias("book_ix"), tr.alias("translation"),
         (F.pmod("l_orderkey", F.lit(30)) + 1).cast("int").alias("chapter"),
         (F.pmod("l_partkey", F.lit(40)) + 1).cast("int").alias("verse"),
-        F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("t"))
-    unique = rows.groupBy("book_ix", "translation", "chapter", "verse").agg(F.min("t").alias("text"))
+        (F.ascii("l_linestatus") * 100 + F.col("l_linenumber")).alias("code"))
+    # the least text as a number, so that the aggregation can hash
+    least = rows.groupBy("book_ix", "translation", "chapter", "verse").agg(F.min("code").alias("code"))
+    text = F.concat(F.chr(F.floor(F.col("code") / 100)), (F.col("code") % 100).cast("string"))
+    unique = least.withColumn("text", text).drop("code")
     names = dims.books_df(spark).join(F.broadcast(dims.book_names_df(spark)), "display")
     return (unique.join(F.broadcast(names.select("book_ix", "translation", "db_name")), ["book_ix", "translation"])
             .select("translation", F.col("db_name").alias("book"), "chapter", "verse", "text"))
