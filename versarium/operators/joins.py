@@ -52,6 +52,16 @@ def cache_lookup(requests, cache, key):
     return requests.join(cache, key, "left")
 
 
+def key_lookup(requests, items, request, *names):
+    """The item whose id or other name equals the requested key; of several the
+    one that matches the earliest name. Null where nothing matches. The bulk
+    form is one equality join on (name, row) pairs instead of an OR."""
+    named = items.select("*", F.posexplode(F.array_distinct(F.array(*[F.col(n).cast("string") for n in names])))
+                         .alias("name_pos_", "name_"))
+    hit = requests.join(named, F.col(request).cast("string") == F.col("name_"), "left")
+    return first_per_key(hit, [request], F.col("name_pos_").asc_nulls_last(), *names).drop("name_", "name_pos_")
+
+
 def favorites(items, chosen, key):
     return items.join(chosen.select(key), key, "left_semi")
 

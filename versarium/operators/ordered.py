@@ -114,3 +114,14 @@ def paged_list(df, by, order, fields, size=1000, **split):
     return (numbered.withColumn("page", page).groupBy(*by, "page")
             .agg(F.count(F.lit(1)).alias("n_items"),
                  F.sort_array(F.collect_list(F.struct("rn_", *fields))).alias("items")))
+
+
+def sort_by_name(df, name, *ties, locale="de"):
+    """Order of a reader of the language: umlauts beside their base letters."""
+    return df.orderBy(F.collate(F.col(name), locale), *ties)
+
+
+def sort_by_year(df, year, *ties, descending=False):
+    """A missing year comes last in both directions."""
+    order = F.col(year).desc_nulls_last() if descending else F.col(year).asc_nulls_last()
+    return df.orderBy(order, *ties)

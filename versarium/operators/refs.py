@@ -178,7 +178,8 @@ def display_books(df, db_name, translation):
 
 
 def resolve_refs(refs, verses, keys):
-    """Verses of each reference range, once per verse. The equality on
+    """Verses of each reference range, once per verse; ``verses`` has one row per
+    translation, book, chapter and verse. The equality on
     translation, book and chapter carries the join; the verse range is a
     filter on at most one chapter. No side is forced: a verse table is a few
     MB and Catalyst broadcasts it by size, else AQE splits skewed chapters."""
@@ -191,8 +192,9 @@ def resolve_refs(refs, verses, keys):
                                    F.col("r.translation").alias("translation"),
                                    F.col("r.chapter").alias("chapter"), F.col("v.verse").alias("verse"),
                                    F.col("v.text").alias("text"))
-    # one row per verse of a reference, also where its ranges overlap
-    return joined.dropDuplicates([*keys, "display", "translation", "chapter", "verse"])
+    # one row per verse of a reference, also where its ranges overlap; a distinct
+    # hashes, while dropDuplicates would sort to carry the text along
+    return joined.distinct()
 
 
 def psalm_fallback(refs, verses, keys, min_verse=16):

@@ -12,7 +12,7 @@ from versarium.operators import segment as G
 from versarium.operators.ordered import top_per_key
 
 # Pattern lists up to this size travel inside the expression.
-INLINE_PATTERNS = 256
+INLINE_PATTERNS = 1024
 
 
 def ilike_search(df, text, term, order, limit=10):

@@ -49,16 +49,15 @@ def daily_readings(days, keys, verses, json="json"):
     asked = slots.where(T.trim_space(F.col("reference")) != "")
     refs = R.parse_lectionary_ref(asked, [*keys, "id"], "reference")
     found = R.psalm_fallback(refs, verses, [*keys, "id"])
-    ids = [*keys, "id", "display", "translation", "chapter", "verse"]
-    return found.select(*ids, "text").dropDuplicates(ids)
+    return found.select(*keys, "id", "display", "translation", "chapter", "verse", "text").distinct()
 
 
 def passage_search(requests, key, passages, passage_key, text, limit=8):
-    """Verses to the passages that cite them: variants, match, rank, cap."""
+    """Verses to the passages that name them, ignoring case: variants, match,
+    best rank per passage, first ``limit`` passages per request."""
     variants = requests.select(key, F.posexplode(R.abbrev_variants(F.col("book"), F.col("chapter"), F.col("verse")))
-                               .alias("rank", "variant"))
-    hits = X.substring_join(passages, passage_key, text, variants, "variant").join(variants, "variant")
-    best = hits.groupBy(key, passage_key).agg(F.min("rank").alias("best"))
+                               .alias("variant_rank", "variant"))
+    lowered = passages.select(passage_key, F.lower(text).alias("low_"))
+    hits = X.substring_join(lowered, passage_key, "low_", variants, "variant").join(variants, "variant")
+    best = hits.groupBy(key, passage_key).agg(F.min("variant_rank").alias("best"))
     return O.top_per_key(best, [key], min(max(limit, 1), 15), "best", passage_key).withColumnRenamed("rank_", "pos")
-
-

@@ -200,35 +200,36 @@ projected("german_date", "orders", ["o_orderkey"], f"""SELECT o_orderkey, strfti
           kept=lambda: C.german_date(F.col("o_orderpriority")))
 
 
-@query("sort_nulls_last", """SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END
-  ASC NULLS LAST, c_custkey) AS pos FROM customer ORDER BY pos LIMIT 100""")
+@query("sort_nulls_last", """SELECT c_custkey, year FROM (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal::INTEGER END AS year FROM customer)
+  ORDER BY year DESC NULLS LAST, c_custkey""")
 def sort_nulls_last(spark, sf_dir):
-    year = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal"))
-    top = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(year.asc_nulls_last(), "c_custkey").limit(100)
-    return O.number_rows(top.withColumn("k", F.coalesce(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")), F.lit(1e18))),
-                         (), "k", "pos", ["c_custkey"]).select("c_custkey", "c_acctbal", F.col("pos").cast("bigint").alias("pos"))
+    year = F.when(F.col("c_acctbal") > 0, F.bround("c_acctbal").cast("int"))
+    return O.sort_by_year(load(spark, sf_dir, "customer").select("c_custkey", year.alias("year")), "year", "c_custkey", descending=True)
 
 
-@query("sort_author_work", """SELECT l_suppkey, l_partkey, l_linenumber, l_orderkey FROM lineitem
-  ORDER BY l_suppkey, l_partkey, l_linenumber, l_orderkey LIMIT 200""")
+@query("sort_by_name", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey")
+def sort_by_name(spark, sf_dir):
+    return O.sort_by_name(load(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey")
+
+
+@query("sort_author_work", "SELECT l_suppkey, l_partkey, l_linenumber, l_orderkey FROM lineitem ORDER BY ALL")
 def sort_author_work(spark, sf_dir):
-    return (load(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber", "l_orderkey")
-            .orderBy("l_suppkey", "l_partkey", "l_linenumber", "l_orderkey").limit(200))
+    keys = ["l_suppkey", "l_partkey", "l_linenumber", "l_orderkey"]
+    return load(spark, sf_dir, "lineitem").select(*keys).orderBy(*keys)
 
 
-@query("sort_ordinal_title", """SELECT p_partkey, p_size, p_name FROM part ORDER BY nullif(p_size, 1) ASC NULLS LAST, p_name, p_partkey
-  LIMIT 150""")
+@query("sort_ordinal_title", "SELECT p_partkey, p_size, p_name FROM part ORDER BY nullif(p_size, 1) ASC NULLS LAST, p_name, p_partkey")
 def sort_ordinal_title(spark, sf_dir):
     return (load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
-            .orderBy(F.nullif(F.col("p_size"), F.lit(1)).asc_nulls_last(), "p_name", "p_partkey").limit(150))
+            .orderBy(F.nullif(F.col("p_size"), F.lit(1)).asc_nulls_last(), "p_name", "p_partkey"))
 
 
 @query("sort_numeric_verse", """SELECT o_orderkey, v FROM (SELECT o_orderkey, replace(o_orderpriority, '-LOW', '') AS v FROM orders)
-  ORDER BY TRY_CAST(v AS INTEGER) ASC NULLS LAST, o_orderkey LIMIT 100""")
+  ORDER BY TRY_CAST(v AS INTEGER) ASC NULLS LAST, o_orderkey""")
 def sort_numeric_verse(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select(
         "o_orderkey", F.replace("o_orderpriority", F.lit("-LOW"), F.lit("")).alias("v"))
-    return orders.orderBy(F.col("v").try_cast("int").asc_nulls_last(), "o_orderkey").limit(100)
+    return orders.orderBy(F.col("v").try_cast("int").asc_nulls_last(), "o_orderkey")
 
 
 @query("limit_n", "SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 20")

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from versarium import dims
 from versarium.operators import segment as G
 from versarium.functions import sqlreg
 from versarium.functions import text as T
@@ -130,3 +131,25 @@ def daily_readings(spark, sf_dir):
     return corpus.daily_readings(days, ["o_orderkey"], inputs.verses(spark, sf_dir))
 
 
+
+
+_HITS = dims.sql_values([(i, a, d.lower()) for i, (a, d) in enumerate(dims.SEARCH_NAMES)], "sn", ["i", "a", "low"])
+
+
+@query("passage_search", f"""WITH {_CITING}, asked AS (SELECT book_ix, lower(display) AS low, (book_ix % 29 + 1) || ':' || (book_ix % 20 + 1) AS cv,
+    (book_ix % 29 + 1) || ' ' || (book_ix % 20 + 1) AS sp FROM (SELECT DISTINCT book_ix, display FROM citing)),
+  named AS (SELECT book_ix, list(a ORDER BY i) AS names FROM asked JOIN {_HITS} ON contains(sn.low, asked.low) GROUP BY book_ix),
+  variant AS (SELECT book_ix, list_distinct(v) AS u, v FROM (SELECT asked.book_ix, list_concat(
+      flatten(list_transform(coalesce(names, []), lambda n: [n || ' ' || cv, n || ' ' || sp])),
+      CASE WHEN length(own) <= 4 THEN [own || ' ' || cv, own || ' ' || sp] ELSE [] END,
+      CASE WHEN names IS NOT NULL THEN [cv, sp] ELSE [] END) AS v FROM (SELECT *, replace(replace(replace(low, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue') AS own FROM asked) asked
+      LEFT JOIN named USING (book_ix))),
+  ranked AS (SELECT book_ix, variant, min(i) AS r0 FROM (SELECT book_ix, unnest(v) AS variant, generate_subscripts(v, 1) AS i FROM variant) GROUP BY ALL),
+  numbered AS (SELECT book_ix, variant, row_number() OVER (PARTITION BY book_ix ORDER BY r0) - 1 AS r FROM ranked),
+  texts AS (SELECT o_orderkey, lower('Siehe ' || abbr || ' ' || c || ',' || s || '–' || e || ' und vgl. ' || display || ' ' || (c + 1) || ':' || s || '; mt 5,3.') AS t FROM citing),
+  hit AS (SELECT book_ix, o_orderkey, min(r)::INTEGER AS best FROM numbered JOIN texts ON contains(t, variant) GROUP BY ALL)
+  SELECT book_ix, o_orderkey, best, pos::INTEGER AS pos FROM (SELECT *, row_number() OVER (PARTITION BY book_ix ORDER BY best, o_orderkey) AS pos FROM hit) WHERE pos <= 8""")
+def passage_search(spark, sf_dir):
+    asked = inputs.citing(spark, sf_dir).select("book_ix", F.col("display").alias("book")).distinct().withColumns({
+        "chapter": F.col("book_ix") % 29 + 1, "verse": F.col("book_ix") % 20 + 1})
+    return corpus.passage_search(asked, "book_ix", inputs.citing_texts(spark, sf_dir), "o_orderkey", "text")

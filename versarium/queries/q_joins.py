@@ -74,6 +74,18 @@ def cache_miss(spark, sf_dir):
     return J.backlog(asked, load(spark, sf_dir, "labels").withColumnRenamed("doc_id", "conv_id"), "conv_id")
 
 
+@query("key_lookup", """SELECT asked, p_partkey, p_brand FROM (SELECT asked, p_partkey, p_brand, row_number() OVER (PARTITION BY asked
+    ORDER BY CASE WHEN p_partkey::VARCHAR = asked THEN 0 WHEN p_brand = asked THEN 1 END NULLS LAST, p_partkey, p_brand) AS rn FROM (
+    SELECT DISTINCT l_partkey::VARCHAR AS asked FROM lineitem UNION ALL SELECT DISTINCT p_brand FROM part UNION ALL SELECT 'none')
+  LEFT JOIN part ON p_partkey::VARCHAR = asked OR p_brand = asked) WHERE rn = 1""")
+def key_lookup(spark, sf_dir):
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    ids = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("asked")).distinct()
+    names = parts.select(F.col("p_brand").alias("asked")).distinct()
+    none = dims.constant(spark, [("none",)], "asked string")
+    return J.key_lookup(ids.unionByName(names).unionByName(none), parts, "asked", "p_partkey", "p_brand").select("asked", "p_partkey", "p_brand")
+
+
 @query("favorites", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")
 def favorites(spark, sf_dir):
     chosen = load(spark, sf_dir, "lineitem").where("l_discount > 0.09").select(F.col("l_partkey").alias("p_partkey"))
