@@ -13,12 +13,14 @@ HOT_ROWS = 5_000_000
 RANGES = 4096
 
 
-def _grouped(df, by):
-    return (df, list(by)) if by else (df.withColumn("one_", F.lit(1)), ["one_"])
-
-
 def hot_groups(df, by, order, hot_rows):
+    """Groups above ``hot_rows`` with size and span of their order values. The
+    whole table as one group (by=()) gives the same as a scalar."""
     value = F.col(order).cast("double")
+    if not by:
+        span = F.struct(F.count(F.lit(1)).alias("n_"), F.min(value).alias("lo_"), F.max(value).alias("hi_"))
+        span = df.agg(span.alias("s_")).select(F.when(F.col("s_.n_") > hot_rows, F.col("s_")).alias("s_"))
+        return span.scalar()
     hot = (df.groupBy(*by)
            .agg(F.count(F.lit(1)).alias("n_"), F.min(value).alias("lo_"), F.max(value).alias("hi_"))
            .where(F.col("n_") > hot_rows))
@@ -27,12 +29,16 @@ def hot_groups(df, by, order, hot_rows):
 
 def _ranged(df, hot, by, order, ranges, how):
     """Join the hot groups and add ``range_``: 0 where the group is not hot."""
-    same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in by]
+    if by:
+        same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in by]
+        joined = df.join(F.broadcast(hot), same, how)
+    else:
+        joined = df.withColumn("s_", hot).select(df["*"], "s_.*")
+        joined = joined if how == "left" else joined.where(F.col("n_").isNotNull())
     share = (F.col(order).cast("double") - F.col("lo_")) / (F.col("hi_") - F.col("lo_") + 1)
     # rows without an order value sort first, as in the windows
     place = F.when(F.col(order).isNull(), 0).otherwise(
         F.greatest(F.lit(1), F.least(F.lit(ranges), 1 + F.floor(share * ranges))))
-    joined = df.join(F.broadcast(hot), same, how)
     return (joined.withColumn("range_", F.when(F.col("n_").isNull(), 0).otherwise(place).cast("int"))
             .drop("n_", "lo_", "hi_", *[f"hot_{k}" for k in by]))
 
@@ -58,7 +64,7 @@ def number_rows(df, by, order, out="rn", ties=(), hot_rows=HOT_ROWS, ranges=RANG
     """
     if hot_rows is None:
         return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(order, *ties)))
-    df, by = _grouped(df, by)
+    by = list(by)
     hot = hot_groups(df, by, order, hot_rows) if hot is None else hot
     local = F.row_number().over(W.partitionBy(*by, "range_").orderBy(order, *ties))
     split = _ranged(df, hot, by, order, ranges, "left").withColumn("local_", local)
@@ -66,7 +72,7 @@ def number_rows(df, by, order, out="rn", ties=(), hot_rows=HOT_ROWS, ranges=RANG
               .groupBy(*by, "range_").agg(F.count(F.lit(1)).alias("n_rows_")))
     joined = _with_earlier(split, by, totals, lambda w: F.sum("n_rows_").over(w))
     number = F.col("local_") + F.coalesce("before_", F.lit(0))
-    return joined.withColumn(out, number).drop("local_", "before_", "range_", "one_")
+    return joined.withColumn(out, number).drop("local_", "before_", "range_")
 
 
 def carry_forward(df, by, order, value, out, ties=(), hot_rows=HOT_ROWS, ranges=RANGES, hot=None):
@@ -74,7 +80,7 @@ def carry_forward(df, by, order, value, out, ties=(), hot_rows=HOT_ROWS, ranges=
     if hot_rows is None:
         plain = W.partitionBy(*by).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(plain))
-    df, by = _grouped(df, by)
+    by = list(by)
     hot = hot_groups(df, by, order, hot_rows) if hot is None else hot
     w = (W.partitionBy(*by, "range_").orderBy(order, *ties)
          .rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -86,7 +92,7 @@ def carry_forward(df, by, order, value, out, ties=(), hot_rows=HOT_ROWS, ranges=
                    .alias("last_")))
     joined = _with_earlier(split, by, totals, lambda w: F.last("last_", ignorenulls=True).over(w))
     return (joined.withColumn(out, F.coalesce("local_", "before_"))
-            .drop("local_", "before_", "range_", "one_"))
+            .drop("local_", "before_", "range_"))
 
 
 def first_per_key(df, by, *order):

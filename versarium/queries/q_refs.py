@@ -59,7 +59,8 @@ _PSALMS = """psalms AS (SELECT o_orderkey, 0 AS part, 0 AS item, 'Psalmen' AS di
     ON v.display = 'Psalmen' AND v.translation = 'allioli' AND v.chapter = m.chapter - 1 AND verse BETWEEN start AND "end" """)
 def psalm_fallback(spark, sf_dir):
     refs = load(spark, sf_dir, "orders").select(
-        "o_orderkey", F.lit(0).alias("part"), F.lit(0).alias("item"), F.lit("Psalmen").alias("display"),
+        "o_orderkey", F.lit(0).alias("part"), F.lit(0).alias("item"),
+        F.when(F.col("o_orderkey") >= 0, "Psalmen").alias("display"),
         (F.pmod("o_orderkey", F.lit(31)) + 1).cast("int").alias("chapter"),
         (15 + F.pmod("o_custkey", F.lit(10))).cast("int").alias("start"),
         (17 + F.pmod("o_custkey", F.lit(10))).cast("int").alias("end"))
