@@ -27,8 +27,21 @@ def hot_groups(df, by, order, hot_rows):
     return hot.select(*[F.col(k).alias(f"hot_{k}") for k in by], "n_", "lo_", "hi_")
 
 
-def _ranged(df, hot, by, order, ranges, how):
-    """Join the hot groups and add ``range_``: 0 where the group is not hot."""
+def ranged(df, hot, by, order, hot_rows, ranges, how):
+    """Add ``range_``: 0 where the group is not hot, else the place of the row in
+    equal widths of the group's order span. A range that still holds more than
+    ``hot_rows`` rows, because the values cluster, is cut once more. Rows with
+    the same order value stay together."""
+    first = _cut(df, hot, by, order, hot_rows, ranges, how).withColumnRenamed("range_", "outer_")
+    narrow = _cut(df.select(*by, order), hot, by, order, hot_rows, ranges, "inner").withColumnRenamed("range_", "outer_")
+    dense = hot_groups(narrow, [*by, "outer_"], order, hot_rows)
+    both = _cut(first, dense, [*by, "outer_"], order, hot_rows, ranges, "left")
+    return both.withColumn("range_", F.col("outer_").cast("bigint") * (ranges + 1) + F.col("range_")).drop("outer_")
+
+
+def _cut(df, hot, by, order, hot_rows, ranges, how):
+    # about four ranges per hot_rows rows keep the table of range totals small
+    pieces = F.least(F.lit(ranges), F.ceil(4 * F.col("n_") / F.lit(hot_rows)).cast("int"))
     if by:
         same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in by]
         joined = df.join(F.broadcast(hot), same, how)
@@ -38,7 +51,7 @@ def _ranged(df, hot, by, order, ranges, how):
     share = (F.col(order).cast("double") - F.col("lo_")) / (F.col("hi_") - F.col("lo_") + 1)
     # rows without an order value sort first, as in the windows
     place = F.when(F.col(order).isNull(), 0).otherwise(
-        F.greatest(F.lit(1), F.least(F.lit(ranges), 1 + F.floor(share * ranges))))
+        F.greatest(F.lit(1), F.least(pieces, 1 + F.floor(share * pieces))))
     return (joined.withColumn("range_", F.when(F.col("n_").isNull(), 0).otherwise(place).cast("int"))
             .drop("n_", "lo_", "hi_", *[f"hot_{k}" for k in by]))
 
@@ -50,7 +63,7 @@ def _with_earlier(split, by, totals, earlier):
     before = before.select(*[F.col(k).alias(f"b_{k}") for k in by],
                            F.col("range_").alias("b_range_"), "before_")
     same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in by]
-    # at most (ranges + 1) rows per hot group
+    # at most ten rows per hot_rows rows of hot groups (two levels of ranges)
     return (split.join(F.broadcast(before), same + [F.col("range_") == F.col("b_range_")], "left")
             .drop("b_range_", *[f"b_{k}" for k in by]))
 
@@ -67,8 +80,8 @@ def number_rows(df, by, order, out="rn", ties=(), hot_rows=HOT_ROWS, ranges=RANG
     by = list(by)
     hot = hot_groups(df, by, order, hot_rows) if hot is None else hot
     local = F.row_number().over(W.partitionBy(*by, "range_").orderBy(order, *ties))
-    split = _ranged(df, hot, by, order, ranges, "left").withColumn("local_", local)
-    totals = (_ranged(df.select(*by, order), hot, by, order, ranges, "inner")
+    split = ranged(df, hot, by, order, hot_rows, ranges, "left").withColumn("local_", local)
+    totals = (ranged(df.select(*by, order), hot, by, order, hot_rows, ranges, "inner")
               .groupBy(*by, "range_").agg(F.count(F.lit(1)).alias("n_rows_")))
     joined = _with_earlier(split, by, totals, lambda w: F.sum("n_rows_").over(w))
     number = F.col("local_") + F.coalesce("before_", F.lit(0))
@@ -85,9 +98,9 @@ def carry_forward(df, by, order, value, out, ties=(), hot_rows=HOT_ROWS, ranges=
     w = (W.partitionBy(*by, "range_").orderBy(order, *ties)
          .rowsBetween(W.unboundedPreceding, W.currentRow))
     local = F.last(value, ignorenulls=True).over(w)
-    split = _ranged(df, hot, by, order, ranges, "left").withColumn("local_", local)
+    split = ranged(df, hot, by, order, hot_rows, ranges, "left").withColumn("local_", local)
     narrow = df.select(*dict.fromkeys([*by, order, *ties, value]))
-    totals = (_ranged(narrow, hot, by, order, ranges, "inner").groupBy(*by, "range_")
+    totals = (ranged(narrow, hot, by, order, hot_rows, ranges, "inner").groupBy(*by, "range_")
               .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(order, *ties)))
                    .alias("last_")))
     joined = _with_earlier(split, by, totals, lambda w: F.last("last_", ignorenulls=True).over(w))

@@ -191,19 +191,19 @@ def merge_rows(df, by, order, text, limit=200, hot_rows=O.HOT_ROWS, ranges=O.RAN
             out["paragraph"] = pd.Series(marks, index=out.index, dtype="object")
             yield out
 
-    cut = O._ranged(rows.drop("t_"), hot, by, order, ranges, "inner")
-    ends = in_order(cut).mapInPandas(end_states, f"{key_schema}, range_ int, end_ array<int>")
-    # one row per range of a hot work: (ranges + 1) * rows / hot_rows at most
-    begin = ends.groupBy(*by).applyInPandas(start_states, f"{key_schema}, range_ int, start_ int")
+    cut = O.ranged(rows.drop("t_"), hot, by, order, hot_rows, ranges, "inner")
+    ends = in_order(cut).mapInPandas(end_states, f"{key_schema}, range_ bigint, end_ array<int>")
+    # one row per range of a hot work
+    begin = ends.groupBy(*by).applyInPandas(start_states, f"{key_schema}, range_ bigint, start_ int")
     renamed = begin.select(*[F.col(k).alias(f"b_{k}") for k in group], "start_")
     same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in group]
 
     def placed(how):
-        split = O._ranged(rows, hot, by, order, ranges, how)
+        split = O.ranged(rows, hot, by, order, hot_rows, ranges, how)
         ready = split.join(F.broadcast(renamed), same, "left").drop(*[f"b_{k}" for k in group])
         ready = ready.withColumn("start_", F.coalesce("start_", F.lit(0)))
         return in_order(ready).mapInPandas(
-            paragraphs, f"{key_schema}, range_ int, `{order}` {order_type}, t_ string, paragraph {order_type}")
+            paragraphs, f"{key_schema}, range_ bigint, `{order}` {order_type}, t_ string, paragraph {order_type}")
 
     # a paragraph that began in an earlier range of a hot work
     opened = placed("inner").groupBy(*group).agg(F.max("paragraph").alias("last_"))
