@@ -66,7 +66,7 @@ def strip_page_numbers(c):
 
 
 def strip_biblio_refs(c):
-    return chain(c, P.BIBLIO_REFS)
+    return let(c, lambda t: F.when(P.ANY_BIBLIO.found(t), chain(t, P.BIBLIO_REFS)).otherwise(t))
 
 
 def _keep_lines(c, keep):

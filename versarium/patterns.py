@@ -31,6 +31,12 @@ BIBLIO_REFS = [
     Rx(r"cap\.\s*\d+", flags="i"), Rx(r"§\s*\d+", flags="i"), Rx(r"Nr\.\s*\d+", flags="i"),
     Rx(r"n\.\s*\d+", flags="i"),
 ]
+# Finds any text that one of BIBLIO_REFS would change; others skip the list.
+ANY_BIBLIO = any_of([
+    "Titel Werk:", "Autor:", "Identifier:", "Tag:", "Time:", r"CPG\s*\d", "BKV", "SWKV", r"Übersetzung\s*\(",
+    r"Kommentar\s*\(", r"lib\.\s*[IVX]", r"Hist\.\s*\w", r"E\.\s*[IVX]", r"c\.\s*\d", r"cap\.\s*\d", r"§\s*\d",
+    r"Nr\.\s*\d", r"n\.\s*\d",
+], "i")
 PAGE_REFS = [
     Rx(BOW + r"S\.\s*\d+"), Rx(BOW + r"\d+\.\s*\d+" + EOW), Rx(BOW + r"[IVX]+,\s*c\.\s*\d+\.?"),
 ]
