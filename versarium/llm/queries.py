@@ -1,6 +1,6 @@
 """The registered queries: each applies its operator to its whole table."""
 
-from versarium.llm import simhash
+from versarium.llm import bpe, simhash
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
 
@@ -11,3 +11,8 @@ __all__ = ["ORACLES", "QUERIES"]
 def op1_simhash(spark, sf_dir):
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(found.fp).alias("fingerprint"), "component_id", "copies")
+
+
+@query("op10_bpe")
+def op10_bpe(spark, sf_dir):
+    return bpe.round_trips(load(spark, sf_dir, "documents"))
