@@ -34,3 +34,8 @@ def lower_ascii(column):
 def crc_fold(key, folds):
     """crc32 of the key as text, modulo `folds`; the key null: of the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def let(value, use):
+    """`use(value)` with `value` worked out once per row, also where a lambda uses it per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

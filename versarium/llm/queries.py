@@ -1,6 +1,8 @@
 """The registered queries: each applies its operator to its whole table."""
 
-from versarium.llm import bpe, simhash
+from pyspark.sql import functions as F
+
+from versarium.llm import bpe, decontam, secrets, simhash
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
 
@@ -16,3 +18,19 @@ def op1_simhash(spark, sf_dir):
 @query("op10_bpe")
 def op10_bpe(spark, sf_dir):
     return bpe.round_trips(load(spark, sf_dir, "documents"))
+
+
+@query("op3_decontamination", decontam.ORACLE)
+def op3_decontamination(spark, sf_dir):
+    return decontam.contained_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op9_secrets")
+def op9_secrets(spark, sf_dir):
+    found = secrets.secret_spans(load(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), number("random"),
+                        F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"))
