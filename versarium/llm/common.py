@@ -1,5 +1,7 @@
 """Small helpers that the operators of this subpackage share."""
 
+import sys
+import types
 import uuid
 
 from pyspark.sql import functions as F
@@ -39,3 +41,24 @@ def crc_fold(key, folds):
 def let(value, use):
     """`use(value)` with `value` worked out once per row, also where a lambda uses it per element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_pieces(texts, limit=1 << 21):
+    """Lists of texts of about `limit` characters, so that long texts do not add up in memory."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text) if text else 0
+        if size > limit:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def held(name, make):
+    """What `make` gives, once per Python worker process (workers are used for many tasks)."""
+    kept = sys.modules.setdefault("_held_by_worker", types.ModuleType("_held_by_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from versarium.llm import bpe, decontam, secrets, simhash
+from versarium.llm import bpe, decontam, language, secrets, simhash
+from versarium.llm.common import crc_fold
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
 
@@ -34,3 +35,12 @@ def op9_secrets(spark, sf_dir):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", number("assign"), number("access"), number("hex"), number("random"),
                         F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled("spans").alias("spans"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    fold = crc_fold(F.col("doc_id"), 4)
+    languages = language.train(docs.filter(fold != 2))
+    found = language.identify(docs, languages)
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
