@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from versarium.llm import bpe, decontam, language, secrets, simhash
+from versarium.llm import bpe, decontam, language, lines, secrets, simhash
 from versarium.llm.common import crc_fold
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
@@ -44,3 +44,13 @@ def op5_language_id(spark, sf_dir):
     languages = language.train(docs.filter(fold != 2))
     found = language.identify(docs, languages)
     return found.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op6_line_dedup")
+def op6_line_dedup(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = lines.drop_repeated_lines(docs)
+    places = F.transform("removed", lambda r: r["pos"].cast("string"))
+    return cut.select("doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+                      F.coalesce(F.array_join(places, ","), F.lit("")).alias("removed"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
