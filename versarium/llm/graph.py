@@ -12,10 +12,10 @@ def _both(edges):
 def _hooked(edges, pairs, keep):
     """Every neighbour of `u` that `keep` accepts, linked to the least node around `u`.
 
-    The least neighbour is a partial aggregate and joins back on `u`, so a node with
-    very many neighbours is summed up before the shuffle and split by the skew join.
+    The least neighbour is a partial aggregate, written and joined back on `u`: a node with very
+    many neighbours is summed up before the shuffle, and its links can be split by the skew join.
     """
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = staged(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
     return pairs.join(least, "u").filter(keep).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
