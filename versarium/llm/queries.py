@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from versarium.llm import bpe, decontam, language, lines, secrets, simhash
+from versarium.llm import bpe, decontam, language, lines, passages, secrets, simhash
 from versarium.llm.common import crc_fold
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
@@ -54,3 +54,8 @@ def op6_line_dedup(spark, sf_dir):
     return cut.select("doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
                       F.coalesce(F.array_join(places, ","), F.lit("")).alias("removed"),
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, sf_dir):
+    return passages.repeated_passages(load(spark, sf_dir, "documents"))
