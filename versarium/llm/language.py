@@ -60,14 +60,9 @@ def judge(texts, languages, slack=1.0, deviations=6.0):
     return out
 
 
-def identify(documents, languages, id_col="doc_id", text_col="text", keep=()):
-    """One row per input row: doc_id, columns of `keep`, lang_pred, score, entropy, rejected.
-
-    Null texts and texts without a letter are `und` with score 0, and rejected; so is every text
-    if nothing was learned. Rows with a null id and repeated rows are kept as they come; an empty
-    table gives no rows. The models are a broadcast of bounded size (see `ngrams`).
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(languages)
+def predicted(text, spark, languages):
+    """struct<lang_pred, score, entropy, rejected> of a text column; see `identify`."""
+    shared = spark.sparkContext.broadcast(languages)
 
     @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -75,6 +70,22 @@ def identify(documents, languages, id_col="doc_id", text_col="text", keep=()):
             rows = [r for part in in_pieces(texts) for r in judge(part, shared.value)]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "entropy", "rejected"]).astype(
                 {"score": "float64", "entropy": "float64", "rejected": "bool"})
+    return predict(text)
+
+
+def identify(documents, languages, id_col="doc_id", text_col="text"):
+    """One row per input row: doc_id, lang_pred, score, entropy, rejected.
+
+    Null texts and texts without a letter are `und` with score 0, and rejected; so is every text
+    if nothing was learned. Rows with a null id and repeated rows are kept as they come; an empty
+    table gives no rows. The models are a broadcast of bounded size (see `ngrams`).
+    """
+    docs = pick(documents, doc_id=id_col, text=text_col)
+    return docs.select("doc_id", predicted("text", documents.sparkSession, languages).alias("p")).select("doc_id", "p.*")
+
 
-    docs = pick(documents, doc_id=id_col, text=text_col, **{k: k for k in keep})
-    return docs.select("doc_id", *keep, predict("text").alias("p")).select("doc_id", *keep, "p.*")
+def accepted(documents, languages, text_col="text", lang_col="lang"):
+    """The rows whose language is recognised, all columns kept; a null language is filled in."""
+    judged = documents.withColumn("__lang", predicted(F.col(f"`{text_col}`"), documents.sparkSession, languages))
+    return (judged.filter("not __lang.rejected")
+            .withColumn(lang_col, F.coalesce(F.col(f"`{lang_col}`"), F.col("__lang.lang_pred"))).drop("__lang"))

@@ -97,5 +97,15 @@ def near_duplicates(documents, id_col="doc_id", text_col="text", size=3, distanc
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id", "copies")
 
 
+def one_of_each(documents, id_col="doc_id", text_col="text", size=3, distance=2):
+    """The rows of `documents` that are the first of their component, all columns kept.
+
+    Rows without id cannot be told apart and stay; so do all rows that repeat the first one's id.
+    """
+    found = near_duplicates(documents, id_col, text_col, size, distance)
+    later = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
+    return documents.join(later, F.col(f"`{id_col}`") == F.col("__later"), "left_anti")
+
+
 def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
