@@ -15,7 +15,7 @@ WORD_BPE = "word_bpe_49k.json"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = np.int64(1) << 40  # rank of a pair that no merge joins
 BATCH_WIDTH = 64  # words of up to so many symbols are merged side by side
-KEPT_WORDS = 1 << 20  # words whose result a task remembers; beyond it starts afresh
+KEPT_WORDS = 1 << 18  # words whose result a task remembers; beyond it starts afresh
 
 
 def default_vocabulary():
@@ -32,8 +32,10 @@ def word_patterns():
     """
     import regex
     from tokenizers import Regex, pre_tokenizers
-    newer = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn"]
-    table = np.zeros(0x110000, dtype=bool)
+    # planes 4 to 13 have never held a character
+    newer = [c for c in map(chr, range(0x40000)) if unicodedata.category(c) == "Cn"]
+    table = np.ones(0x110000, dtype=bool)
+    table[:0x40000] = False
     table[[*map(ord, newer)]] = True
 
     def among(kind):
