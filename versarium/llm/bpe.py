@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from versarium.llm.common import pick
+from versarium.llm.common import held, in_pieces, pick
 
 WORD_BPE = "word_bpe_49k.json"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -264,26 +264,8 @@ class WordBpe:
         return self.decode_packed(np.array(ids, dtype="<u4").tobytes())
 
 
-def in_pieces(texts, limit=1 << 21):
-    """Lists of texts of about `limit` characters, so that long texts do not add up in memory."""
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text) if text else 0
-        if size > limit:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def _loaded(vocabulary):
-    """One vocabulary per Python worker process: read from the file where the task runs."""
-    import sys
-    held = sys.modules.setdefault("_word_bpe_held", type(sys)("_word_bpe_held")).__dict__
-    if vocabulary not in held:
-        held[vocabulary] = WordBpe(vocabulary or default_vocabulary())
-    return held[vocabulary]
+    return held(f"bpe {vocabulary}", lambda: WordBpe(vocabulary or default_vocabulary()))
 
 
 def encode_column(text, vocabulary=None):
@@ -324,3 +306,20 @@ def round_trips(documents, id_col="doc_id", text_col="text", vocabulary=None):
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return pick(documents, doc_id=id_col, text=text_col).select("doc_id", digest("text").alias("d")).select("doc_id", "d.*")
+
+
+def encoded(documents, id_col="doc_id", text_col="text", vocabulary=None, keep=()):
+    """One row per input row: doc_id, columns of `keep`, ids, n_tokens, decoded_sha256.
+
+    Null and empty texts, null ids and repeated rows as in `round_trips`.
+    """
+    @F.pandas_udf("ids array<int>, n_tokens long, decoded_sha256 string")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = _loaded(vocabulary)
+        for texts in batches:
+            rows = [(np.frombuffer(p, dtype="<i4"), len(p) // 4, hashlib.sha256(bpe.decode_packed(p).encode()).hexdigest())
+                    for part in in_pieces(texts) for p in bpe.encode_packed(part)]
+            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded_sha256"])
+
+    docs = pick(documents, doc_id=id_col, text=text_col, **{k: k for k in keep})
+    return docs.select("doc_id", *keep, encode("text").alias("e")).select("doc_id", *keep, "e.*")
