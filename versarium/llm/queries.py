@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from versarium.llm import bpe, decontam, language, lines, passages, secrets, simhash
+from versarium.llm import bpe, decontam, language, lines, passages, secrets, simhash, urls
 from versarium.llm.common import crc_fold
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
@@ -21,6 +21,11 @@ def op10_bpe(spark, sf_dir):
     return bpe.round_trips(load(spark, sf_dir, "documents"))
 
 
+@query("op2_url_filter")
+def op2_url_filter(spark, sf_dir):
+    return urls.judge_urls(load(spark, sf_dir, "pages"))
+
+
 @query("op3_decontamination", decontam.ORACLE)
 def op3_decontamination(spark, sf_dir):
     return decontam.contained_items(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
