@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from versarium.llm import bpe, decontam, language, lines, passages, secrets, simhash, urls
+from versarium.llm import bpe, decontam, language, lines, passages, secrets, simhash, toxicity, urls
 from versarium.llm.common import crc_fold
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
@@ -64,3 +64,13 @@ def op6_line_dedup(spark, sf_dir):
 @query("op8_substring_dedup")
 def op8_substring_dedup(spark, sf_dir):
     return passages.repeated_passages(load(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = load(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    learned = docs.filter(crc_fold(F.col("doc_id"), 3) != 1).join(labels, "doc_id")
+    found = toxicity.scored(docs, toxicity.train(learned))
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
