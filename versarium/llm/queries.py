@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from versarium.llm import bpe, decontam, language, lines, passages, secrets, simhash, toxicity, urls
+from versarium.llm import bpe, decontam, language, lines, passages, secrets, simhash, toxicity, urls, vptree
 from versarium.llm.common import crc_fold
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
@@ -74,3 +74,9 @@ def op4_toxicity(spark, sf_dir):
     found = toxicity.scored(docs, toxicity.train(learned))
     return found.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op7_nearest")
+def op7_nearest(spark, sf_dir):
+    vectors = load(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
