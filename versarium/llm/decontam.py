@@ -121,9 +121,9 @@ def without_leaks(documents, benchmark, **options):
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM documents),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), i -> array_to_string(w[i:i+4], ' '))) s FROM d),
+ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' '))) s FROM d),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w FROM benchmark),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) s FROM b WHERE len(w) >= 5),
+bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) s FROM b WHERE len(w) >= 5),
 t AS (SELECT item_id, count(*) total FROM bs GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, shared, total, shared::DOUBLE / total AS containment

@@ -38,7 +38,7 @@ def patience(a, b):
         where = {b[y]: y for y in range(k, m) if cb[b[y]] == 1}
         pairs = [(x, where[a[x]]) for x in range(i, j) if ca[a[x]] == 1 and a[x] in where]
         if not pairs:
-            # nothing unique: pair the n-th occurrence with the n-th, and go no deeper
+            # nothing unique: the n-th occurrence meets the n-th
             places, left, right = {}, Counter(), Counter()
             for y in range(k, m):
                 places[b[y], right[b[y]]] = y
@@ -47,9 +47,8 @@ def patience(a, b):
                 if (a[x], left[a[x]]) in places:
                     pairs.append((x, places[a[x], left[a[x]]]))
                 left[a[x]] += 1
-            if pairs:
-                out += _increasing(pairs)
-            continue
+            if not pairs:
+                continue
         chain = _increasing(pairs)
         out += chain
         for (x, y), (u, v) in zip([(i - 1, k - 1), *chain], [*chain, (j, m)]):
