@@ -43,7 +43,7 @@ def let(value, use):
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def in_pieces(texts, limit=1 << 20):
+def in_pieces(texts, limit=1 << 19):
     """Lists of texts of about `limit` characters, so that long texts do not add up in memory."""
     part, size = [], 0
     for text in texts:

@@ -67,10 +67,10 @@ def predicted(text, spark, languages):
     @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [r for part in in_pieces(texts) for r in judge(part, shared.value)]
+            rows = [r for part in in_pieces(texts, 1 << 18) for r in judge(part, shared.value)]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "entropy", "rejected"]).astype(
                 {"score": "float64", "entropy": "float64", "rejected": "bool"})
-    return predict(text)
+    return predict.asNondeterministic()(text)  # else a filter on it would run it twice
 
 
 def identify(documents, languages, id_col="doc_id", text_col="text"):

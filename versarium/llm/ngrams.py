@@ -79,7 +79,7 @@ def count_windows(rows, order, letters):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for label, part in batch.groupby("label", sort=False)["text"]:
-                for texts in in_pieces(part, 1 << 20):
+                for texts in in_pieces(part, 1 << 19):
                     codes, hashes, at, _, _ = windows(texts, order, letters)
                     if not len(at):
                         continue
