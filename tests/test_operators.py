@@ -162,7 +162,8 @@ LECTIONARY = {
     "Mt 5, 1-12a": [("Matthäus", 5, 1, 12)], "Evangelium nach Mt 5, 1-12a": [("Matthäus", 5, 1, 12)],
     "Lk 10, 25-37": [("Lukas", 10, 25, 37)], "2 Tim 1, 13-14; 2, 1-3": [("2. Timotheus", 1, 13, 14), ("2. Timotheus", 2, 1, 3)],
     "Ps 135 (134), 1-2.3-4.5-6 (R: 3a)": [("Psalmen", 135, 1, 2), ("Psalmen", 135, 3, 4), ("Psalmen", 135, 5, 6)],
-    "Joh 18, 21 - 19, 1": [("Johannes", 18, 21, None), ("Johannes", 19, 1, 1)], "kein Verweis": [],
+    "Joh 18, 21 - 19, 1": [("Johannes", 18, 21, None), ("Johannes", 19, 1, 1)],
+    "Mk 1, 5 - 3, 2": [("Markus", 1, 5, None), ("Markus", 2, 1, None), ("Markus", 3, 1, 2)], "kein Verweis": [],
     "vgl. Jes 1, 3-9, 12f": [("Jesaja", 1, 3, 9), ("Jesaja", 1, 12, 13)],
 }
 
@@ -330,3 +331,60 @@ def test_sets(spark):
     assert sorted_rows(U.fallback_source(a.where("k > 9"), b)) == [(2, "b"), (3, "b")]
     fallback = R.fallback_latest(a, b, "k", [2, 3], F.lit(1))
     assert sorted_rows(fallback) == [(1, "a"), (2, "a"), (3, "b")]
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "double", "decimal(20,4)", "bigint"])
+def test_numbering_by_any_order_type(spark, kind):
+    base = spark.range(400).select(F.pmod("id", F.lit(2)).alias("g"), "id", F.pmod(F.col("id") * 7919, F.lit(401)).alias("n"))
+    made = {"date": F.date_add(F.lit("2000-01-01").cast("date"), F.col("n").cast("int")), "string": F.format_string("k%05d", "n"),
+            "timestamp": F.timestamp_seconds(F.col("n") * 3600)}.get(kind, F.col("n").cast(kind if kind in ("double", "bigint") else "decimal(20,4)"))
+    df = base.withColumn("o", F.when(F.col("id") % 50 != 0, made))
+    want = {r.id: r.rn for r in O.number_rows(df, ["g"], "o", ties=["id"], hot_rows=None).collect()}
+    for hot in (10, 10_000):
+        assert {r.id: r.rn for r in O.number_rows(df, ["g"], "o", ties=["id"], hot_rows=hot, ranges=16).collect()} == want
+    carried = df.withColumn("v", F.when(F.col("n") % 5 == 0, F.col("n")))
+    plain = {r.id: r.c for r in O.carry_forward(carried, ["g"], "o", "v", "c", ties=["id"], hot_rows=None).collect()}
+    assert {r.id: r.c for r in O.carry_forward(carried, ["g"], "o", "v", "c", ties=["id"], hot_rows=10, ranges=16).collect()} == plain
+
+
+def test_copies_are_whole_texts(spark):
+    opening = "the same opening words " * 8
+    rows = [(1, opening + "one"), (2, opening + "two"), (3, opening + "ONE"), (4, "123"), (5, "456"), (6, "123")]
+    kept = K.keep_first_duplicate(spark.createDataFrame(rows, "id int, text string"), "text", "id").collect()
+    assert {r.id for r in kept} == {1, 2, 4, 5, 6}
+    short = K.keep_first_duplicate(spark.createDataFrame(rows, "id int, text string"), "text", "id", prefix=20).collect()
+    assert {1} == {r.id for r in short if r.id < 4}
+
+
+def test_limits_are_honoured(spark):
+    df = spark.createDataFrame([(i, "mt 1:1") for i in range(40)], "k int, t string")
+    variants = spark.createDataFrame([("mt 1:1", 0)], "v string, r int")
+    assert X.variant_match(df, "k", "t", variants, "v", "r", limit=30).count() == 30
+
+
+def test_whole_texts_are_encoded(spark):
+    seen = []
+    df = spark.createDataFrame([(1, "a" * 25), (2, ""), (3, None), (4, "b" * 10)], "k int, t string")
+
+    def lengths(items, text, out="embedding"):
+        seen.append(text)
+        return items.withColumn(out, F.array(F.length(text).cast("float"), F.lit(1.0).cast("float")))
+    got = {r.k: list(r.embedding) for r in V.encode_whole(df, "k", "t", limit=10, encoder=lengths).collect()}
+    assert got == {1: [9.0, 1.0], 2: [0.0, 1.0], 3: [0.0, 1.0], 4: [10.0, 1.0]}
+
+
+def test_verse_of_any_translation_is_cited(spark):
+    refs = spark.createDataFrame([("w", 1, "Genesis", 1, 1, 2)], "work string, at int, display string, chapter int, start int, end int")
+    verses = spark.createDataFrame([("allioli", "Genesis", 1, 1, "x"), ("allioli", "Genesis", 1, 2, "y"), ("schoeningh", "Genesis", 1, 2, "z")],
+                                   "translation string, book string, chapter int, verse int, text string")
+    assert {r.verse: r.n_citations for r in R.citation_graph(refs, with_table_names(verses), "work").collect()} == {1: 1, 2: 1}
+
+
+def with_table_names(verses):
+    """The verses under each translation's own name of Genesis."""
+    from versarium import dims
+    tables = {b[2]: b[4] for b in dims.books()}["Genesis"]
+    out = F.col("book")
+    for translation, name in tables.items():
+        out = F.when(F.col("translation") == translation, name).otherwise(out)
+    return verses.withColumn("book", out)

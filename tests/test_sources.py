@@ -189,7 +189,7 @@ def test_corpus_build_ids_are_unique(spark):
 # ---- sinks --------------------------------------------------------------------------------
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(i, f"a{i % 3}", "x" * (i % 7)) for i in range(2500)], "id int, author string, t string")
-    S.write_chunks(df, str(tmp_path / "chunks"), "id")
+    S.write_chunks(df, str(tmp_path / "chunks"), "id", size=1000)
     parts = sorted((tmp_path / "chunks").glob("part-*.csv"))
     assert all(len(p.read_text().splitlines()) <= 1001 for p in parts)
     S.write_partitioned(df, str(tmp_path / "parts"))
@@ -242,3 +242,14 @@ def test_align_stream_keeps_the_pointer(spark, tmp_path):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
     jobs.align_stream(jobs.file_stream(spark, src, schema, files_per_batch=1), "k", "n", "said", "goal", out, str(tmp_path / "c"))
     assert sorted(rows(S.read_latest(spark, out, ["k"]))) == [(1, 5), (2, 0)]
+
+
+def test_late_rows_lose_in_upserts(spark, tmp_path):
+    from versarium.streaming import jobs
+    batches = [[(1, 3, "new"), (2, 1, "old")], [(1, 2, "late"), (2, 5, "newer")], [(1, 1, "later still"), (3, 1, "own")]]
+    for i, part in enumerate(batches):
+        spark.createDataFrame(part, "k int, o int, s string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), "k int, o int, s string", files_per_batch=1)
+    jobs.upsert_stream(stream, str(tmp_path / "t"), ["k"], str(tmp_path / "c"), F.desc("o"))
+    got = S.read_latest(spark, str(tmp_path / "t"), ["k"], order=[F.desc("o")]).collect()
+    assert {(r.k, r.o, r.s) for r in got} == {(1, 3, "new"), (2, 5, "newer"), (3, 1, "own")}

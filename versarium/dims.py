@@ -35,7 +35,7 @@ ALLIOLI_SPECIAL = {
     "1. Könige": "Das 1. Buch der Koenige", "2. Könige": "Das 2. Buch der Koenige",
     "1. Chronik": "Das 1. Buch der Chronik", "2. Chronik": "Das 2. Buch der Chronik",
     "Esra": "Das Buch der Esra", "Nehemia": "Das Buch Nehemias",
-    "1. Makkabäer": "Das 1. Buch der Makkabäer", "2. Makkabäer": "Das 2. Buch der Makkabäer",
+    "1. Makkabäer": "Das 1. Buch der Makkabäer", "2. Makkabäer": "Das 2. Buch der  Makkabäer",
     "Psalmen": "Die Psalmen", "Sprichwörter": "Das Buch der Sprichwörter",
     "Hoheslied": "Das Hohelied", "Weisheit": "Das Buch der Weisheit",
     "Klagelieder": "Die Klagelieder des Jeremia", "Zefanja": "Das Buch Zefania",

@@ -13,10 +13,26 @@ HOT_ROWS = 5_000_000
 RANGES = 4096
 
 
+def measure(df, order):
+    """A number that does not fall as the order column rises, for any type of it."""
+    kind, c = df.schema[order].dataType.typeName(), F.col(order)
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind == "timestamp_ntz":
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if kind in ("string", "varchar", "char"):
+        # the first characters as digits; texts that begin alike share a range
+        digits = [F.ascii(F.substring(c, i + 1, 1)) / F.lit(float(0x110000 ** (i + 1))) for i in range(4)]
+        return sum(digits[1:], digits[0])
+    return c.cast("double")
+
+
 def hot_groups(df, by, order, hot_rows):
     """Groups above ``hot_rows`` with size and span of their order values. The
     whole table as one group (by=()) gives the same as a scalar."""
-    value = F.col(order).cast("double")
+    value = measure(df, order)
     if not by:
         span = F.struct(F.count(F.lit(1)).alias("n_"), F.min(value).alias("lo_"), F.max(value).alias("hi_"))
         span = df.agg(span.alias("s_")).select(F.when(F.col("s_.n_") > hot_rows, F.col("s_")).alias("s_"))
@@ -44,11 +60,11 @@ def _cut(df, hot, by, order, hot_rows, ranges, how):
     pieces = F.least(F.lit(ranges), F.ceil(4 * F.col("n_") / F.lit(hot_rows)).cast("int"))
     if by:
         same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in by]
-        joined = df.join(F.broadcast(hot), same, how)
+        joined = df.join(hot, same, how)
     else:
         joined = df.withColumn("s_", hot).select(df["*"], "s_.*")
         joined = joined if how == "left" else joined.where(F.col("n_").isNotNull())
-    share = (F.col(order).cast("double") - F.col("lo_")) / (F.col("hi_") - F.col("lo_") + 1)
+    share = F.when(F.col("hi_") > F.col("lo_"), (measure(df, order) - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))).otherwise(0.0)
     # rows without an order value sort first, as in the windows
     place = F.when(F.col(order).isNull(), 0).otherwise(
         F.greatest(F.lit(1), F.least(pieces, 1 + F.floor(share * pieces))))
@@ -63,8 +79,7 @@ def _with_earlier(split, by, totals, earlier):
     before = before.select(*[F.col(k).alias(f"b_{k}") for k in by],
                            F.col("range_").alias("b_range_"), "before_")
     same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in by]
-    # at most ten rows per hot_rows rows of hot groups (two levels of ranges)
-    return (split.join(F.broadcast(before), same + [F.col("range_") == F.col("b_range_")], "left")
+    return (split.join(before, same + [F.col("range_") == F.col("b_range_")], "left")
             .drop("b_range_", *[f"b_{k}" for k in by]))
 
 

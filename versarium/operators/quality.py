@@ -15,12 +15,16 @@ def computed_once(df, name, column):
     return df.select(*kept, F.explode(F.array(column)).alias(name))
 
 
-def keep_first_duplicate(df, text, order, scope=(), prefix=100):
-    """First row per scope (file, page) and duplicate key survives."""
-    keyed = computed_once(df, "dup_key_", T.dup_key(F.col(text), prefix))
-    if prefix is None:
-        keyed = keyed.withColumn("dup_key_", F.sha2("dup_key_", 256))
-    return first_per_key(keyed, [*scope, "dup_key_"], order).drop("dup_key_")
+def keep_first_duplicate(df, text, order, scope=(), prefix=None):
+    """First row per scope (file, page) and duplicate key survives.
+
+    Whole texts are compared, by the hash of their key; ``prefix`` compares only that many
+    characters of it. A text without a letter or digit has an empty key and is no copy of another.
+    """
+    key = T.dup_key(F.col(text), prefix)
+    keyed = computed_once(df, "dup_key_", T.let(key, lambda k: F.when(k != "", F.sha2(k, 256))))
+    copies = first_per_key(keyed.where(F.col("dup_key_").isNotNull()), [*scope, "dup_key_"], order)
+    return copies.unionByName(keyed.where(F.col("dup_key_").isNull())).drop("dup_key_")
 
 
 def dedup_exact(df, text, order, scope=()):

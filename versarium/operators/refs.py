@@ -79,7 +79,9 @@ def parse_lectionary_ref(df, keys, ref, compat=False):
     """Verse ranges of a lectionary reference; ``end`` is null for an open one.
 
     compat=True keeps the original reading of verse lists: only ``.`` separates
-    and ``12f`` is 12. By default ``,`` separates too and ``f`` adds a verse.
+    and ``12f`` is 12; of a range over chapters only the first chapter's rest and
+    the last verse count. By default ``,`` separates too, ``f`` adds a verse, and
+    a range over chapters has all of its verses.
     """
     parts = F.transform(F.split(_clean_lectionary(F.col(ref)), ";"), lambda p: F.trim(p))
     full, more = r"^(.+?)\s+(\d+)[,:]\s*(.+)$", r"^(\d+)[,:]\s*(.+)$"
@@ -105,9 +107,16 @@ def parse_lectionary_ref(df, keys, ref, compat=False):
     crossing = F.rlike("verses", F.lit(cross))
     def piece(chapter, verses):
         return F.struct(chapter.cast("int").alias("chapter"), verses.alias("verses"))
-    pieces = F.when(crossing, F.array(
-        piece(F.col("chapter"), F.concat(F.regexp_extract("verses", cross, 1), F.lit("-"))),
-        piece(F.regexp_extract("verses", cross, 2), F.regexp_extract("verses", cross, 3)))
+    begun, ended = F.col("chapter").cast("int"), C.to_int(T.nonempty(F.regexp_extract("verses", cross, 2)))
+    last = F.regexp_extract("verses", cross, 3)
+    # the chapters in between are whole, and the last one begins with its first verse
+    between = F.when(ended - begun > 1, F.transform(
+        F.sequence(begun + 1, F.greatest(ended - 1, begun + 1)), lambda c: piece(c, F.lit("1-"))))
+    none = F.filter(F.array(piece(begun, F.lit(""))), lambda p: F.lit(False))
+    pieces = F.when(crossing, F.concat(
+        F.array(piece(F.col("chapter"), F.concat(F.regexp_extract("verses", cross, 1), F.lit("-")))),
+        none if compat else F.coalesce(between, none),
+        F.array(piece(ended, last if compat else F.concat(F.lit("1-"), last))))
     ).otherwise(F.array(piece(F.col("chapter"), F.col("verses"))))
     rows = rows.select(*keys, "part", "book", F.posexplode(pieces).alias("piece", "q"))
 
@@ -221,8 +230,8 @@ def parallel_translations(verses):
 def citation_graph(citations, verses, work):
     """Cited verse -> number of citing works and citations. ``at`` tells the
     citations of one work apart. Counting per work first leaves one row per work and verse."""
-    one = verses.where(F.col("translation") == "schoeningh")
-    hits = resolve_refs(citations, one, [work, "at"])
+    # a verse counts once, whichever translations have it
+    hits = resolve_refs(citations, verses, [work, "at"]).select(work, "at", "display", "chapter", "verse").distinct()
     per_work = hits.groupBy("display", "chapter", "verse", work).agg(F.count(F.lit(1)).alias("n"))
     return per_work.groupBy("display", "chapter", "verse").agg(
         F.count(F.lit(1)).alias("n_works"), F.sum("n").alias("n_citations"))

@@ -67,7 +67,7 @@ def variant_match(passages, key, text, variants, variant, rank, limit=8):
     hits = substring_join(passages, key, text, variants, variant)
     ranked = hits.join(variants.select(variant, rank), variant)
     best = ranked.groupBy(key).agg(F.min(rank).alias("rank"))
-    return best.orderBy("rank", key).limit(min(max(limit, 1), 15))
+    return best.orderBy("rank", key).limit(max(limit, 1))
 
 
 def term_postings(df, key, text):

@@ -200,7 +200,7 @@ def merge_rows(df, by, order, text, limit=200, hot_rows=O.HOT_ROWS, ranges=O.RAN
 
     def placed(how):
         split = O.ranged(rows, hot, by, order, hot_rows, ranges, how)
-        ready = split.join(F.broadcast(renamed), same, "left").drop(*[f"b_{k}" for k in group])
+        ready = split.join(renamed, same, "left").drop(*[f"b_{k}" for k in group])
         ready = ready.withColumn("start_", F.coalesce("start_", F.lit(0)))
         return in_order(ready).mapInPandas(
             paragraphs, f"{key_schema}, range_ bigint, `{order}` {order_type}, t_ string, paragraph {order_type}")

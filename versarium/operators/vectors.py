@@ -2,7 +2,6 @@
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,16 +11,12 @@ from versarium.functions import text as T
 from versarium.operators.joins import backlog
 from versarium.operators.ordered import top_per_key
 
-# Query vectors up to this number travel with the task; more go in blocks.
-QUERY_BLOCK = 1024
-
-
 def _matrix(values, dims):
     return np.asarray([v for v in values], dtype=np.float64).reshape(-1, dims)
 
 
-def _batch_hits(ids, vectors, query_ids, queries, k, min_similarity):
-    """Per query the best k rows of one batch, by distance then id."""
+def _batch_hits(ids, vectors, query_ids, queries, k, min_similarity, order_by="l2"):
+    """Per query the best k rows of one block, by distance (or similarity), then id."""
     norms = np.linalg.norm(vectors, axis=1)
     q_norms = np.linalg.norm(queries, axis=1)
     dots = vectors @ queries.T
@@ -32,7 +27,8 @@ def _batch_hits(ids, vectors, query_ids, queries, k, min_similarity):
         fits = np.flatnonzero(cosine[:, j] >= min_similarity)
         if len(fits) == 0:
             continue
-        order = fits[np.lexsort((ids[fits], l2[fits, j]))][:k]
+        best = l2[fits, j] if order_by == "l2" else -cosine[fits, j]
+        order = fits[np.lexsort((ids[fits], best))][:k]
         for i in order:
             yield query_id, ids[i], float(cosine[i, j]), float(l2[i, j])
 
@@ -42,61 +38,16 @@ def match_passages(vectors, queries, k=12, min_similarity=0.20, key="vec_id", ve
     """For each query the k nearest vectors with enough cosine similarity.
 
     Rows are filtered by cosine and ordered by L2, as for unit vectors the two
-    agree; order_by='cosine' ranks by similarity. Each Arrow batch is one
-    matrix product and gives at most k rows per query; the final ranking sees
-    only those. Queries beyond QUERY_BLOCK run in blocks over the same scan.
+    agree; order_by='cosine' ranks by similarity. See match_all for the plan.
     """
-    blocks = _query_blocks(queries, query_key, vector)
-    key_type = vectors.schema[key].dataType.simpleString()
-    query_type = queries.schema[query_key].dataType.simpleString()
-
-    def scan(batches):
-        for batch in batches:
-            ids = np.asarray(batch.column(0).to_pylist())
-            if len(ids) == 0:
-                continue
-            for query_ids, matrix in blocks:
-                rows = list(_batch_hits(ids, _matrix(batch.column(1).to_pylist(), matrix.shape[1]), query_ids, matrix,
-                                        k, min_similarity))
-                cols = list(zip(*rows)) if rows else [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r if isinstance(r, str) else int(r) for r in cols[0]], type=_arrow(query_type)),
-                     pa.array([r if isinstance(r, str) else int(r) for r in cols[1]], type=_arrow(key_type)),
-                     pa.array(cols[2], type=pa.float64()), pa.array(cols[3], type=pa.float64())],
-                    names=[query_key, key, "similarity", "distance"])
-
-    hits = vectors.select(key, vector).mapInArrow(
-        scan, f"{query_key} {query_type}, {key} {key_type}, similarity double, distance double")
-    rank = [F.col("distance"), F.col(key)] if order_by == "l2" else [F.desc("similarity"), F.col(key)]
-    return top_per_key(hits, [query_key], k, *rank).withColumnRenamed("rank_", "rank")
-
-
-def _arrow(name):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
-
-
-def _query_blocks(queries, query_key, vector):
-    """Queries as matrices of at most QUERY_BLOCK rows. The query side is read
-    once; it is the answer to be given, k rows per query, and its size is
-    checked against MAX_QUERIES."""
-    rows = queries.select(query_key, vector).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError("too many query vectors for one call; use match_all")
-    rows.sort(key=lambda r: r[0])
-    out = []
-    for start in range(0, len(rows), QUERY_BLOCK):
-        part = rows[start:start + QUERY_BLOCK]
-        out.append(([r[0] for r in part], np.asarray([r[1] for r in part], dtype=np.float64)))
-    return out
-
-
-MAX_QUERIES = 16_384
+    return match_all(vectors, queries, k, min_similarity, key, vector, query_key, order_by=order_by)
 
 
 def match_all(vectors, queries, k=12, min_similarity=0.20, key="vec_id", vector="embedding", query_key="query_id",
-              vector_bucket=50_000, query_bucket=2_000):
-    """match_passages for a query side of any size: both sides are cut into
-    buckets by key hash and each pair of buckets is one bounded matrix product."""
+              vector_bucket=50_000, query_bucket=2_000, order_by="l2"):
+    """Both sides are cut into buckets by key hash and each pair of buckets is one
+    bounded matrix product with at most k rows per query; the final ranking sees
+    only those. Neither side passes through the driver, at any size."""
     n_v = max(1, -(-vectors.count() // vector_bucket))
     n_q = max(1, -(-queries.count() // query_bucket))
     left = (vectors.select(key, vector).withColumn("vb", F.pmod(F.xxhash64(key), F.lit(n_v)))
@@ -112,22 +63,20 @@ def match_all(vectors, queries, k=12, min_similarity=0.20, key="vec_id", vector=
             return pd.DataFrame({c: [] for c in columns})
         matrix = np.asarray(qry["q_"].tolist(), dtype=np.float64)
         rows = _batch_hits(vec[key].to_numpy(), _matrix(vec[vector].tolist(), matrix.shape[1]), qry[query_key].tolist(),
-                           matrix, k, min_similarity)
+                           matrix, k, min_similarity, order_by)
         return pd.DataFrame(rows, columns=columns)
 
     hits = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(
         block, f"{query_key} {query_type}, {key} {key_type}, similarity double, distance double")
-    return top_per_key(hits, [query_key], k, "distance", key).withColumnRenamed("rank_", "rank")
+    rank = [F.col("distance"), F.col(key)] if order_by == "l2" else [F.desc("similarity"), F.col(key)]
+    return top_per_key(hits, [query_key], k, *rank).withColumnRenamed("rank_", "rank")
 
 
-def assign_cells(vectors, lists=100, sample=100_000, seed=7, vector="embedding"):
-    """Add the inverted list of each vector. The centres are trained on at most
-    about ``sample`` vectors; every vector is assigned."""
-    n = vectors.count()
-    lists = max(1, min(lists, n))
+def assign_cells(vectors, lists=100, seed=7, vector="embedding"):
+    """Add the inverted list of each vector. The centres are trained on all of them."""
+    lists = max(1, min(lists, vectors.count()))
     base = vectors.withColumn("f_", array_to_vector(vector))
-    train = base if n <= sample else base.sample(sample / n, seed)
-    model = KMeans(k=lists, seed=seed, featuresCol="f_", predictionCol="cell", maxIter=10).fit(train)
+    model = KMeans(k=lists, seed=seed, featuresCol="f_", predictionCol="cell", maxIter=10).fit(base)
     centres = [c.tolist() for c in model.clusterCenters()]
     return model.transform(base).drop("f_"), centres
 
@@ -168,9 +117,24 @@ def hashed_encoder(df, text, dims=64, out="embedding"):
     return counted.withColumn(out, unit).drop("tok_", "tf_")
 
 
+def pieces(c, limit):
+    """A text cut into pieces of at most ``limit`` characters; an empty text is one."""
+    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.length(c) - 1) / limit), F.lit(0)).cast("int"))
+    return F.transform(starts, lambda i: F.substring(c, i * limit + 1, F.lit(limit)))
+
+
+def encode_whole(items, key, text, limit=6000, encoder=hashed_encoder, out="embedding"):
+    """One vector per item for an encoder that takes ``limit`` characters: longer
+    texts are encoded piece by piece and averaged by length."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    parts = items.select(key, F.posexplode(T.let(whole, lambda t: pieces(t, limit))).alias("part_", "input_"))
+    coded = encoder(parts, "input_").select(key, F.greatest(F.length("input_"), F.lit(1)).alias("weight_"),
+                                            F.posexplode(out).alias("dim_", "x_"))
+    mean = (F.sum(F.col("x_").cast("double") * F.col("weight_")) / F.sum("weight_")).cast("float")
+    return (coded.groupBy(key, "dim_").agg(mean.alias("x_")).groupBy(key)
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim_", "x_"))), lambda d: d["x_"]).alias(out)))
+
+
 def embed_backlog(items, done, key, text, limit=6000, encoder=hashed_encoder):
-    """Vectors for the items that have none. Only the encoder input is cut at
-    ``limit`` characters, as the encoder would."""
-    todo = backlog(items.select(key, text), done, key)
-    prepared = todo.withColumn("input_", T.truncate_text(F.col(text), limit))
-    return encoder(prepared, "input_").drop("input_", text)
+    """Vectors for the items that have none, of their whole texts."""
+    return encode_whole(backlog(items.select(key, text), done, key), key, text, limit, encoder)

@@ -27,7 +27,7 @@ def corpus_build(pages, language="de", min_words=15):
     parts = H.content_blocks(content).select("page_id", F.posexplode("blocks").alias("pos", "b"))
     texts = parts.where(F.col("b.kind").isin("paragraph", "list")).select("page_id", "pos", F.col("b.text").alias("text"))
     chunks = texts.select("page_id", "pos", F.posexplode(G.chunk_400(F.col("text"))).alias("sub", "text"))
-    placed = chunks.withColumn("ord", F.col("pos") * 10_000 + F.col("sub"))
+    placed = chunks.withColumn("ord", F.struct("pos", "sub"))
     named = placed.join(meta, "page_id")
     clean = K.computed_once(named, "text", T.deep_clean(F.col("text")))
     valid = clean.where(T.word_count(F.col("text")) >= min_words)
@@ -60,4 +60,4 @@ def passage_search(requests, key, passages, passage_key, text, limit=8):
     lowered = passages.select(passage_key, F.lower(text).alias("low_"))
     hits = X.substring_join(lowered, passage_key, "low_", variants, "variant").join(variants, "variant")
     best = hits.groupBy(key, passage_key).agg(F.min("variant_rank").alias("best"))
-    return O.top_per_key(best, [key], min(max(limit, 1), 15), "best", passage_key).withColumnRenamed("rank_", "pos")
+    return O.top_per_key(best, [key], max(limit, 1), "best", passage_key).withColumnRenamed("rank_", "pos")

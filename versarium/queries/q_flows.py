@@ -64,7 +64,7 @@ def upsert_stream(spark, sf_dir):
     path = scratch(spark)
     stream = jobs.file_stream(spark, sf_dir, load(spark, sf_dir, "events").schema, "events.parquet").select("user_id", "event_id")
     jobs.upsert_stream(stream, f"{path}/t", ["user_id"], f"{path}/c", F.desc("event_id"))
-    return writers.read_latest(spark, f"{path}/t", ["user_id"])
+    return writers.read_latest(spark, f"{path}/t", ["user_id"], order=[F.desc("event_id")])
 
 
 @query("ingest_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

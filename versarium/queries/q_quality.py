@@ -15,7 +15,7 @@ from versarium.session import load, load_text
 _CLEAN = S.staged("SELECT doc_id, source, text AS t FROM documents", S.deep_clean_steps())
 _KEPT = f"""SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY doc_id) AS rn FROM (
-      SELECT *, {S.dup_key('t')} AS k FROM ({_CLEAN}) WHERE {S.valid('t')}))
+      SELECT *, {S.copy_key('t', 'doc_id')} AS k FROM ({_CLEAN}) WHERE {S.valid('t')}))
   WHERE rn = 1 AND {S.n_words('t')} >= 15"""
 
 
@@ -114,17 +114,17 @@ def _numbered():
 
 
 @query("dup_key_first", f"""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER
-  (PARTITION BY source, {S.dup_key('text')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
+  (PARTITION BY source, {S.copy_key('text', 'doc_id')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
 def dup_key_first(spark, sf_dir):
     docs = load_text(spark, sf_dir, "documents", "doc_id", "source", "text")
     return K.keep_first_duplicate(docs, "text", "doc_id", ["source"]).select("doc_id", "source")
 
 
 @query("dup_whole_text_first", f"""SELECT doc_id FROM (SELECT doc_id, row_number() OVER
-  (PARTITION BY {S.dup_key('text', None)} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
+  (PARTITION BY {S.copy_key('text', 'doc_id')} ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""")
 def dup_whole_text_first(spark, sf_dir):
     docs = load_text(spark, sf_dir, "documents", "doc_id", "text")
-    return K.keep_first_duplicate(docs, "text", "doc_id", prefix=None).select("doc_id")
+    return K.keep_first_duplicate(docs, "text", "doc_id").select("doc_id")
 
 
 @query("dedup_in_page", f"""SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER

@@ -40,6 +40,15 @@ def parse_lectionary_ref(spark, sf_dir):
     return R.parse_lectionary_ref(inputs.lectionary_refs(spark, sf_dir), ["o_orderkey"], "ref").drop("piece")
 
 
+@query("cross_chapter_refs", f"""WITH {_CITING} SELECT o_orderkey, display, c + unnest([0, 1, 2]) AS chapter, unnest([s, 1, 1]) AS start,
+  unnest([NULL, NULL, e]) AS "end" FROM citing""")
+def cross_chapter_refs(spark, sf_dir):
+    spaced = F.regexp_replace("abbr", r"^([123])", "$1 ")
+    asked = inputs.citing(spark, sf_dir).select("o_orderkey", F.format_string(
+        "%s %d, %d - %d, %d", spaced, "c", "s", F.col("c") + 2, "e").alias("ref"))
+    return R.parse_lectionary_ref(asked, ["o_orderkey"], "ref").drop("part", "piece", "item")
+
+
 @query("resolve_refs", f"""WITH {_RANGES}, {_VERSES} SELECT DISTINCT o_orderkey, r.display, translation, r.chapter, verse, text
   FROM ranges r JOIN verses v ON r.display = v.display AND r.chapter = v.chapter AND verse BETWEEN start AND "end" """)
 def resolve_refs(spark, sf_dir):
@@ -76,7 +85,7 @@ def parallel_translations(spark, sf_dir):
 
 
 @query("citation_graph", f"""WITH {_FOUND}, {_VERSES} SELECT f.display, f.chapter, verse, count(DISTINCT o_orderkey) AS n_works,
-  count(*) AS n_citations FROM found f JOIN verses v ON translation = 'schoeningh' AND f.display = v.display
+  count(*) AS n_citations FROM found f JOIN (SELECT DISTINCT display, chapter, verse FROM verses) v ON f.display = v.display
   AND f.chapter = v.chapter AND verse BETWEEN start AND "end" GROUP BY ALL""")
 def citation_graph(spark, sf_dir):
     found = R.find_refs(inputs.citing_texts(spark, sf_dir), ["o_orderkey"], "text")

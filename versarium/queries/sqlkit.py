@@ -80,6 +80,11 @@ def valid(t):
             f"AND len(list_filter({w}, lambda s: length(s) <= 3)) <= 0.7 * len({w}))")
 
 
+def copy_key(x, row):
+    """The whole-text key; a text with an empty one has a key of its own."""
+    return f"(SELECT CASE WHEN k = '' THEN 'row ' || {row} ELSE 'key ' || k END FROM (SELECT {dup_key(x, None)} AS k))"
+
+
 def dup_key(x, prefix=100):
     key = f"trim({sql_chain(f'lower({x})', P.DUP_NOISE)})"
     return key if prefix is None else f"substring({key}, 1, {prefix})"

@@ -32,6 +32,7 @@ def local_session(cores="8", app_name="versarium-local"):
     return build_session(
         app_name,
         f"local[{cores}]",
+        versarium__local__spread=str(cores),
         spark__sql__shuffle__partitions=str(cores),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark):
     if shared:
         context.setCheckpointDir(shared)
     elif context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="versarium-ckpt-"))
     return context.getCheckpointDir()
 
@@ -56,12 +59,10 @@ def load(spark, sf_dir, table):
 
 
 def spread(df, *keys):
-    """Give CPU-heavy text work one partition per core when the scan yields
-    fewer (a few small files). A large table keeps its scan partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    """In a session of local_session(), whose tables are single files, deal the rows
+    to the cores by key. On a cluster a scan keeps its partitions."""
+    cores = df.sparkSession.conf.get("versarium.local.spread", None)
+    return df.repartition(int(cores), *keys) if cores else df
 
 
 TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}

@@ -16,8 +16,9 @@ def write_master_sorted(df, path, *order, mode="overwrite"):
     df.orderBy(*order).write.mode(mode).parquet(path)
 
 
-def write_chunks(df, path, *order, size=1000, mode="overwrite"):
-    """CSV files of at most ``size`` rows, in order of their names."""
+def write_chunks(df, path, *order, size=0, mode="overwrite"):
+    """CSV files in order of their names, of at most ``size`` rows if given;
+    else one per task of the sort."""
     (df.orderBy(*order).write.mode(mode).option("maxRecordsPerFile", size)
      .csv(path, header=True, escape='"'))
 
@@ -26,7 +27,7 @@ def compact_projection(df, path, *columns, mode="overwrite"):
     df.select(*columns).write.mode(mode).parquet(path)
 
 
-def truncate_load(df, path, size=1000):
+def truncate_load(df, path, size=0):
     """Replace the whole table."""
     df.write.mode("overwrite").option("maxRecordsPerFile", size).parquet(path)
 
@@ -40,22 +41,24 @@ def merge_latest(base, updates, keys, order):
 
 def upsert(df, path, keys, version, *order):
     """Store a batch as version ``version``. Only the batch is written, one row
-    per key; running the same version again replaces it, so a retry is safe."""
-    last = first_per_key(df, keys, *order) if order else df.dropDuplicates(keys)
+    per key, the first by ``order``; running the same version again replaces it,
+    so a retry is safe. Without an order the batch has to hold a key once."""
+    last = first_per_key(df, keys, *order) if order else df
     last.write.mode("overwrite").parquet(f"{path}/v={version:010d}")
 
 
-def read_latest(spark, path, keys, before=None):
-    """The newest stored row of every key, from the versions below ``before``."""
+def read_latest(spark, path, keys, before=None, order=()):
+    """The stored row of every key that comes first by ``order`` and, among
+    equals, has the newest version; from the versions below ``before``."""
     stored = spark.read.parquet(path)
     if before is not None:
         stored = stored.where(F.col("v").cast("bigint") < before)
-    return first_per_key(stored, keys, F.desc("v")).drop("v")
+    return first_per_key(stored, keys, *order, F.desc("v")).drop("v")
 
 
-def compact(spark, path, keys, target):
+def compact(spark, path, keys, target, order=()):
     """Write the newest rows as version 0 of a new table folder."""
-    upsert(read_latest(spark, path, keys), target, keys, 0)
+    upsert(read_latest(spark, path, keys, order=order), target, keys, 0)
 
 
 def next_version(spark, path):

@@ -3,9 +3,8 @@ batch id, so a batch that runs twice leaves the same data."""
 
 from pyspark.sql import functions as F
 
-from versarium.functions import text as T
 from versarium.operators.segment import greedy_align
-from versarium.operators.vectors import hashed_encoder
+from versarium.operators.vectors import encode_whole, hashed_encoder
 from versarium.sources.writers import read_latest, upsert
 
 
@@ -26,7 +25,8 @@ def ingest(stream, path, checkpoint):
 
 
 def upsert_stream(stream, path, keys, checkpoint, *order):
-    """STR3: keep the newest row per key."""
+    """STR3: keep the newest row per key. ``order`` (newest first) decides, also
+    over batches: read with ``read_latest(..., order=order)``, late rows lose."""
     def store(batch, batch_id):
         upsert(batch, path, keys, batch_id, *order)
     run_available(stream.writeStream.foreachBatch(store).outputMode("append"), checkpoint)
@@ -46,11 +46,10 @@ def latest_stream(stream, key, order, fields, path, checkpoint):
 
 def backlog_stream(stream, done, key, text, path, checkpoint, encoder=hashed_encoder, limit=6000):
     """STR2 and STR6: items without a stored result are computed and stored."""
-    todo = stream.join(done.select(key), key, "left_anti").select(
-        key, T.truncate_text(F.col(text), limit).alias("input_"))
+    todo = stream.join(done.select(key), key, "left_anti").select(key, text)
 
     def store(batch, batch_id):
-        upsert(encoder(batch, "input_").drop("input_"), path, [key], batch_id)
+        upsert(encode_whole(batch, key, text, limit, encoder), path, [key], batch_id)
     run_available(todo.writeStream.foreachBatch(store).outputMode("append"), checkpoint)
 
 
