@@ -70,8 +70,8 @@ def op8_substring_dedup(spark, sf_dir):
 def op4_toxicity(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     labels = load(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    learned = docs.filter(crc_fold(F.col("doc_id"), 3) != 1).join(labels, "doc_id")
-    found = toxicity.scored(docs, toxicity.train(learned))
+    labels = labels.filter(crc_fold(F.col("doc_id"), 3) != 1)
+    found = toxicity.scored(docs, toxicity.train(docs, labels))
     return found.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 

@@ -93,18 +93,22 @@ class Machine:
         return self
 
 
-def train(labelled, sample=SAMPLE, bits=BITS):
-    """A Machine from (text, label) rows; rows with a null text or label are left out.
+def train(documents, labels, sample=SAMPLE, bits=BITS, id_col="doc_id", text_col="text", label_col="label"):
+    """A Machine from the texts of labelled documents; null ids, texts and labels are left out.
 
-    Fitted on up to `sample` rows, those with the least hash of their text (the documented bound: one
-    task holds the hashed terms of so many rows, and what returns is 2^bits * (FACTORS + 1) numbers).
+    Fitted on up to `sample` labels, those with the least hash of their id (the documented bound: so
+    many ids are broadcast to the scan of the texts, one task holds the hashed terms of so many
+    texts, and what returns is 2^bits * (FACTORS + 1) numbers).
     """
-    rows = labelled.filter("text is not null and label is not null").select("label", F.xxhash64("text").alias("h"), "text")
-    rows = rows.orderBy("h").limit(sample).select("label", "h", hashed_terms(F.col("text"), bits).alias("terms"))
+    chosen = pick(labels, doc_id=id_col, label=label_col).filter("doc_id is not null and label is not null")
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    docs = pick(documents, doc_id=id_col, text=text_col).filter("text is not null")
+    rows = docs.join(chosen, "doc_id").select("label", "doc_id", hashed_terms(F.col("text"), bits).alias("terms"))
+
     rows = rows.withColumn("machine", F.lit(0))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["h", "label"], kind="stable")  # the same rows give the same machine
+        group = group.sort_values(["doc_id", "label"], kind="stable")  # the same rows give the same machine
         machine = Machine(bits).fit(list(group["terms"]), group["label"])
         used = np.flatnonzero((machine.w != 0) | (machine.v != 0).any(axis=1))
         out = pd.DataFrame({"term": np.append(used, -1), "w": np.append(machine.w[used], machine.bias)})
