@@ -65,8 +65,21 @@ def strip_page_numbers(c):
     return chain(c, P.PAGE_NUMBERS)
 
 
+def where_found(c, needed, rules):
+    """Apply rules that change no text without ``needed``: a literal or a pattern."""
+    def found(t):
+        return F.contains(t, F.lit(needed)) if isinstance(needed, str) else needed.found(t)
+    return let(c, lambda t: F.when(found(t), chain(t, rules)).otherwise(t))
+
+
 def strip_biblio_refs(c):
-    return let(c, lambda t: F.when(P.ANY_BIBLIO.found(t), chain(t, P.BIBLIO_REFS)).otherwise(t))
+    rules = P.BIBLIO_REFS
+    c = where_found(c, ":", rules[:5])
+    c = where_found(c, P.DIGIT, rules[5:6])
+    c = where_found(c, P.KV, rules[6:8])
+    c = where_found(c, "(", rules[8:10])
+    c = where_found(c, P.STOP_AND_LETTER, rules[10:13])
+    return where_found(c, P.DIGIT, rules[13:])
 
 
 def _keep_lines(c, keep):
@@ -145,15 +158,20 @@ def charset_whitelist(c):
 
 
 def deep_clean(c):
-    """The full corpus cleaning, in its fixed order."""
-    c = trim_artifacts(blank_null(c))
-    c = strip_page_numbers(c)
-    c = strip_footnote_refs(c)
-    c = chain(c, P.NUMBERING)
-    c = strip_web_artifacts(c)
-    c = strip_biblio_refs(c)
-    c = drop_name_lists(c)
-    return tidy_punctuation(c)
+    """The full corpus cleaning: trim artifacts, page numbers, footnote marks,
+    numbering, web artifacts, references, name lists, punctuation, in this
+    order. A rule runs only on texts that hold what it looks for."""
+    c = P.TRIM_ARTIFACTS[0].sub(blank_null(c))
+    c = where_found(c, P.DIGIT, P.TRIM_ARTIFACTS[1:] + P.PAGE_NUMBERS)
+    c = where_found(c, "\u21a9", P.FOOTNOTE_REFS[:1])
+    c = where_found(c, P.DIGIT, P.FOOTNOTE_REFS[1:] + P.NUMBERING)
+    c = where_found(c, "://", P.WEB_ARTIFACTS[:1])
+    c = where_found(c, "www.", P.WEB_ARTIFACTS[1:2])
+    c = where_found(c, P.DIGIT, P.WEB_ARTIFACTS[2:])
+    c = drop_name_lists(strip_biblio_refs(c))
+    for needed, rule in zip(("(", "[", P.TWO_COMMAS, P.TWO_STOPS), P.TIDY):
+        c = where_found(c, needed, [rule])
+    return trim_space(chain(c, P.TIDY[4:]))
 
 
 def clean_segment(c):

@@ -37,8 +37,9 @@ def quality_gate(df, text, order, scope=(), min_words=15):
     """Clean, validate, drop duplicates, recount words, drop short texts."""
     cleaned = computed_once(df, text, T.deep_clean(F.col(text)))
     valid = computed_once(cleaned, "valid_", Q.valid_text(F.col(text))).where("valid_").drop("valid_")
-    unique = keep_first_duplicate(valid, text, order, scope)
-    return unique.withColumn("n_words", T.word_count(F.col(text))).where(F.col("n_words") >= min_words)
+    # counted before the shuffle, so that a report without the text does not move it
+    counted = valid.withColumn("n_words", T.word_count(F.col(text)))
+    return keep_first_duplicate(counted, text, order, scope).where(F.col("n_words") >= min_words)
 
 
 def before_after(before, after, by):

@@ -14,6 +14,9 @@ FOOTNOTE_REFS = [Rx(r"\x{21A9}\x{FE0E}?"), Rx(r"\[\d+\]"), Rx(r"\(\d+\)")]
 PAGE_NUMBERS = [Rx(r"S\.\s*\d+"), Rx(r"^\s*\d+\s*", flags="m"), Rx(r"\s+\d+\s*$", flags="m")]
 TRIM_ARTIFACTS = [Rx(r",\s*de\s*\z"), Rx(r",\s*\d+\s*\z"), Rx(r"\s+\d+\s*\z"), Rx(r"\A\d+\s*,")]
 NUMBERING = [Rx(r"\d+\.")]
+# What a text must hold for the rules above and below to change it.
+DIGIT = Rx(r"\d")
+TWO_COMMAS, TWO_STOPS = Rx(r"[,;]\s*[,;]"), Rx(r"\.\s*\.")
 WEB_ARTIFACTS = [Rx(r"https?://\S+"), Rx(r"www\.\S+"), Rx(r"[A-Z]{2,}\s*\d+")]
 
 
@@ -31,12 +34,10 @@ BIBLIO_REFS = [
     Rx(r"cap\.\s*\d+", flags="i"), Rx(r"§\s*\d+", flags="i"), Rx(r"Nr\.\s*\d+", flags="i"),
     Rx(r"n\.\s*\d+", flags="i"),
 ]
-# Finds any text that one of BIBLIO_REFS would change; others skip the list.
-ANY_BIBLIO = any_of([
-    "Titel Werk:", "Autor:", "Identifier:", "Tag:", "Time:", r"CPG\s*\d", "BKV", "SWKV", r"Übersetzung\s*\(",
-    r"Kommentar\s*\(", r"lib\.\s*[IVX]", r"Hist\.\s*\w", r"E\.\s*[IVX]", r"c\.\s*\d", r"cap\.\s*\d", r"§\s*\d",
-    r"Nr\.\s*\d", r"n\.\s*\d",
-], "i")
+# What the rules above need: 0-4 ":", 5 and 13-17 a digit,
+# 6-7 KV, 8-9 "(", 10-12 STOP_AND_LETTER.
+KV = Rx(r"[Kk][Vv]")
+STOP_AND_LETTER = Rx(r"(?:ib|st|e)\.\s*\w", flags="i")
 PAGE_REFS = [
     Rx(BOW + r"S\.\s*\d+"), Rx(BOW + r"\d+\.\s*\d+" + EOW), Rx(BOW + r"[IVX]+,\s*c\.\s*\d+\.?"),
 ]
