@@ -388,3 +388,13 @@ def with_table_names(verses):
     for translation, name in tables.items():
         out = F.when(F.col("translation") == translation, name).otherwise(out)
     return verses.withColumn("book", out)
+
+
+def test_both_substring_joins_agree_on_repeated_keys(spark):
+    df = spark.createDataFrame([(1, "abab xyz"), (1, "xyz b"), (2, "ab"), (2, None), (3, ""), (None, "ab")], "k int, t string")
+    pats = spark.createDataFrame([("ab",), ("b",), ("xyz",), ("",), (None,), ("ab",), ("q",)], "p string")
+    want = {(1, "ab"), (1, "b"), (1, "xyz"), (2, "ab"), (2, "b")}
+    for block in (2, 1000):
+        assert {tuple(r) for r in X.substring_join(df, "k", "t", pats, "p", block).collect()} == want | {(None, "ab"), (None, "b")}
+    assert {tuple(r) for r in X.seeded_join(df.where("k is not null"), "k", "t", pats, "p").collect()} == want
+    assert X.substring_join(df, "k", "t", pats.limit(0), "p").count() == 0

@@ -2,6 +2,7 @@
 
 import re
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from versarium import dims
@@ -210,14 +211,16 @@ def psalm_fallback(refs, verses, keys, min_verse=16):
     """References that find nothing in the old psalm numbering are looked up in
     the psalm before, from verse 16 on."""
     ids = [*keys, "part", "item"]
-    direct = resolve_refs(refs, verses, ids)
     old = ((F.col("display") == "Psalmen")
            & ((F.col("start") >= min_verse) | (F.col("end") >= min_verse)))
-    found = direct.where(F.col("translation") == "allioli").select(*ids).distinct()
-    missing = refs.where(old).join(found, ids, "left_anti")
-    shifted = missing.withColumn("chapter", F.col("chapter") - 1)
-    again = resolve_refs(shifted, verses.where(F.col("translation") == "allioli"), ids)
-    return direct.unionByName(again.withColumn("chapter", F.col("chapter") + 1))
+    # both chapters are asked for at once; the psalm before counts only where its own has nothing
+    shifts = F.when(old, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    asked = refs.withColumn("shift_", F.explode(shifts)).withColumn("chapter", F.col("chapter") - F.col("shift_"))
+    hits = resolve_refs(asked, verses, [*ids, "shift_"])
+    direct, allioli = F.col("shift_") == 0, F.col("translation") == "allioli"
+    found = F.max(F.when(direct & allioli, 1)).over(W.partitionBy(*ids))
+    kept = hits.where(direct | allioli).withColumn("found_", found).where(direct | F.col("found_").isNull())
+    return kept.withColumn("chapter", F.col("chapter") + F.col("shift_")).drop("shift_", "found_").distinct()
 
 
 def parallel_translations(verses):

@@ -1,5 +1,6 @@
 """Substring, term and combined search (FLT7-8, JN10, TXS1-TXS3, DUP2)."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from versarium import dims
@@ -11,8 +12,8 @@ from versarium.operators import refs as R
 from versarium.operators import segment as G
 from versarium.operators.ordered import top_per_key
 
-# Pattern lists up to this size travel inside the expression.
-INLINE_PATTERNS = 1024
+# Patterns of one automaton.
+PATTERN_BLOCK = 50_000
 
 
 def ilike_search(df, text, term, order, limit=10):
@@ -31,33 +32,57 @@ def qgrams(c, q):
     return F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % q), F.lit(1)))
 
 
-def substring_join(df, key, text, patterns, pattern):
-    """All (key, pattern) pairs where the text contains the pattern.
+def substring_join(df, key, text, patterns, pattern, block=PATTERN_BLOCK):
+    """The distinct (key, pattern) pairs where a text of the key contains the pattern.
 
-    A list of up to INLINE_PATTERNS strings is tested inside the row; a longer
-    one goes through seeded_join. The count is checked before anything is read.
+    Texts are dealt to slices by key and patterns to blocks of about ``block``; each
+    pair of slice and block is one pass of an automaton over the texts, whose cost does
+    not depend on the number of patterns. Neither side passes through the driver.
     """
-    few = patterns.select(pattern).distinct().limit(INLINE_PATTERNS + 1).collect()
-    if len(few) > INLINE_PATTERNS:
-        return seeded_join(df, key, text, patterns, pattern)
-    values = sorted(r[0] for r in few if r[0])
-    if not values:
-        return df.select(key, F.lit("").alias(pattern)).where(F.lit(False))
-    table = F.array(*[F.lit(v) for v in values])
-    return df.select(key, F.explode(F.filter(table, lambda v: F.contains(F.col(text), v))).alias(pattern))
+    wanted = patterns.select(F.col(pattern).alias("pattern_")).where(F.length("pattern_") > 0).distinct()
+    blocks = max(1, -(-wanted.count() // block))
+    slices = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def numbers(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    texts = df.select(F.col(key).alias("key_"), F.col(text).alias("text_")).where(F.col("text_").isNotNull()).select(
+        "*", F.pmod(F.xxhash64("key_"), F.lit(slices)).cast("int").alias("slice_"), numbers(blocks).alias("block_"))
+    sought = wanted.select("pattern_", F.pmod(F.xxhash64("pattern_"), F.lit(blocks)).cast("int").alias("block_"),
+                           numbers(slices).alias("slice_"))
+
+    def contained(left: pa.Table, right: pa.Table) -> pa.Table:
+        import ahocorasick
+        words, rows, which = right.column("pattern_").to_pylist(), [], []
+        automaton = ahocorasick.Automaton()
+        for i, word in enumerate(words):
+            automaton.add_word(word, i)
+        if words and left.num_rows:
+            automaton.make_automaton()
+            for n, value in enumerate(left.column("text_").to_pylist()):
+                found = {i for _, i in automaton.iter(value)}
+                rows += [n] * len(found)
+                which += found
+        return pa.table({key: left.column("key_").take(pa.array(rows, pa.int64())),
+                         pattern: right.column("pattern_").take(pa.array(which, pa.int64()))})
+
+    kind = df.schema[key].dataType.simpleString()
+    return (texts.groupBy("slice_", "block_").cogroup(sought.groupBy("slice_", "block_"))
+            .applyInArrow(contained, f"`{key}` {kind}, `{pattern}` string").distinct())
 
 
 def seeded_join(df, key, text, patterns, pattern, q=None):
-    """Join on the first q characters of the pattern, which stand somewhere in
-    every text that contains it, then verify each candidate pair. Only keys and
-    seeds are exploded; the texts are joined back once."""
+    """The same pairs without Python: join on the first q characters of the pattern,
+    which stand somewhere in every text that contains it, then verify each candidate.
+    Only keys and seeds are exploded; the texts are joined back once. Meant for
+    patterns of some length: q is at most that of the shortest."""
     wanted = patterns.select(pattern).where(F.length(pattern) > 0).distinct()
     if q is None:
         q = max(1, min(8, wanted.agg(F.min(F.length(pattern))).first()[0] or 1))
     keyed = df.select(key, F.explode(qgrams(F.col(text), q)).alias("seed_"))
     sought = wanted.withColumn("seed_", F.substring(pattern, 1, q))
-    pairs = keyed.join(sought, "seed_").select(key, pattern)
-    return pairs.join(df.select(key, text), key).where(F.contains(F.col(text), F.col(pattern))).select(key, pattern)
+    pairs = keyed.join(sought, "seed_").select(key, pattern).distinct()
+    found = pairs.join(df.select(key, text), key).where(F.contains(F.col(text), F.col(pattern)))
+    return found.select(key, pattern).distinct()
 
 
 def variant_match(passages, key, text, variants, variant, rank, limit=8):

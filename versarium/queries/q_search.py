@@ -34,6 +34,13 @@ def substring_join(spark, sf_dir):
     return X.substring_join(docs, "doc_id", "text", needles, "needle").join(needles, "needle").select("doc_id", "item_id")
 
 
+@query("substring_join_whole", """SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+def substring_join_whole(spark, sf_dir):
+    docs = load_text(spark, sf_dir, "documents", "doc_id", "text")
+    needles = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
+    return X.substring_join(docs, "doc_id", "text", needles, "needle").join(needles, "needle").select("doc_id", "item_id")
+
+
 @query("substring_join_seeded", """SELECT doc_id, item_id FROM documents d JOIN (SELECT item_id,
   regexp_extract(text, '^[^.]*', 0) AS needle FROM benchmark) ON contains(text, needle)""")
 def substring_join_seeded(spark, sf_dir):
