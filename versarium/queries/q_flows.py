@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from versarium import dims
+from versarium.operators import refs as R
 from versarium.operators import segment as G
 from versarium.functions import sqlreg
 from versarium.functions import text as T
@@ -153,3 +154,12 @@ def passage_search(spark, sf_dir):
     asked = inputs.citing(spark, sf_dir).select("book_ix", F.col("display").alias("book")).distinct().withColumns({
         "chapter": F.col("book_ix") % 29 + 1, "verse": F.col("book_ix") % 20 + 1})
     return corpus.passage_search(asked, "book_ix", inputs.citing_texts(spark, sf_dir), "o_orderkey", "text")
+
+
+@query("fallback_latest", """WITH main AS (SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+  SELECT * FROM main UNION ALL SELECT o_custkey, max(o_orderkey) FROM orders WHERE o_orderstatus <> 'F' AND o_custkey <= 100
+    AND o_custkey NOT IN (SELECT o_custkey FROM main) GROUP BY o_custkey""")
+def fallback_latest(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    main, other = orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus <> 'F'")
+    return R.fallback_latest(main, other, "o_custkey", range(1, 101), F.desc("o_orderkey")).select("o_custkey", "o_orderkey")

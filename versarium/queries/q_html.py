@@ -8,7 +8,7 @@ from versarium.operators import html as H
 from versarium.queries import sqlkit as S
 from versarium.queries.registry import query
 from versarium.rx import sql_chain
-from versarium.session import load_text
+from versarium.session import load, load_text
 from versarium.sources import readers as R
 
 
@@ -143,3 +143,22 @@ _UNWANTED = " OR ".join(f"contains(lower(text), '{w}')" for w in P.UNWANTED_WORD
 @query("content_fallback", f"SELECT page_id, text FROM ({_BLOCK}) WHERE pos > 0 AND length(text) > 20 AND NOT ({_UNWANTED})")
 def content_fallback(spark, sf_dir):
     return H.content_fallback(parsed(spark, sf_dir), ["page_id"]).select("page_id", "text")
+
+
+@query("link_filters", """WITH l AS (SELECT page_id, 'https://x.example' || CASE page_id % 4 WHEN 0 THEN '/works/' || page_id WHEN 1 THEN '/works/1/versions/2/'
+      || page_id WHEN 2 THEN '/files/' || page_id || '.PDF' ELSE '/about' END AS link,
+    CASE page_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'Ein Werk: Übersetzung (Deutsch)' ELSE 'EPUB (' || page_id || ' KB)' END AS label FROM pages)
+  SELECT page_id, contains(link, '/works/') AND length(label) > 10 AS work,
+    contains(link, '/works/') AND length(label) > 10 AND contains(label, 'Übersetzung (Deutsch)') AS german,
+    contains(link, '/works/') AND contains(link, '/versions/') AS version,
+    (contains(link, '/files/') AND contains(lower(link), '.pdf')) OR (contains(lower(label), 'epub') AND contains(lower(label), 'kb')) AS download FROM l""")
+def link_filters(spark, sf_dir):
+    key = F.col("page_id").cast("string")
+    case, name = F.col("page_id") % 4, F.col("page_id") % 3
+    link = F.concat(F.lit("https://x.example"), F.when(case == 0, F.concat(F.lit("/works/"), key)).when(
+        case == 1, F.concat(F.lit("/works/1/versions/2/"), key)).when(case == 2, F.concat(F.lit("/files/"), key, F.lit(".PDF"))).otherwise("/about"))
+    label = F.when(name == 0, "short").when(name == 1, "Ein Werk: Übersetzung (Deutsch)").otherwise(
+        F.concat(F.lit("EPUB ("), key, F.lit(" KB)")))
+    return load(spark, sf_dir, "pages").select(
+        "page_id", H.work_link(link, label).alias("work"), H.german_work_link(link, label).alias("german"),
+        H.version_link(link).alias("version"), H.download_link(link, label).alias("download"))

@@ -199,6 +199,13 @@ _RULES = """CASE WHEN NOT coalesce(o_totalprice > 1000, false) THEN 'price'
   WHEN NOT coalesce(o_orderstatus <> 'P', false) THEN 'status' END"""
 
 
+@query("accepted_rows", f"SELECT o_orderkey, o_orderstatus FROM orders WHERE {_RULES} IS NULL")
+def accepted_rows(spark, sf_dir):
+    rules = {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus") != "P"}
+    good, _ = K.split_good_reject(load(spark, sf_dir, "orders"), rules)
+    return good.select("o_orderkey", "o_orderstatus")
+
+
 @query("reject_sink", f"SELECT o_orderkey, {_RULES} AS reject_reason FROM orders WHERE {_RULES} IS NOT NULL")
 def reject_sink(spark, sf_dir):
     rules = {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus") != "P"}

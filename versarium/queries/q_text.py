@@ -26,6 +26,9 @@ marked("strip_page_numbers", T.strip_page_numbers, [lambda t: sql_chain(t, P.PAG
 marked("strip_biblio_refs", T.strip_biblio_refs, [lambda t: sql_chain(t, P.BIBLIO_REFS)])
 marked("strip_metadata_lines", T.strip_metadata_lines,
        [lambda t: S.lines(t, lambda ln: f"NOT {P.METADATA_LINES['formatter'].sql_found(ln)}")])
+for _variant in ("archive", "download"):
+    marked(f"strip_metadata_lines_{_variant}", lambda c, v=_variant: T.strip_metadata_lines(c, v),
+           [lambda t, v=_variant: S.lines(t, lambda ln: f"NOT {P.METADATA_LINES[v].sql_found(ln)}")])
 marked("drop_name_lists", T.drop_name_lists, [S.name_lists])
 marked("trim_artifacts", T.trim_artifacts, [lambda t: sql_chain(t, P.TRIM_ARTIFACTS)])
 marked("strip_web_artifacts", T.strip_web_artifacts, [lambda t: sql_chain(t, P.WEB_ARTIFACTS)])
@@ -48,6 +51,11 @@ marked("strip_nav_lines", T.strip_nav_lines, [
                f"lambda a: {S.trim('a')}), lambda b: length(b) > 10 AND NOT "
                f"{P.NAV_LINES['base'].sql_found('b')}), chr(10))")])
 
+marked("strip_nav_lines_strict", lambda c: T.strip_nav_lines(c, "strict"), [
+    lambda t: ("array_to_string(list_filter(list_transform(string_split(" + t + ", chr(10)), "
+               f"lambda a: {S.trim('a')}), lambda b: length(b) > 10 AND NOT "
+               f"{P.NAV_LINES['strict'].sql_found('b')}), chr(10))")])
+
 projected("collapse_ws", "documents", ["doc_id"],
           f"SELECT doc_id, {S.collapse('text')} AS clean FROM documents",
           clean=lambda: T.collapse_ws(F.col("text")))
