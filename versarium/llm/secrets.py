@@ -1,16 +1,19 @@
 """Secret scan: fixed key patterns, and character Markov models for other random strings."""
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import functions as F
 
-from versarium.llm.common import pick
+from versarium.llm.common import let, pick
 
 # The patterns of the base kinds and the least length of what they keep.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # a run is matched whole or not at all
 KINDS = ["assign", "access", "hex", "random"]
+WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 MIN_VALUE, MIN_ACCESS = 6, 20
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
@@ -45,10 +48,7 @@ def _located(text, pattern, keep=None):
 def base_spans(text):
     """(assign, access, hex) columns of base spans; each pattern runs only where its cheap guard holds."""
     none = F.from_json(F.lit("[]"), "array<struct<start:int,stop:int,value:string>>")
-    small = F.lower(text)
-    named = F.lit(False)
-    for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
-        named = named | small.contains(word)
+    named = let(F.lower(text), lambda small: reduce(or_, [small.contains(word) for word in WORDS]))
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     assign = F.when(named, _located(text, ASSIGN, F.transform(values, lambda v: F.length(v) >= MIN_VALUE))).otherwise(none)
     keys = F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0))
