@@ -94,7 +94,7 @@ def contained_items(documents, benchmark, id_col="doc_id", text_col="text", item
         hits = hashes.join(sketch.filter(F.col("width") == n).select("h", "item_id"), "h").select("doc_id", "item_id")
         found = hits if found is None else found.union(hits)
     if found is None:
-        found = docs.select("doc_id").limit(0).crossJoin(items.select("item_id").limit(0))
+        found = docs.select("doc_id", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).limit(0)
     found = staged(found.distinct(), "candidates")
     near = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
     held = None

@@ -56,7 +56,7 @@ class Machine:
         value, _ = self.raw(*_flat(rows), len(rows))
         return 1 / (1 + np.exp(-np.clip(value, -700, 35)))
 
-    def fit(self, rows, labels, epochs=20, batch=256, rate=0.3, sparse=0.25, ridge=0.02, least=4, seed=11):
+    def fit(self, rows, labels, epochs=12, batch=256, rate=0.3, sparse=0.25, ridge=0.02, least=4, seed=11):
         """Log loss by AdaGrad in batches; linear weights are pulled to zero by `sparse`, factors by `ridge`.
 
         Terms in fewer than `least` rows keep weight 0: they say more about a row than about its label.
