@@ -138,11 +138,20 @@ def test_office_psalm_windows(spark):
     html = far + "<FONT c='r'><I>Psalmus 5</I></FONT>5:1 Verba mea<br/>5:2 Intende" + "<FONT><I>Ant.</I></FONT> Nahe &amp; da<br/>" \
         "<FONT><I>Psalmus 6</I></FONT>6:1 Domine"
     df = spark.createDataFrame([(1, html)], "k int, h string")
-    got = G.office_psalms(df, "k", "h").orderBy("pos").collect()
+    got = G.office_psalms(df, "k", "h", before=300, after=2000).orderBy("pos").collect()
     assert [(r.number, r.antiphon) for r in got] == [("5", ""), ("6", "Nahe & da")]
     assert [v.text for v in got[1].verses] == ["Domine"]
 
 
+def test_office_psalms_reach_to_the_next(spark):
+    verses = "".join(f"5:{i} Verba {'x' * 40} {i}<br/>" for i in range(1, 121))
+    html = "<FONT><I>Ant.</I></FONT> Erste<br/>" + "=" * 900 + "<FONT><I>Ant.</I></FONT> Nahe<br/>" + "=" * 900 + \
+        f"<FONT><I>Psalmus 5</I></FONT>{verses}<FONT><I>Ant.</I></FONT> Dann<br/><FONT><I>Psalmus 6</I></FONT>6:1 Domine"
+    got = G.office_psalms(spark.createDataFrame([(1, html)], "k int, h string"), "k", "h").orderBy("pos").collect()
+    assert [(r.number, len(r.verses)) for r in got] == [("5", 120), ("6", 1)]
+    assert got[0].antiphon.startswith("Nahe") and got[1].antiphon == "Dann"
+
+
 # ---- references ------------------------------------------------------------------
 CITES = "Joh 3,16; Mt 5,3–12; Röm 8,28; 1Kor 13,4-7; vgl. Jak 2,14; Johannes 14,6; 1. Korinther 13,4–7"
 

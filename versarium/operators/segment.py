@@ -349,8 +349,13 @@ def reading_slots(first, psalm, second, gospel):
 
 
 # ---- office pages --------------------------------------------------------------------
-def office_psalms(df, key, html, before=300, after=2000):
-    """Psalms with the antiphon in the text before and the verses after."""
+def office_psalms(df, key, html, before=None, after=None):
+    """Psalms with the last antiphon before the header and the verses after it.
+
+    A psalm reaches from its header to the next one, whatever its length; the antiphon stands
+    between the header before and its own. ``before`` and ``after`` set windows of so many
+    characters instead, as the original has them (300 and 2000), with the first antiphon.
+    """
     # headers fenced in one pass; they stand at the odd places of the split
     fenced = F.regexp_replace(F.translate(F.col(html), CUT, " "), "(" + P.PSALM_HEADER.java + ")", CUT + "$1" + CUT)
     empty = F.array().cast("array<struct<number:string,at:int>>")
@@ -359,14 +364,19 @@ def office_psalms(df, key, html, before=300, after=2000):
         F.when(acc["odd"], F.concat(acc["hits"], F.array(F.struct(P.PSALM_HEADER.group(x, 1).alias("number"), acc["end"].alias("at")))))
         .otherwise(acc["hits"]).alias("hits"), (acc["end"] + F.length(x)).alias("end"), (~acc["odd"]).alias("odd")),
         lambda acc: acc["hits"])
-    rows = df.select(key, F.col(html).alias("h_"), F.posexplode(at).alias("pos", "p"))
-    begin = F.greatest(F.col("p.at") - before, F.lit(0))
+    rows = df.select(key, F.col(html).alias("h_"), F.explode(F.array(at)).alias("all_"))
+    rows = rows.select("*", F.posexplode("all_").alias("pos", "p"))
+    begin = F.coalesce(F.get("all_", F.col("pos") - 1)["at"], F.lit(0)) if before is None \
+        else F.greatest(F.col("p.at") - before, F.lit(0))
     lead = F.substring(F.col("h_"), begin + 1, F.col("p.at") - begin)
-    text = F.substring(F.col("h_"), F.col("p.at") + 1, F.lit(after))
+    length = F.coalesce(F.get("all_", F.col("pos") + 1)["at"], F.length("h_")) - F.col("p.at") if after is None else F.lit(after)
+    text = F.substring(F.col("h_"), F.col("p.at") + 1, length)
+    found = P.ANTIPHON.all(lead, 1)
+    antiphon = F.coalesce(F.get(found, F.size(found) - 1), F.lit("")) if before is None else P.ANTIPHON.group(lead)
     verses = F.arrays_zip(*[P.OFFICE_VERSE.all(text, i).alias(n)
                             for i, n in ((1, "chapter"), (2, "verse"), (3, "text"))])
     return rows.select(
-        key, "pos", F.col("p.number").alias("number"), T.clean_markup(P.ANTIPHON.group(lead)).alias("antiphon"),
+        key, "pos", F.col("p.number").alias("number"), T.clean_markup(antiphon).alias("antiphon"),
         F.transform(verses, lambda v: F.struct(v["chapter"].alias("chapter"), v["verse"].alias("verse"),
                                                T.clean_markup(v["text"]).alias("text"))).alias("verses"))
 

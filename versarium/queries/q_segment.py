@@ -255,7 +255,7 @@ def _office(spark, sf_dir):
     one = F.concat(F.lit("<FONT><I>Ant.</I></FONT> "), title, F.lit("<br/><FONT COLOR='red'><I>Psalmus "), n,
                    F.lit("</I></FONT><br/>"), n, F.lit(":1 "), title, F.lit("<br/>"), n, F.lit(":2 Amen<br/>"),
                    F.lit("<FONT><I>Oratio</I></FONT> "), title, F.lit("<br/>℣. Deus "), n, F.lit(" ℟. "), title)
-    return pages.select("page_id", F.concat(one, F.repeat(F.lit("="), F.lit(2100)), F.lit("\n"), one).alias("o"))
+    return pages.select("page_id", F.concat(one, F.lit("\n"), one).alias("o"))
 
 
 _TITLE = "SELECT page_id, " + S.collapse(S.entities("regexp_extract(html, '<title>([^<]*)', 1)")) + " AS t FROM pages"
@@ -265,7 +265,7 @@ _TITLE = "SELECT page_id, " + S.collapse(S.entities("regexp_extract(html, '<titl
   page_id || ':1 ' || t || '|' || page_id || ':2 Amen' AS verses
   FROM ({_TITLE}), (VALUES (0), (1)) AS v(pos)""")
 def office_psalms(spark, sf_dir):
-    out = G.office_psalms(_office(spark, sf_dir), "page_id", "o", after=1500)
+    out = G.office_psalms(_office(spark, sf_dir), "page_id", "o")
     shown = F.transform("verses", lambda v: F.concat(v["chapter"], F.lit(":"), v["verse"], F.lit(" "), v["text"]))
     return out.withColumn("verses", F.array_join(shown, "|"))
 
