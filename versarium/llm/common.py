@@ -21,11 +21,24 @@ def staged(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark):
+    """Arrow batches of up to 2000 rows and 16 MB where the session has Spark's defaults.
+
+    A Python worker holds a batch several times over (Arrow, strings, results), and long texts
+    come in batches of 10,000 rows and 64 MB otherwise.
+    """
+    for key, default, value in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "16m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
+
+
 def pick(df, **columns):
     """Only the named input columns, under the operator's own names.
 
     Everything else in `df` is left out, so further columns never clash.
     """
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from versarium.llm import ngrams
-from versarium.llm.common import in_pieces, pick
+from versarium.llm.common import in_pieces, pick, small_batches
 
 ORDER = 4
 UNKNOWN = "und"
@@ -86,6 +86,7 @@ def identify(documents, languages, id_col="doc_id", text_col="text"):
 
 def accepted(documents, languages, text_col="text", lang_col="lang"):
     """The rows whose language is recognised, all columns kept; a null language is filled in."""
+    small_batches(documents.sparkSession)
     judged = documents.withColumn("__lang", predicted(F.col(f"`{text_col}`"), documents.sparkSession, languages))
     return (judged.filter("not __lang.rejected")
             .withColumn(lang_col, F.coalesce(F.col(f"`{lang_col}`"), F.col("__lang.lang_pred"))).drop("__lang"))
