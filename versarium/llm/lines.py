@@ -4,6 +4,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -88,13 +89,35 @@ def common_blocks(earlier, later, min_words):
     return out + (run if words >= min_words else [])
 
 
+def sequence_keys(rank, h, words, min_words):
+    """Hashes of lines that follow each other: every two, every run that has just reached
+    `min_words` words, and all lines of the text."""
+    import xxhash
+    keys, h = [], h.view(np.uint64)
+    key, total, start = h.copy(), words.astype(np.int64), np.arange(len(h))
+    for size in range(1, len(h)):
+        start = start[start < len(h) - size]
+        go_on = (rank[start + size] == rank[start] + size) & ((total[start] < min_words) | (size == 1))
+        start = start[go_on]
+        if not len(start):
+            break
+        key[start] = (key[start] ^ (key[start] >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[start + size]
+        total[start] += words[start + size]
+        keys.append(key[start[(total[start] >= min_words) | (size == 1)]])
+    if len(h) > 1:
+        keys.append(np.array([xxhash.xxh64_intdigest(h.tobytes())], dtype=np.uint64))
+    return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.zeros(0, np.int64)
+
+
 def repeated_lines(documents, id_col="doc_id", text_col="text", min_words=MIN_WORDS):
     """(doc_id, pos, h, source_id): lines that an earlier document holds in an aligned block.
 
     Documents are ordered by id. Every line held by several documents links each later one to the
     first that holds it, so a line with n holders gives n - 1 links, and no line is too frequent;
-    a pair knows how rare its rarest line is (`holders`). Each linked pair is aligned with patience
-    diff and the aligned blocks of `min_words` words or more are marked in the later document. The
+    a pair knows how rare its rarest line is (`holders`). So does every two adjacent lines, every run
+    of adjacent lines that reaches `min_words` words, and the sequence of all shared lines of a text,
+    for its own first holder, as that may be another document. Each linked pair is aligned with
+    patience diff and the aligned blocks of `min_words` words or more are marked in the later document. The
     first holder of a line always keeps it.
 
     Null and empty texts and blank lines take no part; nor do rows without id. Rows that repeat an
@@ -110,7 +133,19 @@ def repeated_lines(documents, id_col="doc_id", text_col="text", min_words=MIN_WO
     marked = staged(rows.join(heads, "h"), "shared")
     line = F.array_sort(F.collect_list(F.struct("rank", "h", "words", "pos")))
     lists = staged(marked.groupBy("doc_id").agg(line.alias("lines")), "lists")
-    pairs = staged(marked.filter("first < doc_id").groupBy("doc_id", "first").agg(F.min("holders").alias("holders")), "pairs")
+
+    def sequences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [sequence_keys(r.rank, r.h, r.words, min_words) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame({"doc_id": np.repeat(batch["doc_id"].to_numpy(), [len(f) for f in found]),
+                                "h": np.concatenate([np.zeros(0, np.int64), *found])})
+
+    keys = staged(lists.select("doc_id", *[f"lines.{c}" for c in ("rank", "h", "words")]).mapInPandas(
+        sequences, "doc_id long, h long"), "sequences")
+    holders = keys.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other"),
+                                    F.count(F.lit(1)).alias("holders")).filter("first <> other").drop("other")
+    links = marked.select("doc_id", "first", "holders").union(keys.join(holders, "h").select("doc_id", "first", "holders"))
+    pairs = staged(links.filter("first < doc_id").groupBy("doc_id", "first").agg(F.min("holders").alias("holders")), "pairs")
     sides = (pairs.join(lists.select("doc_id", F.col("lines").alias("b")), "doc_id")
              .join(lists.select(F.col("doc_id").alias("first"), F.col("lines").alias("a")), "first")
              .select("doc_id", "first", "b.pos", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("rank", "h", "words")]))
