@@ -44,3 +44,11 @@ def test_lines_against_all_pairs(spark):
             want |= {(i, b[0][k]) for k in lines.common_blocks(a, b, 5)} if both else set()
     got = {(i, n) for i, at in removed(spark, [(i, "\n".join(x)) for i, x in rows.items()]).items() for n in at}
     assert got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_words_of_scripts_without_spaces_and_of_tabs(spark):
+    chinese, thai, tabs = "今天天气很好我们去公园散步", "สวัสดีครับทุกคน", "one\ttwo\tthree\tfour\tfive\tsix"
+    got = removed(spark, [(1, f"{chinese}\nx"), (2, f"y\n{chinese}"), (3, thai), (4, thai), (5, tabs), (6, tabs),
+                          (7, "今天天"), (8, "今天天"), (9, "one  two   three"), (10, "one  two   three")])
+    assert got[2] == [1] and got[4] == [0] and got[6] == [0]
+    assert got[8] == got[10] == []  # three words

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from versarium.llm.common import let, pick, staged
 
 MIN_WORDS = 5
+_DENSE = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
+_WORDS = rf"[{_DENSE}]|[^\s\p{{Z}}{_DENSE}]+"  # scripts without spaces: each character counts as a word
 
 
 def _keyed(lines):
@@ -18,7 +20,7 @@ def _keyed(lines):
     every = F.transform(lines, lambda line, i: F.struct(i.alias("pos"), F.trim(line).alias("line")))
     return F.transform(F.filter(every, lambda x: x["line"] != ""), lambda x: F.struct(
         x["pos"], F.xxhash64(x["line"]).alias("h"),
-        (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "), F.lit(""))) + 1).alias("words")))
+        F.regexp_count(x["line"], F.lit(_WORDS)).alias("words")))
 
 
 def patience(a, b):
