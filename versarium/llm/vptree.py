@@ -10,6 +10,7 @@ from versarium.llm.common import pick, staged
 SHARD = 8192  # vectors of a shard
 BLOCK = 4096  # queries that visit a shard together
 LEAF = 48
+BAND = 1.25  # ratio of the greatest to the least norm of the vectors that share a tree
 FACTOR = 5.0  # how much the pruning is relaxed; 1 gives exact results
 
 
@@ -93,7 +94,12 @@ def usable(vectors, id_col="vec_id", vector_col="embedding"):
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
 
 
-def _searched(shard, block, k, factor, edge):
+def _norms(x):
+    most = np.abs(x).max(axis=1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(axis=1))
+
+
+def _searched(shard, block, k, factor):
     """The k best of one shard for each query of one block."""
     names = ["query_id", "vec_id", "score"]
     if not len(shard) or not len(block):
@@ -103,10 +109,18 @@ def _searched(shard, block, k, factor, edge):
     ids = shard["vec_id"].to_numpy()
     order = np.lexsort((ids, where.ravel()))
     start = np.searchsorted(where.ravel()[order], np.arange(len(points) + 1))
-    # inner products become distances: one more component fills every point up to the norm `edge`
-    lift = np.sqrt(np.maximum(edge - (points ** 2).sum(axis=1), 0))
-    tree = Tree(np.column_stack([points, lift]))
-    _, rows = tree.search(np.column_stack([q, np.zeros(len(q))]), k + 1, factor)
+    # Inner products become distances: one more component fills every point up to the greatest norm
+    # of its band, and queries take that norm as well, which does not change their order. Bands and
+    # query norms apart, distances from queries and among points would not compare.
+    norms, unit, found = _norms(points), q / _norms(q)[:, None], []
+    band = np.floor(np.log(norms) / np.log(BAND) + 0.5)
+    for b in np.unique(band):
+        members = np.flatnonzero(band == b)
+        own = points[members] / norms[members].max()
+        lift = np.sqrt(np.maximum(1 - (own ** 2).sum(axis=1), 0))
+        _, rows = Tree(np.column_stack([own, lift])).search(np.column_stack([unit, np.zeros(len(q))]), k + 1, factor)
+        found.append(np.where(rows >= 0, members[rows], -1))
+    rows = np.concatenate(found, axis=1)
     out = []
     for one, vector, found in zip(block["query_id"].to_numpy(), q, rows):
         found = found[found >= 0]
@@ -125,12 +139,12 @@ def nearest(vectors, queries, k=20, factor=FACTOR, id_col="vec_id", vector_col="
     visits every shard. Ties go to the smaller id. Null, zero and non-finite vectors, null ids and
     vectors of another length than the query's take no part; a repeated id is as many candidates;
     with fewer candidates than k all are returned, with none no row; empty tables give no rows.
-    `factor` 1 is exact; larger ones search less and may miss some.
+    `factor` 1 is exact; larger ones search less and may miss some. Within a shard, vectors of about
+    the same norm share a tree, so that a few long vectors do not change what is found among the rest.
     """
     base = staged(usable(vectors, id_col, vector_col), "vectors")
     asked = staged(usable(queries, id_col, vector_col).dropDuplicates(["vec_id"]), "queries")
-    norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
-    rows, edge = base.agg(F.count(F.lit(1)), F.max(norm)).first()
+    rows = base.count()
     blocks = max(1, -(-asked.count() // block))
     shards = max(1, -(-rows // shard))
 
@@ -143,10 +157,9 @@ def nearest(vectors, queries, k=20, factor=FACTOR, id_col="vec_id", vector_col="
         "*", numbers(blocks).alias("block"))
     right = asked.select(F.size("v").alias("dim"), dealt(F.col("vec_id"), blocks).alias("block"),
                          F.col("vec_id").alias("query_id"), "v").select("*", numbers(shards).alias("shard"))
-    edge = float(edge or 0.0)
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _searched(a, b, k, factor, edge)
+        return _searched(a, b, k, factor)
     key = ["dim", "shard", "block"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
