@@ -9,10 +9,33 @@ of hot groups has at most ``rows / hot_rows`` rows, which bounds the broadcast.
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from versarium.session import staged
+
 HOT_ROWS = 5_000_000
 RANGES = 4096
 
 
+def global_numbers(df, *order, out="number"):
+    """Every row with its place, from 0, in the given order of the whole table.
+
+    Rows are dealt to ranges of the order and sorted there; a small table of rows per range is
+    summed up and added to the place within the range. Rows that tie in all of ``order`` may fill
+    several ranges, so no key and no tie lands in one task. The ranges are written once.
+    """
+    ranges = (df.withColumn("salt_", F.rand(11)).repartitionByRange(*order, "salt_")
+              .sortWithinPartitions(*order, "salt_").drop("salt_"))
+    # the upper bits of the id are the range, the lower 33 the place within it
+    rows = staged(ranges.withColumn("place_", F.monotonically_increasing_id()), "ranges")
+    of = F.shiftright("place_", 33)
+    total, before = 0, []
+    for part, n in sorted(map(tuple, rows.groupBy(of.alias("part_")).count().collect())):  # one row per range
+        before.append((part, total - (part << 33)))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "part_ long, offset_ long")
+    return (rows.withColumn("part_", of).join(F.broadcast(offsets), "part_")
+            .withColumn(out, F.col("place_") + F.col("offset_")).drop("part_", "place_", "offset_"))
+
+
 def measure(df, order):
     """A number that does not fall as the order column rises, for any type of it."""
     kind, c = df.schema[order].dataType.typeName(), F.col(order)

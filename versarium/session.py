@@ -1,6 +1,7 @@
 """Session builder and the few session settings the operators rely on."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,6 +55,18 @@ def ensure_checkpoint_dir(spark):
     return context.getCheckpointDir()
 
 
+def staged(df, name):
+    """`df` written as Parquet into the shared checkpoint folder and read back.
+
+    Cuts the lineage: what follows does not run `df` again, and a lost executor costs a
+    read of the written files at most. One folder per call, so that a retry never mixes.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/versarium/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def load(spark, sf_dir, table):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
