@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from versarium.llm import bpe, decontam, language, lines, passages, secrets, simhash, toxicity, urls, vptree
+from versarium.llm import bpe, decontam, language, lines, passages, resample, secrets, simhash, toxicity, urls, vptree
 from versarium.llm.common import crc_fold
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
@@ -80,3 +80,8 @@ def op4_toxicity(spark, sf_dir):
 def op7_nearest(spark, sf_dir):
     vectors = load(spark, sf_dir, "embeddings")
     return vptree.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
+@query("op11_importance_resampling", resample.ORACLE)
+def op11_importance_resampling(spark, sf_dir):
+    return resample.resampled(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
