@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from versarium.llm import bpe, decontam, language, lines, passages, resample, secrets, simhash, toxicity, urls, vptree
+from versarium.llm import (
+    bpe, decontam, divergence, language, lines, passages, repeats, resample, secrets, simhash, toxicity, urls, vptree)
 from versarium.llm.common import crc_fold
 from versarium.llm.registry import ORACLES, QUERIES, query
 from versarium.session import load
@@ -85,3 +86,14 @@ def op7_nearest(spark, sf_dir):
 @query("op11_importance_resampling", resample.ORACLE)
 def op11_importance_resampling(spark, sf_dir):
     return resample.resampled(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op12_source_divergence", divergence.ORACLE)
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
+@query("op13_suffix_dedup")
+def op13_suffix_dedup(spark, sf_dir):
+    found = repeats.without_repeats(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
