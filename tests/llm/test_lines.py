@@ -15,7 +15,8 @@ A, B = [f"{x} one two three four five six" for x in "AB"]
 
 def removed(spark, rows):
     cut = lines.drop_repeated_lines(frame(spark, [(i, t, "en", "s") for i, t in rows]))
-    return {r.doc_id: [x.pos for x in r.removed or []] for r in cut.collect()}
+    assert "removed_" in cut.columns  # a column of the caller
+    return {r.doc_id: [x.pos for x in r.removed_ or []] for r in cut.collect()}
 
 
 def test_copies_of_later_holders_go(spark):
@@ -52,3 +53,20 @@ def test_words_of_scripts_without_spaces_and_of_tabs(spark):
                           (7, "今天天"), (8, "今天天"), (9, "one  two   three"), (10, "one  two   three")])
     assert got[2] == [1] and got[4] == [0] and got[6] == [0]
     assert got[8] == got[10] == []  # three words
+
+
+def test_a_callers_own_column_and_text_ids_stay(spark):
+    rows = spark.createDataFrame([("a", f"{A}\nx", 1), ("b", f"y\n{A}", 2), (None, A, 3)], "doc_id string, text string, removed int")
+    got = lines.drop_repeated_lines(rows)
+    assert got.columns == ["doc_id", "text", "removed", "removed_"]
+    assert {(r.doc_id, r.text, r.removed) for r in got.collect()} == {("a", f"{A}\nx", 1), ("b", "y", 2), (None, A, 3)}
+
+
+def test_words_are_counted_alike_with_and_without_dense_scripts(spark):
+    from pyspark.sql import functions as F
+    lines_ = ["plain words here", "a\u00a0b\u2003c\u2028d\u202fe\u205ff", "dash \u2014 quote \u201cx\u201d", "\u4eca\u5929 ok", "\u0e2a\u0e27 x y",
+              "\u1680a\u1680b", "tab\tand\x0bmore", "\u3000wide\u3000gap", "emoji \U0001f600 x"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines_)], "i int, t string")
+    got = df.select("i", F.get(lines._keyed(F.col("t")), F.lit(0))["words"].alias("n"),
+                    F.regexp_count("t", F.lit(lines._WORDS)).alias("want")).collect()
+    assert all(r.n == r.want for r in got)

@@ -109,7 +109,7 @@ A, B, C, D = [f"{x} one two three four five six" for x in "ABCD"]
 
 def removed(spark, rows):
     cut = lines.drop_repeated_lines(frame(spark, [(i, t, "en", "s") for i, t in rows]))
-    return {r.doc_id: ([x.pos for x in r.removed or []], r.text) for r in cut.collect()}
+    return {r.doc_id: ([x.pos for x in r.removed_ or []], r.text) for r in cut.collect()}
 
 
 def test_later_copies_of_lines_go(spark):
@@ -155,7 +155,7 @@ def test_lines_keep_a_copy_and_match_brute_force(spark):
 def test_lines_bear_odd_rows(spark):
     cut = lines.drop_repeated_lines(frame(spark, ODD))
     got = cut.collect()
-    assert len(got) == len(ODD) and {r.doc_id for r in got if r.removed} == {6} and "fp" in cut.columns
+    assert len(got) == len(ODD) and {r.doc_id for r in got if r.removed_} == {6} and "fp" in cut.columns
     assert lines.drop_repeated_lines(frame(spark, [])).count() == 0
 
 

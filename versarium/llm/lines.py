@@ -13,14 +13,23 @@ from versarium.llm.common import let, pick, staged
 MIN_WORDS = 5
 _DENSE = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan"))
 _WORDS = rf"[{_DENSE}]|[^\s\p{{Z}}{_DENSE}]+"  # scripts without spaces: each character counts as a word
+_MAY_BE_DENSE = r"[\x{0E00}-\x{1FFF}\x{2E80}-\x{10FFFF}]"  # all of those scripts are here
+_PLAIN_WORDS = r"[^\s\xA0\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}]+"  # the same words elsewhere
 
 
-def _keyed(lines):
-    """(pos, h) of every line that is not blank; spaces at the ends do not count."""
-    every = F.transform(lines, lambda line, i: F.struct(i.alias("pos"), F.trim(line).alias("line")))
-    return F.transform(F.filter(every, lambda x: x["line"] != ""), lambda x: F.struct(
-        x["pos"], F.xxhash64(x["line"]).alias("h"),
-        F.regexp_count(x["line"], F.lit(_WORDS)).alias("words")))
+def _keyed(text):
+    """(pos, h, words) of every line that is not blank; spaces at the ends do not count.
+
+    Asking each character for its script is most of the work, so a text is asked once whether it
+    has a character from where these scripts are.
+    """
+    def lines_of(parts):
+        every = F.transform(parts["lines"], lambda line, i: F.struct(i.alias("pos"), F.trim(line).alias("line")))
+        return F.transform(F.filter(every, lambda x: x["line"] != ""), lambda x: F.struct(
+            x["pos"], F.xxhash64(x["line"]).alias("h"),
+            F.when(parts["dense"], F.regexp_count(x["line"], F.lit(_WORDS)))
+            .otherwise(F.regexp_count(x["line"], F.lit(_PLAIN_WORDS))).alias("words")))
+    return let(F.struct(F.split(text, "\n").alias("lines"), text.rlike(_MAY_BE_DENSE).alias("dense")), lines_of)
 
 
 def patience(a, b):
@@ -127,7 +136,8 @@ def repeated_lines(documents, id_col="doc_id", text_col="text", min_words=MIN_WO
     gives no rows. `pos` counts all lines of the text from 0, `h` is the hash of the line.
     """
     docs = pick(documents, doc_id=id_col, text=text_col).filter("doc_id is not null and text is not null")
-    rows = staged(docs.select("doc_id", F.posexplode(let(F.split("text", "\n"), _keyed)).alias("rank", "x"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = staged(docs.select("doc_id", F.posexplode(_keyed(F.col("text"))).alias("rank", "x"))
                   .select("doc_id", "rank", "x.*"), "lines")
     heads = staged(rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other"),
                                          F.count(F.lit(1)).alias("holders"))
@@ -143,9 +153,10 @@ def repeated_lines(documents, id_col="doc_id", text_col="text", min_words=MIN_WO
                                 "h": np.concatenate([np.zeros(0, np.int64), *found])})
 
     keys = staged(lists.select("doc_id", *[f"lines.{c}" for c in ("rank", "h", "words")]).mapInPandas(
-        sequences, "doc_id long, h long"), "sequences")
-    holders = keys.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other"),
-                                    F.count(F.lit(1)).alias("holders")).filter("first <> other").drop("other")
+        sequences, f"doc_id {kind}, h long"), "sequences")
+    # written, as `heads` are, so that the join on a key of very many texts can be split
+    holders = staged(keys.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other"),
+                                           F.count(F.lit(1)).alias("holders")).filter("first <> other").drop("other"), "holders")
     links = marked.select("doc_id", "first", "holders").union(keys.join(holders, "h").select("doc_id", "first", "holders"))
     pairs = staged(links.filter("first < doc_id").groupBy("doc_id", "first").agg(F.min("holders").alias("holders")), "pairs")
     sides = (pairs.join(lists.select("doc_id", F.col("lines").alias("b")), "doc_id")
@@ -161,9 +172,9 @@ def repeated_lines(documents, id_col="doc_id", text_col="text", min_words=MIN_WO
                     (row.a_rank, row.a_h, row.a_words), (row.b_rank, row.b_h, row.b_words, row.pos))]
                 a, b = list(zip(*a)), list(zip(*b))
                 out += [(row.doc_id, b[3][i], b[1][i], row.first) for i in common_blocks(a, b, min_words)]
-            yield pd.DataFrame(out, columns=["doc_id", "pos", "h", "source_id"]).astype("int64")
+            yield pd.DataFrame(out, columns=["doc_id", "pos", "h", "source_id"]).astype({"pos": "int64", "h": "int64"})
 
-    found = sides.mapInPandas(align, "doc_id long, pos long, h long, source_id long")
+    found = sides.mapInPandas(align, f"doc_id {kind}, pos long, h long, source_id {kind}")
     return found.groupBy("doc_id", "pos", "h").agg(F.min("source_id").alias("source_id"))
 
 
@@ -171,16 +182,19 @@ def drop_repeated_lines(documents, id_col="doc_id", text_col="text", min_words=M
     """`documents` with `text_col` cut to the lines that stay, and `removed`: array of (pos, h).
 
     All other columns and rows stay as they are; texts without a removed line are untouched.
-    See `repeated_lines` for null, empty and repeated rows.
+    A column `removed` of the caller stays too, and the array is then called `removed_`, or as many
+    underscores as are free. See `repeated_lines` for null, empty and repeated rows.
     """
     found = repeated_lines(documents, id_col, text_col, min_words)
     cut = staged(found.groupBy(F.col("doc_id").alias("__cut_id")).agg(F.array_sort(F.collect_list(
-        F.struct(F.col("pos").cast("int").alias("pos"), "h"))).alias("removed")), "removed")
-    text = F.col(f"`{text_col}`")
+        F.struct(F.col("pos").cast("int").alias("pos"), "h"))).alias("__cut")), "removed")
+    text, name = F.col(f"`{text_col}`"), "removed"
+    while name in documents.columns:
+        name += "_"
 
     def rest(lines):
         keys = F.transform(lines, lambda line, i: F.struct(i.alias("pos"), F.xxhash64(F.trim(line)).alias("h")))
-        return F.array_join(F.transform(F.array_except(keys, F.col("removed")), lambda k: F.get(lines, k["pos"])), "\n")
-    joined = documents.drop("removed").join(cut, F.col(f"`{id_col}`") == F.col("__cut_id"), "left").drop("__cut_id")
-    return joined.withColumn(text_col, F.when(F.col("removed").isNull() | text.isNull(), text).otherwise(
-        let(F.split(text, "\n"), rest)))
+        return F.array_join(F.transform(F.array_except(keys, F.col("__cut")), lambda k: F.get(lines, k["pos"])), "\n")
+    joined = documents.join(cut, F.col(f"`{id_col}`") == F.col("__cut_id"), "left").drop("__cut_id")
+    return joined.withColumn(text_col, F.when(F.col("__cut").isNull() | text.isNull(), text).otherwise(
+        let(F.split(text, "\n"), rest))).withColumnRenamed("__cut", name)
