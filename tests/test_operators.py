@@ -31,8 +31,8 @@ def skewed(spark):
     return rows, spark.createDataFrame(rows, "g string, o int, t int, v int").repartition(5)
 
 
-@pytest.mark.parametrize("hot_rows,ranges", [(10**9, 4), (20, 7), (1, 3)])
-def test_number_and_carry_split_like_one_window(skewed, hot_rows, ranges):
+@pytest.mark.parametrize("ranges", [None, 3, 7, 60])
+def test_number_and_carry_split_like_one_window(skewed, ranges):
     rows, df = skewed
     numbers, carried = {}, {}
     for g in {r[0] for r in rows}:
@@ -40,15 +40,15 @@ def test_number_and_carry_split_like_one_window(skewed, hot_rows, ranges):
         for n, (_, o, t, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2])), 1):
             last = v if v is not None else last
             numbers[t], carried[t] = n, last
-    got = O.number_rows(df, ["g"], "o", "n", ["t"], hot_rows, ranges)
+    got = O.number_rows(df, ["g"], "o", "n", ["t"], ranges=ranges)
     assert {r.t: r.n for r in got.collect()} == numbers
-    got = O.carry_forward(df, ["g"], "o", "v", "c", ["t"], hot_rows, ranges)
+    got = O.carry_forward(df, ["g"], "o", "v", "c", ["t"], ranges=ranges)
     assert {r.t: r.c for r in got.collect()} == carried
 
 
 def test_global_numbers_and_batches(spark):
     df = spark.range(1, 2501).select((F.col("id") * 7 % 9973).alias("k"))
-    ranked = O.batch_no(df, "k", 100, hot_rows=50, ranges=16)
+    ranked = O.batch_no(df, "k", 100, ranges=16)
     want = {k: i // 100 + 1 for i, k in enumerate(sorted(i * 7 % 9973 for i in range(1, 2501)))}
     assert {r.k: r.batch_no for r in ranked.collect()} == want
 
@@ -66,14 +66,14 @@ def merge_plain(rows, limit):
     return out + ([" ".join(cur)] if cur else [])
 
 
-@pytest.mark.parametrize("hot_rows,ranges", [(10**9, 4), (5, 6)])
-def test_merge_rows_in_ranges(spark, hot_rows, ranges):
+@pytest.mark.parametrize("ranges", [None, 6, 60])
+def test_merge_rows_in_ranges(spark, ranges):
     rng = random.Random(3)
     lines = {}
     for work, n in (("a", 150), ("b", 9)):
         lines[work] = [("Kapitel 1" if rng.random() < 0.1 else "w" * rng.randrange(1, 60)) + rng.choice([".", ""]) for _ in range(n)]
     df = spark.createDataFrame([(w, i, t) for w, ts in lines.items() for i, t in enumerate(ts)], "w string, i int, t string")
-    got = G.merge_rows(df.repartition(3), ["w"], "i", "t", 100, hot_rows, ranges).orderBy("w", "paragraph").collect()
+    got = G.merge_rows(df.repartition(3), ["w"], "i", "t", 100, ranges).orderBy("w", "paragraph").collect()
     assert [r.text for r in got] == merge_plain(lines["a"], 100) + merge_plain(lines["b"], 100)
 
 
@@ -348,12 +348,39 @@ def test_numbering_by_any_order_type(spark, kind):
     made = {"date": F.date_add(F.lit("2000-01-01").cast("date"), F.col("n").cast("int")), "string": F.format_string("k%05d", "n"),
             "timestamp": F.timestamp_seconds(F.col("n") * 3600)}.get(kind, F.col("n").cast(kind if kind in ("double", "bigint") else "decimal(20,4)"))
     df = base.withColumn("o", F.when(F.col("id") % 50 != 0, made))
-    want = {r.id: r.rn for r in O.number_rows(df, ["g"], "o", ties=["id"], hot_rows=None).collect()}
-    for hot in (10, 10_000):
-        assert {r.id: r.rn for r in O.number_rows(df, ["g"], "o", ties=["id"], hot_rows=hot, ranges=16).collect()} == want
+    want = {r.id: r.rn for r in O.number_rows(df, ["g"], "o", ties=["id"], window=True).collect()}
+    for ranges in (None, 16):
+        assert {r.id: r.rn for r in O.number_rows(df, ["g"], "o", ties=["id"], ranges=ranges).collect()} == want
     carried = df.withColumn("v", F.when(F.col("n") % 5 == 0, F.col("n")))
-    plain = {r.id: r.c for r in O.carry_forward(carried, ["g"], "o", "v", "c", ties=["id"], hot_rows=None).collect()}
-    assert {r.id: r.c for r in O.carry_forward(carried, ["g"], "o", "v", "c", ties=["id"], hot_rows=10, ranges=16).collect()} == plain
+    plain = {r.id: r.c for r in O.carry_forward(carried, ["g"], "o", "v", "c", ties=["id"], window=True).collect()}
+    assert {r.id: r.c for r in O.carry_forward(carried, ["g"], "o", "v", "c", ties=["id"], ranges=16).collect()} == plain
+
+
+def test_one_group_of_ties_fills_several_ranges_and_is_read_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    df = spark.range(20_000).select(F.lit(1).alias("g"), F.lit("x").alias("o"), "id")
+    df = df.mapInArrow(count, df.schema)
+    rows = O.number_rows(df, ["g"], "o", ranges=8)
+    assert sorted(r.rn for r in rows.select("rn").collect()) == list(range(1, 20_001))
+    assert 20_000 <= seen.value <= 40_000  # once for the borders of the ranges, once for the rows
+    parts = O.range_scan(df, ["g"], ["o"], lambda: lambda *a: [], [], "parts", 8).groupBy("part_").count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 6000
+
+
+def test_null_and_nan_groups_are_groups(spark):
+    rows = [(None, 1), (None, 2), (float("nan"), 1), (float("nan"), 2), (0.5, 1), (0.5, 2), (0.5, 3)]
+    df = spark.createDataFrame(rows, "g double, o int")
+    for ranges in (None, 5):
+        assert all(r.rn == r.o for r in O.number_rows(df, ["g"], "o", ranges=ranges).collect())
+        got = O.carry_forward(df.withColumn("v", F.when(F.col("o") == 1, F.col("o"))), ["g"], "o", "v", "c", ranges=ranges)
+        assert [r.c for r in got.collect()] == [1] * 7
+    empty = df.limit(0)
+    assert O.number_rows(empty, ["g"], "o").collect() == O.carry_forward(empty, ["g"], "o", "o", "c").collect() == []
 
 
 def test_copies_are_whole_texts(spark):

@@ -1,149 +1,165 @@
 """Ordered state per group: numbering, carry-forward, first per key.
 
-A window over a group runs in one task. A group above ``hot_rows`` rows is
-therefore cut into ranges of its order column; each range is a window of its
-own, and a small table of range totals supplies what came before it. The table
-of hot groups has at most ``rows / hot_rows`` rows, which bounds the broadcast.
+A window over a group runs in one task, so these operators do not use one. The rows are sorted
+into ranges of (group, order), whatever their types; each range is scanned once and written, and a
+table with one row per range says what the ranges before hand on. Ties may fill several ranges.
 """
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from versarium.session import staged
 
-HOT_ROWS = 5_000_000
-RANGES = 4096
+PLACE = [S.StructField("part_", S.IntegerType()), S.StructField("place_", S.LongType()), S.StructField("head_", S.BooleanType())]
 
 
-def global_numbers(df, *order, out="number"):
-    """Every row with its place, from 0, in the given order of the whole table.
+def _changes(batch, by, last):
+    """Whether each row is of another group than the row before it, which is in ``last`` for the first."""
+    new = np.zeros(batch.num_rows, dtype=bool)
+    for i, name in enumerate(by):
+        column = batch.column(name)
+        both = pa.concat_arrays([last[i] if last else column.slice(0, 1), column])
+        one, two = both.slice(0, len(column)), column
+        differ = pc.fill_null(pc.not_equal(one, two), False)
+        if pa.types.is_floating(column.type):
+            differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(one), pc.is_nan(two)), False))
+        new |= pc.or_(differ, pc.xor(pc.is_null(one), pc.is_null(two))).to_numpy(zero_copy_only=False)
+    return new
+
 
-    Rows are dealt to ranges of the order and sorted there; a small table of rows per range is
-    summed up and added to the place within the range. Rows that tie in all of ``order`` may fill
-    several ranges, so no key and no tie lands in one task. The ranges are written once.
+def range_scan(df, by, order, work, fields, name, ranges=None):
+    """``df`` sorted into ranges of (by, order), scanned in order and written once.
+
+    ``work()`` makes the scan of one range: a function of (batch, new, head, part, place) that gives the
+    arrays of ``fields``; new: rows that begin a group, head: rows of the group that the range begins
+    with and that the range before may have begun. Adds part_, place_, head_ and the fields.
+    The number of ranges is that of the shuffle partitions, adapted at run time, or ``ranges``.
+    """
+    salted = df.withColumn("salt_", F.rand(11))
+    count = [ranges] if ranges else []
+    placed = (salted.repartitionByRange(*count, *by, *order, "salt_")
+              .sortWithinPartitions(*by, *order, "salt_").drop("salt_"))
+
+    def scan(batches):
+        part, place, last, head, go_on = TaskContext.get().partitionId(), 0, None, True, work()
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = _changes(batch, by, last)
+            in_head = (np.cumsum(new) == 0) & head
+            head = head and not new.any()
+            last = [batch.column(k).slice(n - 1, 1) for k in by]
+            made = go_on(batch, new, in_head, part, place)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), pa.array(in_head), *made],
+                names=names)
+            place += n
+    schema = S.StructType([*df.schema.fields, *PLACE, *fields])
+    names = schema.fieldNames()
+    return staged(placed.mapInArrow(scan, schema), name)
+
+
+def range_ends(rows, by, *columns):
+    """[(part, whether it goes on with the group of the range before, head_ and columns of its last row)].
+
+    One row per range reaches the driver.
     """
-    ranges = (df.withColumn("salt_", F.rand(11)).repartitionByRange(*order, "salt_")
-              .sortWithinPartitions(*order, "salt_").drop("salt_"))
-    # the upper bits of the id are the range, the lower 33 the place within it
-    rows = staged(ranges.withColumn("place_", F.monotonically_increasing_id()), "ranges")
-    of = F.shiftright("place_", 33)
-    total, before = 0, []
-    for part, n in sorted(map(tuple, rows.groupBy(of.alias("part_")).count().collect())):  # one row per range
-        before.append((part, total - (part << 33)))
-        total += n
-    offsets = df.sparkSession.createDataFrame(before or [(0, 0)], "part_ long, offset_ long")
-    return (rows.withColumn("part_", of).join(F.broadcast(offsets), "part_")
-            .withColumn(out, F.col("place_") + F.col("offset_")).drop("part_", "place_", "offset_"))
-
-
-def measure(df, order):
-    """A number that does not fall as the order column rises, for any type of it."""
-    kind, c = df.schema[order].dataType.typeName(), F.col(order)
-    if kind == "date":
-        return F.unix_date(c).cast("double")
-    if kind == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if kind == "timestamp_ntz":
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if kind in ("string", "varchar", "char"):
-        # the first characters as digits; texts that begin alike share a range
-        digits = [F.ascii(F.substring(c, i + 1, 1)) / F.lit(float(0x110000 ** (i + 1))) for i in range(4)]
-        return sum(digits[1:], digits[0])
-    return c.cast("double")
-
-
-def hot_groups(df, by, order, hot_rows):
-    """Groups above ``hot_rows`` with size and span of their order values. The
-    whole table as one group (by=()) gives the same as a scalar."""
-    value = measure(df, order)
-    if not by:
-        span = F.struct(F.count(F.lit(1)).alias("n_"), F.min(value).alias("lo_"), F.max(value).alias("hi_"))
-        span = df.agg(span.alias("s_")).select(F.when(F.col("s_.n_") > hot_rows, F.col("s_")).alias("s_"))
-        return span.scalar()
-    hot = (df.groupBy(*by)
-           .agg(F.count(F.lit(1)).alias("n_"), F.min(value).alias("lo_"), F.max(value).alias("hi_"))
-           .where(F.col("n_") > hot_rows))
-    return hot.select(*[F.col(k).alias(f"hot_{k}") for k in by], "n_", "lo_", "hi_")
-
-
-def ranged(df, hot, by, order, hot_rows, ranges, how):
-    """Add ``range_``: 0 where the group is not hot, else the place of the row in
-    equal widths of the group's order span. A range that still holds more than
-    ``hot_rows`` rows, because the values cluster, is cut once more. Rows with
-    the same order value stay together."""
-    first = _cut(df, hot, by, order, hot_rows, ranges, how).withColumnRenamed("range_", "outer_")
-    narrow = _cut(df.select(*by, order), hot, by, order, hot_rows, ranges, "inner").withColumnRenamed("range_", "outer_")
-    dense = hot_groups(narrow, [*by, "outer_"], order, hot_rows)
-    both = _cut(first, dense, [*by, "outer_"], order, hot_rows, ranges, "left")
-    return both.withColumn("range_", F.col("outer_").cast("bigint") * (ranges + 1) + F.col("range_")).drop("outer_")
-
-
-def _cut(df, hot, by, order, hot_rows, ranges, how):
-    # about four ranges per hot_rows rows keep the table of range totals small
-    pieces = F.least(F.lit(ranges), F.ceil(4 * F.col("n_") / F.lit(hot_rows)).cast("int"))
-    if by:
-        same = [F.col(k).eqNullSafe(F.col(f"hot_{k}")) for k in by]
-        joined = df.join(hot, same, how)
-    else:
-        joined = df.withColumn("s_", hot).select(df["*"], "s_.*")
-        joined = joined if how == "left" else joined.where(F.col("n_").isNotNull())
-    share = F.when(F.col("hi_") > F.col("lo_"), (measure(df, order) - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))).otherwise(0.0)
-    # rows without an order value sort first, as in the windows
-    place = F.when(F.col(order).isNull(), 0).otherwise(
-        F.greatest(F.lit(1), F.least(pieces, 1 + F.floor(share * pieces))))
-    return (joined.withColumn("range_", F.when(F.col("n_").isNull(), 0).otherwise(place).cast("int"))
-            .drop("n_", "lo_", "hi_", *[f"hot_{k}" for k in by]))
-
-
-def _with_earlier(split, by, totals, earlier):
-    """Attach a value of the earlier ranges of the group; only hot groups have any."""
-    w = W.partitionBy(*by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
-    before = totals.withColumn("before_", earlier(w)).where(F.col("before_").isNotNull())
-    before = before.select(*[F.col(k).alias(f"b_{k}") for k in by],
-                           F.col("range_").alias("b_range_"), "before_")
-    same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in by]
-    return (split.join(before, same + [F.col("range_") == F.col("b_range_")], "left")
-            .drop("b_range_", *[f"b_{k}" for k in by]))
-
-
-def number_rows(df, by, order, out="rn", ties=(), hot_rows=HOT_ROWS, ranges=RANGES, hot=None):
-    """1-based number of a row within its group, or in the whole table.
-
-    hot_rows=None is for groups of known small size, such as the parts of one
-    page: a plain window. ``hot`` takes a hot-group table made by hot_groups()
-    from a cheaper frame with the same groups and order values.
+    last = F.max_by(F.struct("head_", *columns, *[F.col(k).alias(f"k{i}_") for i, k in enumerate(by)]), "place_")
+    first = F.min_by(F.struct(F.lit(0), *by), "place_")
+    out, before = [], None
+    for part, one, two in sorted(rows.groupBy("part_").agg(first.alias("a"), last.alias("b")).collect(), key=lambda r: r[0]):
+        key, ends = tuple(one)[1:], tuple(two)
+        go_on = before is not None and all(x == y or (x != x and y != y) for x, y in zip(before, key))
+        out.append((part, go_on, ends[0], *ends[1:1 + len(columns)]))
+        before = ends[1 + len(columns):]
+    return out
+
+
+def _per_range(rows, table, schema):
+    """``rows`` with columns of a table of one row per range."""
+    small = rows.sparkSession.createDataFrame(table, f"part_ int, {schema}")
+    return rows.join(F.broadcast(small), "part_", "left")
+
+
+def number_rows(df, by, order, out="rn", ties=(), window=False, ranges=None):
+    """1-based number of a row within its group, or in the whole table (by=()).
+
+    ``order`` and ``ties`` may be names or sort columns; rows without an order value come first.
+    window=True is for groups of known small size, such as the parts of one page: a plain window.
+    Else the ranges are numbered side by side, and a range adds what the ranges before hold of its
+    first group, a sum over a table of one row per range.
     """
-    if hot_rows is None:
+    by = list(by)
+    if window:
         return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(order, *ties)))
+
+    def work():
+        count = 0
+
+        def number(batch, new, head, part, place):
+            nonlocal count
+            at = np.arange(batch.num_rows)
+            numbers = at - np.maximum.accumulate(np.where(new, at, -count)) + 1
+            count = int(numbers[-1])
+            return [pa.array(numbers)]
+        return number
+    rows = range_scan(df, by, [order, *ties], work, [S.StructField("local_", S.LongType())], "numbered", ranges)
+    before, so_far = [], 0
+    for part, go_on, head, count in range_ends(rows, by, "local_"):
+        earlier = so_far if go_on else 0
+        before.append((part, earlier))
+        so_far = count + (earlier if head else 0)
+    number = F.col("local_") + F.when(F.col("head_"), F.col("before_")).otherwise(0)
+    return _per_range(rows, before, "before_ long").withColumn(out, number).drop("part_", "place_", "head_", "local_", "before_")
+
+
+def global_numbers(df, *order, out="number"):
+    """Every row with its place, from 0, in the given order of the whole table."""
+    return number_rows(df, (), order[0], out, order[1:]).withColumn(out, F.col(out) - 1)
+
+
+def carry_forward(df, by, order, value, out, ties=(), window=False, ranges=None):
+    """Last non-null value of the group up to and including the row; see number_rows."""
     by = list(by)
-    hot = hot_groups(df, by, order, hot_rows) if hot is None else hot
-    local = F.row_number().over(W.partitionBy(*by, "range_").orderBy(order, *ties))
-    split = ranged(df, hot, by, order, hot_rows, ranges, "left").withColumn("local_", local)
-    totals = (ranged(df.select(*by, order), hot, by, order, hot_rows, ranges, "inner")
-              .groupBy(*by, "range_").agg(F.count(F.lit(1)).alias("n_rows_")))
-    joined = _with_earlier(split, by, totals, lambda w: F.sum("n_rows_").over(w))
-    number = F.col("local_") + F.coalesce("before_", F.lit(0))
-    return joined.withColumn(out, number).drop("local_", "before_", "range_")
-
-
-def carry_forward(df, by, order, value, out, ties=(), hot_rows=HOT_ROWS, ranges=RANGES, hot=None):
-    """Last non-null value of the group up to and including the row."""
-    if hot_rows is None:
+    if window:
         plain = W.partitionBy(*by).orderBy(order, *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumn(out, F.last(value, ignorenulls=True).over(plain))
-    by = list(by)
-    hot = hot_groups(df, by, order, hot_rows) if hot is None else hot
-    w = (W.partitionBy(*by, "range_").orderBy(order, *ties)
-         .rowsBetween(W.unboundedPreceding, W.currentRow))
-    local = F.last(value, ignorenulls=True).over(w)
-    split = ranged(df, hot, by, order, hot_rows, ranges, "left").withColumn("local_", local)
-    narrow = df.select(*dict.fromkeys([*by, order, *ties, value]))
-    totals = (ranged(narrow, hot, by, order, hot_rows, ranges, "inner").groupBy(*by, "range_")
-              .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(order, *ties)))
-                   .alias("last_")))
-    joined = _with_earlier(split, by, totals, lambda w: F.last("last_", ignorenulls=True).over(w))
-    return (joined.withColumn(out, F.coalesce("local_", "before_"))
-            .drop("local_", "before_", "range_"))
+
+    def work():
+        held, known = None, False
+
+        def carry(batch, new, head, part, place):
+            nonlocal held, known
+            column = batch.column(value)
+            n, valid = len(column), column.is_valid().to_numpy(zero_copy_only=False)
+            # the place that decides for a row: the last value, or the last start of a group
+            at = np.maximum.accumulate(np.where(valid | new, np.arange(n), -1))
+            empty = (at >= 0) & ~valid[at]
+            both = pa.concat_arrays([pa.nulls(1, column.type) if held is None else held, column])
+            carried = both.take(pa.array(at + 1, mask=empty))
+            waits = head & (at < 0) & (not known)
+            held, known = carried.slice(n - 1, 1), known or bool((at >= 0).any())
+            return [carried, pa.array(waits)]
+        return carry
+    fields = [S.StructField("carried_", df.schema[value].dataType), S.StructField("waits_", S.BooleanType())]
+    rows = range_scan(df, by, [order, *ties], work, fields, "carried", ranges)
+    source, sources = None, []
+    for part, go_on, _, waits in range_ends(rows, by, "waits_"):
+        source = source if go_on else None
+        if source is not None:
+            sources.append((part, source))
+        source = source if waits else part
+    last = rows.groupBy(F.col("part_").alias("source_")).agg(F.max_by("carried_", "place_").alias("before_"))
+    small = df.sparkSession.createDataFrame(sources, "part_ int, source_ int").join(last, "source_").drop("source_")
+    joined = rows.join(small, "part_", "left")  # one row per range
+    return (joined.withColumn(out, F.when(F.col("waits_"), F.col("before_")).otherwise(F.col("carried_")))
+            .drop("part_", "place_", "head_", "carried_", "waits_", "before_"))
 
 
 def first_per_key(df, by, *order):
@@ -157,16 +173,16 @@ def top_per_key(df, by, k, *order):
     return df.withColumn("rank_", rank).where(F.col("rank_") <= k)
 
 
-def batch_no(df, order, size=1000, ties=(), **split):
+def batch_no(df, order, size=1000, ties=(), ranges=None):
     """Number of the batch of ``size`` rows that a row falls into."""
-    numbered = number_rows(df, (), order, "rn_", ties, **split)
+    numbered = number_rows(df, (), order, "rn_", ties, ranges=ranges)
     return numbered.withColumn("batch_no", F.floor((F.col("rn_") - 1) / size).cast("int") + 1).drop("rn_")
 
 
-def paged_list(df, by, order, fields, size=1000, **split):
+def paged_list(df, by, order, fields, size=1000, ranges=None):
     """The ordered list of a group, in pages of ``size`` entries, so that a
     group of any size stays in rows of bounded width."""
-    numbered = number_rows(df, by, order, "rn_", **split)
+    numbered = number_rows(df, by, order, "rn_", ranges=ranges)
     page = F.floor((F.col("rn_") - 1) / size).cast("int") + 1
     return (numbered.withColumn("page", page).groupBy(*by, "page")
             .agg(F.count(F.lit(1)).alias("n_items"),

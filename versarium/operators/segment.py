@@ -2,12 +2,13 @@
 
 Splits and folds of one text run inside its row, so they need no shuffle.
 Only merge_rows and verse_number cross rows; both go through the ordered
-operators that cut hot groups into ranges.
+scans of ranges, so no work has to fit one task.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from versarium import patterns as P
 from versarium.functions import classify as C
@@ -119,115 +120,106 @@ def chunk_min150(c, size=150, tail=30, min_chars=20):
 
 
 # ---- merge_rows: greedy packing across the rows of a work ------------------------
-def merge_rows(df, by, order, text, limit=200, hot_rows=O.HOT_ROWS, ranges=O.RANGES):
+def merge_rows(df, by, order, text, limit=200, ranges=None):
     """Ordered rows of a work joined into paragraphs. A paragraph ends before a
     section start, and after a row ending in '.' once it is longer than limit.
 
-    The fold has limit + 2 states, so a range of a hot work is a function from
-    start state to end state. Composing these functions over the ranges gives
-    each range its true start state; then all ranges run in parallel.
+    The fold has limit + 2 states: characters so far, up to limit + 1. A range of rows is a function
+    from the state it begins with to the one it ends with. It soon becomes constant, at the latest where
+    a paragraph outgrows the limit; from there on, and in every work that begins in the range,
+    paragraphs are known in the first scan. One row per range is composed, and the few rows
+    before that point are folded again with their true state.
     """
     by = list(by)
     rows = df.select(*by, order, F.col(text).alias("t_")).where(T.blank_null(F.col("t_")) != "")
     rows = rows.withColumns({
         "len_": F.length("t_"), "starts_": C.section_start(F.col("t_")),
         "ends_": F.endswith("t_", F.lit("."))})
-    hot = O.hot_groups(rows, by, order, hot_rows)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
-    order_type = rows.schema[order].dataType.simpleString()
-    group = [*by, "range_"]
-
-    def key_of(values):
-        # a missing key reads as NaN, which would never equal itself
-        return tuple(None if v != v else v for v in values)
-
-    def in_order(frame):
-        # whole groups per partition, each in order, streamed through the task
-        return frame.repartition(*group).sortWithinPartitions(*group, order)
-
-    def end_states(batches):
-        key, state = None, None
-        for pdf in batches:
-            done = []
-            for row in pdf[[*group, "len_", "starts_", "ends_"]].itertuples(index=False, name=None):
-                length, starts, ends = row[-3:]
-                if key_of(row[:-3]) != key:
-                    if key is not None:
-                        done.append((*key, state.tolist()))
-                    key, state = key_of(row[:-3]), np.arange(limit + 2)
-                base = np.zeros_like(state) if starts else state
-                state = np.minimum(np.where(base == 0, length, base + 1 + length), limit + 1)
-                if ends:
-                    state = np.where(state > limit, 0, state)
-            yield pd.DataFrame(done, columns=[*group, "end_"])
-        if key is not None:
-            yield pd.DataFrame([(*key, state.tolist())], columns=[*group, "end_"])
-
-    def start_states(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("range_")
-        state, starts = 0, []
-        for end in pdf["end_"]:
-            starts.append(state)
-            state = int(end[state])
-        return pdf[group].assign(start_=starts)
-
-    def paragraphs(batches):
-        key, state, first = None, 0, None
-        for pdf in batches:
+
+    def step(state, first, here, length, starts, ends):
+        """State and first row of the paragraph after a row, and the row's paragraph."""
+        if starts or state == 0:
+            state, first = length, here
+        else:
+            state += 1 + length
+        state = min(state, limit + 1)
+        return (0 if ends and state > limit else state), first, first
+
+    def work():
+        states, firsts = np.arange(limit + 2), np.full(limit + 2, -1)
+        state, first, known = 0, -1, False
+
+        def fold(batch, new, head, part, place):
+            nonlocal states, firsts, state, first, known
             marks = []
-            columns = pdf[[*group, order, "start_", "len_", "starts_", "ends_"]]
-            for row in columns.itertuples(index=False, name=None):
-                at, start, length, starts, ends = row[-5:]
-                if key_of(row[:-5]) != key:
-                    key, state, first = key_of(row[:-5]), start, None
-                if starts or state == 0:
-                    state, first = length, at
+            here = (part << 33) | place
+            columns = [batch.column(c).to_pylist() for c in ("len_", "starts_", "ends_")]
+            for begins, length, starts, ends in zip(new.tolist(), *columns):
+                if begins:
+                    state, first, known = 0, -1, True
+                if known:
+                    state, first, mark = step(state, first, here, length, starts, ends)
                 else:
-                    state += 1 + length
-                marks.append(first)
-                if ends and state > limit:
-                    state = 0
-            out = pdf[[*group, order, "t_"]].copy()
-            out["paragraph"] = pd.Series(marks, index=out.index, dtype="object")
-            yield out
-
-    cut = O.ranged(rows.drop("t_"), hot, by, order, hot_rows, ranges, "inner")
-    ends = in_order(cut).mapInPandas(end_states, f"{key_schema}, range_ bigint, end_ array<int>")
-    # one row per range of a hot work
-    begin = ends.groupBy(*by).applyInPandas(start_states, f"{key_schema}, range_ bigint, start_ int")
-    renamed = begin.select(*[F.col(k).alias(f"b_{k}") for k in group], "start_")
-    same = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in group]
-
-    def placed(how):
-        split = O.ranged(rows, hot, by, order, hot_rows, ranges, how)
-        ready = split.join(renamed, same, "left").drop(*[f"b_{k}" for k in group])
-        ready = ready.withColumn("start_", F.coalesce("start_", F.lit(0)))
-        return in_order(ready).mapInPandas(
-            paragraphs, f"{key_schema}, range_ bigint, `{order}` {order_type}, t_ string, paragraph {order_type}")
-
-    # a paragraph that began in an earlier range of a hot work
-    opened = placed("inner").groupBy(*group).agg(F.max("paragraph").alias("last_"))
-    named = O._with_earlier(placed("left"), by, opened, lambda w: F.last("last_", ignorenulls=True).over(w))
-    named = named.withColumn("paragraph", F.coalesce("paragraph", "before_"))
-    return (named.groupBy(*by, "paragraph")
-            .agg(F.sort_array(F.collect_list(F.struct(order, "t_"))).alias("rows_"))
+                    fresh = (states == 0) | starts
+                    states = np.minimum(np.where(fresh, length, states + 1 + length), limit + 1)
+                    firsts = np.where(fresh, here, firsts)
+                    if ends:
+                        states = np.where(states > limit, 0, states)
+                    if (states == states[0]).all() and (states[0] == 0 or (firsts == firsts[0]).all()):
+                        state, first, known = int(states[0]), int(firsts[0]), True
+                    mark = None
+                marks.append(mark)
+                here += 1
+            end = ([state], [first]) if known else (states.tolist(), firsts.tolist())
+            last = [None] * (len(marks) - 1)
+            return [pa.array(marks, pa.int64()), *[pa.array([*last, e], pa.list_(pa.int64())) for e in end]]
+        return fold
+
+    longs = S.ArrayType(S.LongType())
+    fields = [S.StructField("mark_", S.LongType()), S.StructField("states_", longs), S.StructField("firsts_", longs)]
+    scanned = O.range_scan(rows, by, [order], work, fields, "paragraphs", ranges)
+    begin, state, first = [], 0, -1
+    for part, go_on, _, states, firsts in O.range_ends(scanned, by, "states_", "firsts_"):
+        state, first = (state, first) if go_on else (0, -1)
+        begin.append((part, state, first))
+        at = state if len(states) > 1 else 0
+        state, first = states[at], firsts[at] if firsts[at] >= 0 else first
+
+    def again(batches):
+        key, state, first = None, 0, -1
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("part_", "place_", "len_", "starts_", "ends_", "state_", "first_")]
+            marks = []
+            for part, place, length, starts, ends, state0, first0 in zip(*columns):
+                if part != key:
+                    key, state, first = part, state0, first0
+                state, first, mark = step(state, first, (part << 33) | place, length, starts, ends)
+                marks.append(mark)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:-1]], pa.array(marks, pa.int64())], names=names)
+
+    names = [*by, order, "t_", "part_", "place_", "len_", "starts_", "ends_", "mark_"]
+    waiting = O._per_range(scanned.where(F.col("mark_").isNull()).select(*names), begin, "state_ int, first_ long")
+    folded = (waiting.repartition("part_").sortWithinPartitions("part_", "place_")
+              .mapInArrow(again, scanned.select(*names).schema))
+    marked = scanned.where(F.col("mark_").isNotNull()).select(*names).union(folded)
+    at = F.struct("part_", "place_")
+    return (marked.groupBy(*by, "mark_")
+            .agg(F.min_by(order, at).alias("paragraph"), F.array_sort(F.collect_list(F.struct("part_", "place_", "t_"))).alias("rows_"))
             .select(*by, "paragraph", F.array_join(F.transform("rows_", lambda r: r["t_"]), " ")
                     .alias("text"), F.size("rows_").alias("n_rows")))
 
 
-def verse_number(df, by, order, text, separator=P.BLANK_LINES, hot_rows=O.HOT_ROWS):
+def verse_number(df, by, order, text, separator=P.BLANK_LINES, ranges=None):
     """Running verse number over a work; the chapter is carried from headers."""
     by = list(by)
-    # a work is hot by its rows; each row gives some hundred verses
-    hot = O.hot_groups(df.select(*by, order), by, order, max(hot_rows // 100, 1))
     blocks = explode_parts(df.select(*by, order, text), split_paragraphs(F.col(text), separator),
                            "block", "pos")
     blocks = blocks.withColumn("header", C.chapter_header(F.col("block"))).drop(text)
-    chaptered = O.carry_forward(blocks, by, order, "header", "chapter", ["pos"], hot=hot)
+    chaptered = O.carry_forward(blocks, by, order, "header", "chapter", ["pos"], ranges=ranges)
     verses = chaptered.where(F.col("header").isNull()).select(
         *by, order, "pos", F.coalesce("chapter", F.lit("1")).alias("chapter"),
         F.posexplode(split_sentences_simple(F.col("block"))).alias("sub", "text"))
-    return O.number_rows(verses, by, order, "verse", ["pos", "sub"], hot=hot)
+    return O.number_rows(verses, by, order, "verse", ["pos", "sub"], ranges=ranges)
 
 
 # ---- lines, quotes, slots, tokens -------------------------------------------------

@@ -34,7 +34,7 @@ def corpus_build(pages, language="de", min_words=15):
     unique = K.keep_first_duplicate(valid.withColumn("seq", F.struct("page_id", "ord")), "text", "seq", ["author"]).drop("seq")
     titled = unique.withColumn("work_title", T.clean_title(F.col("title")))
     # numbered after all filters, per work, so ids have no gaps and no repeats
-    numbered = O.number_rows(titled, ["author", "work_title", "page_id"], "ord", "section", hot_rows=None)
+    numbered = O.number_rows(titled, ["author", "work_title", "page_id"], "ord", "section", window=True)
     return numbered.select(
         F.concat_ws("_", T.make_id(F.col("author"), F.col("work_title"), F.col("page_id")), "section").alias("id"),
         "author", "work_title", "section", "text", T.word_count(F.col("text")).alias("word_count"),

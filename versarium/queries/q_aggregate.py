@@ -112,8 +112,7 @@ def section_no(spark, sf_dir):
 @query("row_id", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row_id FROM orders")
 def row_id(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey")
-    # a low limit shows the split of the one global group into ranges
-    out = O.number_rows(orders, (), "o_orderkey", "row_id", hot_rows=5000, ranges=64)
+    out = O.number_rows(orders, (), "o_orderkey", "row_id", ranges=16)
     return out.withColumn("row_id", F.col("row_id").cast("bigint"))
 
 
@@ -121,7 +120,7 @@ def row_id(spark, sf_dir):
   AS batch_no FROM orders""")
 def batch_no(spark, sf_dir):
     orders = load(spark, sf_dir, "orders").select("o_orderkey")
-    return O.batch_no(orders, "o_orderkey", 1000, hot_rows=5000, ranges=64)
+    return O.batch_no(orders, "o_orderkey", 1000, ranges=16)
 
 
 @query("carry_forward", """SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
@@ -137,8 +136,8 @@ def carry_forward(spark, sf_dir):
 def carry_forward_split(spark, sf_dir):
     events = load(spark, sf_dir, "events").select(
         "event_id", "user_id", F.when(F.col("event_type") == "error", F.col("event_id")).alias("err"))
-    # a low limit, so that every user is cut into ranges
-    return O.carry_forward(events, ["user_id"], "event_id", "err", "last_error", hot_rows=20, ranges=16) \
+    # so many ranges that users go on from one into the next
+    return O.carry_forward(events, ["user_id"], "event_id", "err", "last_error", ranges=24) \
         .select("event_id", "user_id", "last_error")
 
 

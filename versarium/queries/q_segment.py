@@ -120,8 +120,8 @@ def merge_rows(spark, sf_dir):
 
 @query("merge_rows_split", _MERGE.replace("{start}", quote(P.SECTION_START.re2)))
 def merge_rows_split(spark, sf_dir):
-    # low limits, so that every work is cut into ranges
-    return G.merge_rows(load(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", hot_rows=2, ranges=3)
+    # so many ranges that works go on from one into the next
+    return G.merge_rows(load(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text", ranges=40)
 
 
 @query("verse_number", f"""WITH block AS (SELECT source, doc_id, unnest(p) AS block, generate_subscripts(p, 1) AS pos

@@ -196,9 +196,9 @@ def page_group(df, work="work", url="url", html="html", page="page_no"):
     return contiguous_pages(one, work, page)
 
 
-def contiguous_pages(df, work, page, hot_rows=None):
-    from versarium.operators.ordered import HOT_ROWS, number_rows
-    ranked = number_rows(df, [work], page, "rank_", hot_rows=hot_rows or HOT_ROWS)
+def contiguous_pages(df, work, page):
+    from versarium.operators.ordered import number_rows
+    ranked = number_rows(df, [work], page, "rank_")
     return ranked.where(F.col(page) == F.col("rank_")).drop("rank_")
 
 
