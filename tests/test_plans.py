@@ -40,3 +40,9 @@ def test_scan_reads_only_what_it_needs(spark):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["source", "original", "cleaned", "removed"] and df.count() > 1
+
+
+def test_duplicates_are_dropped_in_one_pass(spark):
+    for name, scans in {"dup_key_first": 1, "quality_gate": 1, "corpus_quality": 2}.items():
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= scans, name

@@ -22,9 +22,10 @@ def keep_first_duplicate(df, text, order, scope=(), prefix=None):
     characters of it. A text without a letter or digit has an empty key and is no copy of another.
     """
     key = T.dup_key(F.col(text), prefix)
+    # a text without a key gets one of its own, shorter than any hash, so one window serves all rows
     keyed = computed_once(df, "dup_key_", T.let(key, lambda k: F.when(k != "", F.sha2(k, 256))))
-    copies = first_per_key(keyed.where(F.col("dup_key_").isNotNull()), [*scope, "dup_key_"], order)
-    return copies.unionByName(keyed.where(F.col("dup_key_").isNull())).drop("dup_key_")
+    keyed = keyed.withColumn("dup_key_", F.coalesce("dup_key_", F.monotonically_increasing_id().cast("string")))
+    return first_per_key(keyed, [*scope, "dup_key_"], order).drop("dup_key_")
 
 
 def dedup_exact(df, text, order, scope=()):
