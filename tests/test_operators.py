@@ -285,8 +285,44 @@ def test_knn_forms_agree_and_ivf_recall(spark):
     exact = hits(V.match_passages(df, queries, k=5))
     assert len(exact) == 100 and all((q, q) in exact for q in range(20))
     assert hits(V.match_all(df, queries, k=5, vector_bucket=90, query_bucket=7)) == exact
-    approx = hits(V.knn_ivf(df, queries, k=5, lists=10, probes=6))
-    assert len(approx & exact) >= 0.9 * len(exact)
+    for lists, probes, cell_rows in ((10, 1, 20_000), (10, 3, 7), (60, 2, 20_000)):
+        found = V.knn_ivf(df, queries, k=5, lists=lists, probes=probes, cell_rows=cell_rows)
+        assert hits(found) == exact
+    # fewer than k fit: every list is read
+    few = {(r.query_id, r.vec_id) for r in V.match_passages(df, queries, k=5, min_similarity=0.97).collect()}
+    assert hits(V.knn_ivf(df, queries, k=5, min_similarity=0.97, lists=10, probes=1)) == few
+
+
+def test_gram_index_finds_what_the_join_finds(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choices("abc ", k=rng.randrange(0, 60)))) for i in range(150)] + [(7, "second text of seven"), (200, None), (None, "abc")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    pats = [t[i:i + n] for _, t in rows if t for i, n in ((0, 1), (2, 3), (5, 8), (1, 30))] + ["zzz", "abcz", "", "of seven", None]
+    pdf = spark.createDataFrame([(p,) for p in pats], "p string")
+    X.gram_index(df, "k", "t", str(tmp_path))
+    want = {(k, p) for k, t in rows if t and k is not None for p in pats if p and p in t}
+    assert {tuple(r) for r in X.indexed_join(df, "k", "t", pdf, "p", str(tmp_path)).collect()} == want
+    joined = {tuple(r) for r in X.substring_join(df, "k", "t", pdf, "p", 20).collect()}
+    assert {r for r in joined if r[0] is not None} == want
+
+
+def test_texts_are_not_shuffled_for_a_substring_join(spark):
+    df = spark.createDataFrame([(1, "abc")], "k int, t string")
+    plan = X.substring_join(df, "k", "t", spark.createDataFrame([("b",)], "p string"), "p")._jdf.queryExecution().executedPlan().toString()
+    exchange = [x for x in plan.splitlines() if "Exchange" in x]
+    assert len(exchange) == 1 and "MapInArrow" in plan[plan.index(exchange[0]):]  # only the pairs found
+
+
+def test_names_with_one_common_pair(spark):
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choices("bcdfghklmnprstw", k=5)) + "an" + "".join(rng.choices("bcdfghklmnprstw", k=5)) for _ in range(3000)})
+    close = [n[:3] + "x" + n[4:] for n in names[:40]] + [n[:2] + n[4:] for n in names[40:80]] + ["y" + n + "z" for n in names[80:120]]
+    df = spark.createDataFrame([(n,) for n in names + close], "n string")
+    got = {r.n: r.score for r in X.fuzzy_name(df, "n").collect()}
+    every = spark.createDataFrame([(n,) for n in close], "a string").join(df.select(F.col("n").alias("b")), F.col("b") != F.col("a"))
+    best = every.groupBy("a").agg(F.round(F.max(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))), 6).alias("s"))
+    for r in best.collect():
+        assert got.get(r.a) == (r.s if r.s >= 0.65 else None)
 
 
 def test_l2_and_cosine_order_differ_off_the_sphere(spark):

@@ -11,9 +11,11 @@ from versarium.operators import joins as J
 from versarium.operators import refs as R
 from versarium.operators import segment as G
 from versarium.operators.ordered import top_per_key
+from versarium.session import staged
 
-# Patterns of one automaton.
+# Patterns of one automaton, and their characters.
 PATTERN_BLOCK = 50_000
+PATTERN_CHARS = 8_000_000
 
 
 def ilike_search(df, text, term, order, limit=10):
@@ -35,39 +37,80 @@ def qgrams(c, q):
 def substring_join(df, key, text, patterns, pattern, block=PATTERN_BLOCK):
     """The distinct (key, pattern) pairs where a text of the key contains the pattern.
 
-    Texts are dealt to slices by key and patterns to blocks of about ``block``; each
-    pair of slice and block is one pass of an automaton over the texts, whose cost does
-    not depend on the number of patterns. Neither side passes through the driver.
+    Texts stay in the task that reads them: the patterns come to them, in blocks of at most about
+    ``block`` patterns and PATTERN_CHARS characters, counted before they are sent. Each block is one
+    automaton and one pass over the texts, whose cost does not depend on the number of patterns.
     """
     wanted = patterns.select(F.col(pattern).alias("pattern_")).where(F.length("pattern_") > 0).distinct()
-    blocks = max(1, -(-wanted.count() // block))
-    slices = 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def numbers(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    texts = df.select(F.col(key).alias("key_"), F.col(text).alias("text_")).where(F.col("text_").isNotNull()).select(
-        "*", F.pmod(F.xxhash64("key_"), F.lit(slices)).cast("int").alias("slice_"), numbers(blocks).alias("block_"))
-    sought = wanted.select("pattern_", F.pmod(F.xxhash64("pattern_"), F.lit(blocks)).cast("int").alias("block_"),
-                           numbers(slices).alias("slice_"))
-
-    def contained(left: pa.Table, right: pa.Table) -> pa.Table:
+    wanted = staged(wanted, "patterns")
+    count, chars = wanted.agg(F.count(F.lit(1)), F.sum(F.length("pattern_"))).first()
+    blocks = max(1, -(-count // block), -(-(chars or 0) // PATTERN_CHARS))
+    texts = df.select(F.col(key).alias("key_"), F.col(text).alias("text_")).where(F.col("text_").isNotNull())
+    kind = df.schema[key].dataType.simpleString()
+    found = None
+    for number in range(blocks):
+        of_block = F.pmod(F.xxhash64("pattern_"), F.lit(blocks)) == number
+        words = df.sparkSession.sparkContext.broadcast([r[0] for r in wanted.where(of_block).collect()])
+        hits = texts.mapInArrow(_contained(words, key, pattern), f"`{key}` {kind}, `{pattern}` string")
+        found = hits if found is None else found.union(hits)
+    return found.distinct()
+
+
+def _contained(words, key, pattern):
+    """Batches of (key_, text_) to the (key, pattern) pairs found."""
+    def match(batches):
         import ahocorasick
-        words, rows, which = right.column("pattern_").to_pylist(), [], []
-        automaton = ahocorasick.Automaton()
-        for i, word in enumerate(words):
+        sought, automaton = words.value, ahocorasick.Automaton()
+        for i, word in enumerate(sought):
             automaton.add_word(word, i)
-        if words and left.num_rows:
-            automaton.make_automaton()
-            for n, value in enumerate(left.column("text_").to_pylist()):
+        if not sought:
+            return
+        automaton.make_automaton()
+        sought = pa.array(sought)
+        for batch in batches:
+            rows, which = [], []
+            for n, value in enumerate(batch.column("text_").to_pylist()):
                 found = {i for _, i in automaton.iter(value)}
                 rows += [n] * len(found)
                 which += found
-        return pa.table({key: left.column("key_").take(pa.array(rows, pa.int64())),
-                         pattern: right.column("pattern_").take(pa.array(which, pa.int64()))})
+            yield pa.RecordBatch.from_arrays([batch.column("key_").take(pa.array(rows, pa.int64())),
+                                              sought.take(pa.array(which, pa.int64()))], names=[key, pattern])
+    return match
 
-    kind = df.schema[key].dataType.simpleString()
-    return (texts.groupBy("slice_", "block_").cogroup(sought.groupBy("slice_", "block_"))
-            .applyInArrow(contained, f"`{key}` {kind}, `{pattern}` string").distinct())
+
+def gram_index(df, key, text, path, q=3):
+    """Posting lists of the q-character substrings of the texts, for many searches over one corpus.
+
+    Written to ``path``: (gram, key) in order of gram, so that a look-up reads the files and row groups
+    of its grams only, and the number of keys of each gram. A key may have several texts.
+    """
+    pairs = df.select(F.col(key).alias("key_"), F.explode(qgrams(F.col(text), q)).alias("gram_")).distinct()
+    # a gram of very many keys fills several ranges
+    pairs.repartitionByRange("gram_", "key_").sortWithinPartitions("gram_", "key_").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = df.sparkSession.read.parquet(f"{path}/postings")
+    postings.groupBy("gram_").agg(F.count(F.lit(1)).alias("keys_")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def indexed_join(df, key, text, patterns, pattern, path, q=3):
+    """The pairs of substring_join by the index at ``path``.
+
+    Each pattern asks for the postings of its rarest gram alone, and the texts of those keys are
+    searched; a pattern with a gram that no text has is dropped at once. Patterns of fewer than q
+    characters have no gram and go through substring_join.
+    """
+    spark = df.sparkSession
+    postings, counts = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts")
+    wanted = staged(patterns.select(F.col(pattern).alias("pattern_")).where(F.length("pattern_") > 0).distinct(), "patterns")
+    grams = wanted.where(F.length("pattern_") >= q).select("pattern_", F.explode(qgrams(F.col("pattern_"), q)).alias("gram_"))
+    rarest = (grams.join(counts, "gram_", "left").groupBy("pattern_")
+              .agg(F.min_by("gram_", "keys_").alias("gram_"), F.count_if(F.col("keys_").isNull()).alias("unknown_"))
+              .where("unknown_ = 0"))
+    near = postings.join(rarest.select("pattern_", "gram_"), "gram_").select("key_", "pattern_")
+    texts = df.select(F.col(key).alias("key_"), F.col(text).alias("text_"))
+    found = texts.join(near, "key_").where(F.contains("text_", "pattern_")).select(
+        F.col("key_").alias(key), F.col("pattern_").alias(pattern))
+    short = wanted.where(F.length("pattern_") < q)
+    return found.union(substring_join(df.where(F.col(key).isNotNull()), key, text, short, "pattern_")).distinct()
 
 
 def seeded_join(df, key, text, patterns, pattern, q=None):
@@ -85,11 +128,13 @@ def seeded_join(df, key, text, patterns, pattern, q=None):
     return found.select(key, pattern).distinct()
 
 
-def variant_match(passages, key, text, variants, variant, rank, limit=8):
+def variant_match(passages, key, text, variants, variant, rank, limit=8, index=None):
     """First ``limit`` passages by the rank of the first variant they contain.
     The answer equals the original walk over the variants, which stops after
-    twice the limit: later variants only add rows of a higher rank."""
-    hits = substring_join(passages, key, text, variants, variant)
+    twice the limit: later variants only add rows of a higher rank. ``index`` is
+    the path of a gram_index of the passages, if there is one."""
+    hits = (indexed_join(passages, key, text, variants, variant, index) if index
+            else substring_join(passages, key, text, variants, variant))
     ranked = hits.join(variants.select(variant, rank), variant)
     best = ranked.groupBy(key).agg(F.min(rank).alias("rank"))
     return best.orderBy("rank", key).limit(max(limit, 1))
@@ -161,20 +206,36 @@ def smart_search(queries, key, query, verses, translation="schoeningh", limit=10
 def fuzzy_name(names, name, threshold=0.65):
     """Closest other name of each distinct name, if similar enough.
 
-    Candidates share a pair of letters. For two words of length n >= 4 and at
-    most 0.35 n edits at least one pair survives, so none is missed; shorter
-    words are also joined on single letters.
+    Similarity is 1 - edits / greater length, so a pair whose longer name has n characters may differ by
+    t = floor((1 - threshold) n) edits. The shorter name is cut into t + 1 segments, one of which the
+    edits leave whole; the longer one has it at most so many places away as edits can shift it. The join is
+    on both lengths, the number of the segment and its characters, and every candidate is measured.
     """
-    word = names.select(F.col(name).alias("a")).where(F.length("a") > 0).distinct()
-    def grams(c):
-        pairs = qgrams(c, 2)
-        return F.when(F.length(c) <= 6, F.concat(pairs, qgrams(c, 1))).otherwise(pairs)
-    left = word.withColumn("g", F.explode(grams(F.col("a"))))
-    right = left.select(F.col("a").alias("b"), "g")
-    # edits bound the difference in length, which cuts most candidates early
-    near = F.abs(F.length("a") - F.length("b")) <= (1 - threshold) * F.greatest(F.length("a"), F.length("b"))
-    pairs = left.join(right, "g").where((F.col("a") != F.col("b")) & near)
-    scored = pairs.groupBy("a", "b").agg(F.first(G.similarity(F.col("a"), F.col("b"))).alias("score"))
-    best = scored.where(F.col("score") >= threshold).groupBy("a").agg(
-        F.max_by("b", F.struct("score", "b")).alias("closest"), F.max("score").alias("score"))
+    word = staged(names.select(F.col(name).alias("a")).where(F.length("a") > 0).distinct(), "names")
+    share = 1 - threshold + 1e-9
+    edits = F.floor(F.lit(share) * F.col("long_")).cast("int")
+    lengths = staged(word.select(F.length("a").alias("n_")).distinct(), "lengths")
+    both = lengths.select(F.col("n_").alias("short_")).join(
+        lengths.select(F.col("n_").alias("long_")), (F.col("long_") >= F.col("short_")) & (F.col("long_") - F.col("short_") <= edits))
+    both = both.withColumn("t_", edits)
+    # segment i of t + 1 begins at floor(i n / (t + 1))
+    cut = both.withColumn("i_", F.explode(F.sequence(F.lit(0), F.col("t_"))))
+    start = F.floor(F.col("i_") * F.col("short_") / (F.col("t_") + 1)).cast("int")
+    stop = F.floor((F.col("i_") + 1) * F.col("short_") / (F.col("t_") + 1)).cast("int")
+    cut = staged(cut.withColumns({"start_": start, "size_": stop - start}), "segments")
+    keys = ["short_", "long_", "i_", "segment_"]
+    left = word.withColumn("short_", F.length("a")).join(F.broadcast(cut), "short_").select(
+        "a", "short_", "long_", "i_", F.substring("a", F.col("start_") + 1, F.col("size_")).alias("segment_"))
+    # before the segment at most i edits shift it, behind it at most t - i do
+    gap = F.col("long_") - F.col("short_")
+    low = F.greatest(F.lit(0), F.col("start_") - F.col("i_"), F.col("start_") + gap - (F.col("t_") - F.col("i_")))
+    high = F.least(F.col("long_") - F.col("size_"), F.col("start_") + F.col("i_"), F.col("start_") + gap + F.col("t_") - F.col("i_"))
+    places = cut.withColumns({"low_": low, "high_": high}).where("low_ <= high_")
+    right = word.select(F.col("a").alias("b"), F.length("a").alias("long_")).join(F.broadcast(places), "long_").select(
+        "b", "short_", "long_", "i_", F.explode(F.array_distinct(F.transform(F.sequence("low_", "high_"), lambda p: F.substring(
+            F.col("b"), p + 1, F.col("size_"))))).alias("segment_"))
+    pairs = left.join(right, keys).where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    scored = pairs.withColumn("score", G.similarity(F.col("a"), F.col("b"))).where(F.col("score") >= threshold)
+    both_ways = scored.union(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
+    best = both_ways.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("closest"), F.max("score").alias("score"))
     return best.select(F.col("a").alias(name), "closest", F.round("score", 6).alias("score"))

@@ -5,11 +5,14 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from versarium.functions import text as T
 from versarium.operators.joins import backlog
 from versarium.operators.ordered import top_per_key
+from versarium.session import staged
+
 
 def _matrix(values, dims):
     return np.asarray([v for v in values], dtype=np.float64).reshape(-1, dims)
@@ -54,6 +57,13 @@ def match_all(vectors, queries, k=12, min_similarity=0.20, key="vec_id", vector=
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
     right = (queries.select(query_key, F.col(vector).alias("q_")).withColumn("qb", F.pmod(F.xxhash64(query_key), F.lit(n_q)).cast("int"))
              .withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_v - 1).cast("bigint")))))
+    hits = _met(left, right, ["vb", "qb"], vectors, queries, k, min_similarity, key, vector, query_key, order_by)
+    rank = [F.col("distance"), F.col(key)] if order_by == "l2" else [F.desc("similarity"), F.col(key)]
+    return top_per_key(hits, [query_key], k, *rank).withColumnRenamed("rank_", "rank")
+
+
+def _met(left, right, buckets, vectors, queries, k, min_similarity, key, vector, query_key, order_by="l2"):
+    """The k best rows per query of every bucket that vectors (``vector``) and queries (``q_``) share."""
     key_type = vectors.schema[key].dataType.simpleString()
     query_type = queries.schema[query_key].dataType.simpleString()
 
@@ -66,10 +76,8 @@ def match_all(vectors, queries, k=12, min_similarity=0.20, key="vec_id", vector=
                            matrix, k, min_similarity, order_by)
         return pd.DataFrame(rows, columns=columns)
 
-    hits = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInPandas(
+    return left.groupBy(*buckets).cogroup(right.groupBy(*buckets)).applyInPandas(
         block, f"{query_key} {query_type}, {key} {key_type}, similarity double, distance double")
-    rank = [F.col("distance"), F.col(key)] if order_by == "l2" else [F.desc("similarity"), F.col(key)]
-    return top_per_key(hits, [query_key], k, *rank).withColumnRenamed("rank_", "rank")
 
 
 def assign_cells(vectors, lists=100, seed=7, vector="embedding"):
@@ -81,30 +89,50 @@ def assign_cells(vectors, lists=100, seed=7, vector="embedding"):
     return model.transform(base).drop("f_"), centres
 
 
-def knn_ivf(vectors, queries, k=12, min_similarity=0.20, lists=100, probes=20, key="vec_id", vector="embedding",
-            query_key="query_id"):
-    """Approximate form: only the ``probes`` cells nearest to a query are read;
-    inside them the ranking is exact."""
-    celled, centres = assign_cells(vectors, lists, vector=vector)
-    matrix, n_probes = np.asarray(centres), min(probes, len(centres))
-
-    @F.pandas_udf("array<int>")
-    def near(vecs: pd.Series) -> pd.Series:
-        points = _matrix(vecs.tolist(), matrix.shape[1])
-        gaps = ((points[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2)
-        return pd.Series(np.argsort(gaps, axis=1, kind="stable")[:, :n_probes].tolist())
-
-    probed = queries.select(query_key, F.col(vector), F.explode(near(vector)).alias("cell")) \
-        .withColumnRenamed(vector, "q_")
-    pairs = celled.select(key, vector, "cell").join(probed, "cell")
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select(query_key, key, dot(F.col(vector), F.col("q_")).alias("vq"),
-                          dot(F.col(vector), F.col(vector)).alias("vv"), dot(F.col("q_"), F.col("q_")).alias("qq"))
-    scored = scored.select(query_key, key, (F.col("vq") / F.sqrt(F.col("vv") * F.col("qq"))).alias("similarity"),
-                           F.sqrt(F.greatest(F.col("vv") + F.col("qq") - 2 * F.col("vq"), F.lit(0.0))).alias("distance"))
-    return top_per_key(scored.where(F.col("similarity") >= min_similarity), [query_key], k, "distance", key) \
-        .withColumnRenamed("rank_", "rank")
+def knn_ivf(vectors, queries, k=12, min_similarity=0.20, lists=100, probes=4, key="vec_id", vector="embedding",
+            query_key="query_id", cell_rows=20_000):
+    """The k nearest vectors by inverted lists; the same rows as match_passages.
+
+    First the ``probes`` lists nearest to a query are read. By the triangle inequality a list holds
+    nothing nearer than the distance of its centre less its radius, so then exactly those lists are read
+    that may hold something nearer than the k-th found so far, all of them where fewer were found.
+    Lists of more than about ``cell_rows`` vectors are split, so none is one task.
+    """
+    celled, centres = assign_cells(vectors.select(key, vector), lists, vector=vector)
+    celled = staged(celled, "cells")
+    matrix = np.asarray(centres)
+    width = matrix.shape[1]
+
+    @F.pandas_udf("double")
+    def from_centre(vecs: pd.Series, cells: pd.Series) -> pd.Series:
+        return pd.Series(np.linalg.norm(_matrix(vecs.tolist(), width) - matrix[cells.to_numpy()], axis=1))
+    sizes = {r.cell: r for r in celled.groupBy("cell").agg(
+        F.max(from_centre(vector, "cell")).alias("radius"), F.count(F.lit(1)).alias("n")).collect()}  # one row per list
+    radius = np.array([sizes[c].radius if c in sizes else -np.inf for c in range(len(matrix))])
+    parts = [-(-sizes[c].n // cell_rows) if c in sizes else 1 for c in range(len(matrix))]
+
+    @F.pandas_udf("array<struct<cell:int,least:double,turn:int>>")
+    def bounds(vecs: pd.Series) -> pd.Series:
+        gaps = np.linalg.norm(_matrix(vecs.tolist(), width)[:, None, :] - matrix[None, :, :], axis=2)
+        turn = np.argsort(np.argsort(gaps, axis=1, kind="stable"), axis=1)
+        least = gaps - radius - 1e-9 * (1 + gaps)  # what rounding may add
+        return pd.Series([[{"cell": c, "least": x, "turn": t} for c, (x, t) in enumerate(zip(*row))]
+                          for row in zip(least.tolist(), turn.tolist())])
+
+    split = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("cell") + 1)
+    left = celled.withColumn("part", F.pmod(F.xxhash64(key), split).cast("int"))
+    asked = staged(queries.select(query_key, F.col(vector).alias("q_"), F.explode(bounds(vector)).alias("c"))
+                   .select(query_key, "q_", "c.*"), "bounds")
+
+    def hits(rows):
+        right = rows.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1)))
+        return _met(left, right, ["cell", "part"], vectors, queries, k, min_similarity, key, vector, query_key)
+    first = staged(top_per_key(hits(asked.where(F.col("turn") < probes)), [query_key], k, "distance", key), "first")
+    kth = first.where(F.col("rank_") == k).select(F.col(query_key).alias("kth_query"), F.col("distance").alias("kth"))
+    open_ = asked.where(F.col("turn") >= probes).join(kth, F.col(query_key) == F.col("kth_query"), "left").where(
+        F.col("kth").isNull() | (F.col("least") <= F.col("kth"))).select(query_key, "q_", "cell")
+    every = first.drop("rank_").unionByName(hits(open_))
+    return top_per_key(every, [query_key], k, "distance", key).withColumnRenamed("rank_", "rank")
 
 
 def hashed_encoder(df, text, dims=64, out="embedding"):
@@ -128,11 +156,11 @@ def encode_whole(items, key, text, limit=6000, encoder=hashed_encoder, out="embe
     texts are encoded piece by piece and averaged by length."""
     whole = F.coalesce(F.col(text), F.lit(""))
     parts = items.select(key, F.posexplode(T.let(whole, lambda t: pieces(t, limit))).alias("part_", "input_"))
-    coded = encoder(parts, "input_").select(key, F.greatest(F.length("input_"), F.lit(1)).alias("weight_"),
-                                            F.posexplode(out).alias("dim_", "x_"))
-    mean = (F.sum(F.col("x_").cast("double") * F.col("weight_")) / F.sum("weight_")).cast("float")
-    return (coded.groupBy(key, "dim_").agg(mean.alias("x_")).groupBy(key)
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim_", "x_"))), lambda d: d["x_"]).alias(out)))
+    coded = encoder(parts, "input_").select(key, F.greatest(F.length("input_"), F.lit(1)).cast("double").alias("weight_"),
+                                            array_to_vector(F.col(out).cast("array<double>")).alias("vector_"))
+    # one vector per item and task is summed up before the shuffle
+    mean = Summarizer.mean(F.col("vector_"), F.col("weight_"))
+    return coded.groupBy(key).agg(vector_to_array(mean).cast("array<float>").alias(out))
 
 
 def embed_backlog(items, done, key, text, limit=6000, encoder=hashed_encoder):

@@ -1,5 +1,7 @@
 """Queries: substring, term, combined and vector search."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from versarium import dims
@@ -9,7 +11,7 @@ from versarium.operators import vectors as V
 from versarium.queries import inputs
 from versarium.queries.q_refs import _CITING, _VERSES
 from versarium.queries.registry import query
-from versarium.session import load, load_text
+from versarium.session import ensure_checkpoint_dir, load, load_text
 
 
 
@@ -58,6 +60,17 @@ def variant_match(spark, sf_dir):
     return X.variant_match(docs, "doc_id", "text", variants, "variant", "rank_no")
 
 
+@query("variant_match_indexed", """SELECT doc_id, min(item_id) AS rank FROM documents JOIN (SELECT item_id, unnest([text, regexp_extract(text, '^[^.]*', 0)]) AS needle
+  FROM benchmark) ON contains(text, needle) GROUP BY doc_id ORDER BY rank, doc_id LIMIT 50""")
+def variant_match_indexed(spark, sf_dir):
+    docs = load_text(spark, sf_dir, "documents", "doc_id", "text")
+    path = f"{ensure_checkpoint_dir(spark)}/gram-index-{uuid.uuid4().hex}"
+    X.gram_index(docs, "doc_id", "text", path)
+    variants = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rank_no"), F.explode(F.array(
+        "text", F.regexp_extract("text", r"^[^.]*", 0))).alias("variant"))
+    return X.variant_match(docs, "doc_id", "text", variants, "variant", "rank_no", 50, index=path)
+
+
 _TOKENS = f"SELECT doc_id, unnest({P.SEARCH_TOKEN.sql_all('lower(text)')}) AS term FROM documents"
 
 
@@ -137,8 +150,11 @@ def centroids(spark, sf_dir):
         F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
 
 
-@query("knn_exact", f"""SELECT query_id, vec_id, round(sim, 6) AS similarity, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER
-  (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM ({_SCORED}) WHERE sim >= 0.2) WHERE rank <= 12""")
+_NEAREST = f"""SELECT query_id, vec_id, round(sim, 6) AS similarity, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER
+  (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM ({_SCORED}) WHERE sim >= 0.2) WHERE rank <= 12"""
+
+
+@query("knn_exact", _NEAREST)
 def knn_exact(spark, sf_dir):
     hits = V.match_passages(load(spark, sf_dir, "embeddings"), centroids(spark, sf_dir))
     return hits.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
@@ -162,7 +178,7 @@ def knn_all(spark, sf_dir):
     return hits.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@query("knn_ivf")
+@query("knn_ivf", _NEAREST)
 def knn_ivf(spark, sf_dir):
     hits = V.knn_ivf(load(spark, sf_dir, "embeddings"), centroids(spark, sf_dir))
     return hits.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
