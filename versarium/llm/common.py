@@ -2,30 +2,18 @@
 
 import sys
 import types
-import uuid
 
 from pyspark.sql import functions as F
 
-from versarium.session import ensure_checkpoint_dir
-
-
-def staged(df, name):
-    """`df` written as Parquet into the shared checkpoint folder and read back.
-
-    Cuts the lineage: what follows does not run `df` again, and a lost executor costs a
-    read of the written files at most. One folder per call, so that a retry never mixes.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/versarium-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from versarium.session import staged  # noqa: F401  (used by all operators of this subpackage)
 
 
 def small_batches(spark):
     """Arrow batches of up to 2000 rows and 16 MB where the session has Spark's defaults.
 
     A Python worker holds a batch several times over (Arrow, strings, results), and long texts
-    come in batches of 10,000 rows and 64 MB otherwise.
+    come in batches of 10,000 rows and 64 MB otherwise. The queries and the pipeline, which own
+    their session, call this; operators leave the caller's settings alone.
     """
     for key, default, value in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", "16m")):
         key = f"spark.sql.execution.arrow.{key}"
@@ -38,7 +26,6 @@ def pick(df, **columns):
 
     Everything else in `df` is left out, so further columns never clash.
     """
-    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 

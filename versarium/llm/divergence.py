@@ -18,6 +18,7 @@ SCALE = 1_000_000_000
 TOP_TERMS = 50
 CHUNK = 1024  # term ids below one subtree, a power of two
 BLOCK = 48  # sources of one language that meet in one task
+HELD = 200_000  # counts that a task keeps before it hands them on
 SLICE = 64  # pairs of trees that are walked together
 
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -25,18 +26,27 @@ _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 def term_counts(rows):
     """(lang, source, term, n, docs): occurrences and documents; the empty term marks the group."""
+    def rows_of(found):
+        parts = [(lang, source, t, n[t], docs[t]) for (lang, source), (n, docs) in found.items() for t in (b"", *n)]
+        columns = list(zip(*parts)) or [()] * 5
+        frame = pd.DataFrame(dict(zip(("lang", "source", "term", "n", "docs"), columns)))
+        return frame.assign(term=[t.decode("utf-8", "replace") for t in columns[2]])
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, size = {}, 0
         for batch in batches:
-            found = {}
             for lang, source, text in zip(batch["lang"], batch["source"], batch["text"]):
                 n, docs = found.setdefault((lang, source), (Counter(), Counter()))
                 words = _TERM.findall(text.encode("utf-8", "surrogatepass").lower())  # bytes: A-Z only
+                size -= len(n)
                 n.update(words)
                 docs.update(set(words))
-            for (lang, source), (n, docs) in found.items():
-                terms = [b"", *n]
-                yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "replace") for t in terms],
-                                    "n": [n[t] for t in terms], "docs": [docs[t] for t in terms]})
+                size += len(n)
+                if size > HELD:
+                    yield rows_of(found)
+                    found, size = {}, 0
+        if found:
+            yield rows_of(found)
     counted = rows.mapInPandas(count, "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 

@@ -1,76 +1,42 @@
 """Language identification by interpolated Kneser-Ney character models."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from versarium.llm import ngrams
-from versarium.llm.common import in_pieces, pick, small_batches
+from versarium.llm.common import let, pick
 
 ORDER = 4
 UNKNOWN = "und"
 SHARPNESS = 8.0  # of the score: softmax of this many times minus the cross-entropy
 
 
-class Languages:
-    """One model per language, in order of name; at most 2^22 windows each."""
-
-    def __init__(self, rows):
-        found = {}
-        for label, gram, n in rows:
-            grams, counts = found.setdefault(label, ([], []))
-            grams.append(gram)
-            counts.append(n)
-        self.names = sorted(found)
-        self.models = [ngrams.CharModel(*found[name], ORDER, "kneser-ney") for name in self.names]
-
-
 def train(documents, lang_col="lang", text_col="text"):
-    """Languages learned from all given rows whose text and language are not null."""
+    """Models of the languages of all given rows whose text and language are not null."""
     rows = pick(documents, label=lang_col, text=text_col).withColumn("label", F.col("label").cast("string"))
-    return Languages(ngrams.count_windows(rows, ORDER, letters=True).collect())
+    return ngrams.Models(rows, ORDER, True, "kneser-ney")
 
 
-def judge(texts, languages, slack=1.0, deviations=6.0):
-    """(lang, score, entropy, rejected) for a list of texts.
+def judged(s, languages, slack=1.0, deviations=6.0):
+    """struct<lang_pred, score, entropy, rejected> from the scores of a text (`Models.scored`).
 
     The language of the lowest cross-entropy per character wins, ties by name. `rejected` if the
     text has no letter, or if that entropy is above what the model's own training text has: by
     `slack` nats and `deviations` standard errors of a text of this length.
     """
-    if not languages.models:
-        return [(UNKNOWN, 0.0, None, True)] * len(texts)
-    known = ngrams.held("letters", ngrams._letters)
-    sums, counts = ngrams.score(texts, languages.models, letters=True)
-    entropy = -sums / np.maximum(counts, 1)[:, None]
-    best = entropy.argmin(axis=1)
-    low = entropy[np.arange(len(texts)), best]
-    score = 1 / np.exp(-SHARPNESS * (entropy - low[:, None])).sum(axis=1)
-    mean = np.array([m.mean for m in languages.models])[best]
-    spread = np.array([m.spread for m in languages.models])[best]
-    rejected = low > mean + slack + deviations * spread / np.sqrt(np.maximum(counts, 1))
-    out = []
-    for i, text in enumerate(texts):
-        if not text or not (counts[i] > 1 or known[list(map(ord, text.lower()))].any()):
-            out.append((UNKNOWN, 0.0, None, True))
-        else:
-            out.append((languages.names[best[i]], float(score[i]), float(low[i]), bool(rejected[i])))
-    return out
-
-
-def predicted(text, spark, languages):
-    """struct<lang_pred, score, entropy, rejected> of a text column; see `identify`."""
-    shared = spark.sparkContext.broadcast(languages)
-
-    @F.pandas_udf("lang_pred string, score double, entropy double, rejected boolean")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [r for part in in_pieces(texts, 1 << 18) for r in judge(part, shared.value)]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "entropy", "rejected"]).astype(
-                {"score": "float64", "entropy": "float64", "rejected": "bool"})
-    return predict.asNondeterministic()(text)  # else a filter on it would run it twice
+    if not languages.names:
+        return F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"),
+                        F.lit(True).alias("rejected"))
+
+    def made(e):
+        low = F.array_min(e)
+        best = F.array_position(e, low).cast("int")
+        of = [F.element_at(F.array(*map(F.lit, values)), best) for values in (languages.names, languages.means, languages.spreads)]
+        total = F.aggregate(e, F.lit(0.0), lambda t, x: t + F.exp(-SHARPNESS * (x - low)))
+        high = low > of[1] + slack + deviations * of[2] / F.sqrt(F.greatest(s["n"], F.lit(1)))
+        found = s["lettered"]
+        return F.struct(F.when(found, of[0]).otherwise(UNKNOWN).alias("lang_pred"), F.when(found, 1 / total).otherwise(0.0).alias("score"),
+                        F.when(found, low).alias("entropy"), (~found | high).alias("rejected"))
+    return let(F.transform(s["sums"], lambda x: -x / F.greatest(s["n"], F.lit(1))), made)
 
 
 def identify(documents, languages, id_col="doc_id", text_col="text"):
@@ -78,15 +44,19 @@ def identify(documents, languages, id_col="doc_id", text_col="text"):
 
     Null texts and texts without a letter are `und` with score 0, and rejected; so is every text
     if nothing was learned. Rows with a null id and repeated rows are kept as they come; an empty
-    table gives no rows. The models are a broadcast of bounded size (see `ngrams`).
+    table gives no rows.
     """
     docs = pick(documents, doc_id=id_col, text=text_col)
-    return docs.select("doc_id", predicted("text", documents.sparkSession, languages).alias("p")).select("doc_id", "p.*")
+    found = languages.scored(docs, F.col("text"), "s")
+    return found.select("doc_id", judged(F.col("s"), languages).alias("p")).select("doc_id", "p.*")
 
 
 def accepted(documents, languages, text_col="text", lang_col="lang"):
-    """The rows whose language is recognised, all columns kept; a null language is filled in."""
-    small_batches(documents.sparkSession)
-    judged = documents.withColumn("__lang", predicted(F.col(f"`{text_col}`"), documents.sparkSession, languages))
-    return (judged.filter("not __lang.rejected")
-            .withColumn(lang_col, F.coalesce(F.col(f"`{lang_col}`"), F.col("__lang.lang_pred"))).drop("__lang"))
+    """The rows whose language is recognised, all columns kept; a null language is filled in.
+
+    Null texts and texts without a letter go; repeated rows are judged each; an empty table stays empty.
+    """
+    found = languages.scored(documents, F.col(f"`{text_col}`"), "__s")
+    judgement = found.withColumn("__lang", judged(F.col("__s"), languages))
+    return (judgement.filter("not __lang.rejected")
+            .withColumn(lang_col, F.coalesce(F.col(f"`{lang_col}`"), F.col("__lang.lang_pred"))).drop("__lang", "__s"))

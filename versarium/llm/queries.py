@@ -2,15 +2,20 @@
 
 from pyspark.sql import functions as F
 
+from versarium import session
 from versarium.llm import (
     bpe, decontam, divergence, language, lines, passages, repeats, resample, secrets, simhash, toxicity, urls, vptree)
-from versarium.llm.common import crc_fold
+from versarium.llm.common import crc_fold, small_batches
 from versarium.llm.registry import ORACLES, QUERIES, query
-from versarium.session import load
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def load(spark, sf_dir, table):
+    small_batches(spark)
+    return session.load(spark, sf_dir, table)
+
+
 @query("op1_simhash")
 def op1_simhash(spark, sf_dir):
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))

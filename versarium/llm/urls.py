@@ -1,15 +1,12 @@
 """URL filter: fixed rules, and a character language-model ratio for what they leave open."""
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from versarium.llm import ngrams
-from versarium.llm.common import in_pieces, lower_ascii, pick
+from versarium.llm.common import lower_ascii, pick
 
 ORDER = 6
+FOLDS = 5  # one of so many parts of the labelled urls, by hash, sets the threshold and teaches nothing
 
 # Fixed values: (verdict, host, path); the longest that fits wins.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -41,47 +38,37 @@ def rule_of(host, path, rules=RULES):
     return rule, verdict
 
 
-def ratio(urls, accepted, rejected):
-    """Length-normalised log-likelihood difference of each url; 0 for null and empty urls."""
-    sums, counts = ngrams.score(urls, [accepted, rejected], letters=False)
-    return (sums[:, 0] - sums[:, 1]) / np.maximum(counts, 1)
-
-
 class UrlFilter:
     """Witten-Bell models of variable order for accepted and rejected urls, and a threshold.
 
-    A window that was never seen falls back to its longest known context. The threshold is the
-    middle between the mean ratios of the two classes, each taken over all labelled urls.
+    A window that was never seen falls back to its longest known context.
     """
 
-    def __init__(self, rows, threshold=0.0):
-        found = {"allow": ([], []), "block": ([], [])}
-        for label, gram, n in rows:
-            found[label][0].append(gram)
-            found[label][1].append(n)
-        self.accepted, self.rejected = [ngrams.CharModel(*found[k], ORDER, "witten-bell", alphabet=128) for k in ("allow", "block")]
-        self.threshold = threshold
-
+    def __init__(self, models, threshold=0.0):
+        self.models, self.threshold = models, threshold
 
-def _scored(spark, rows, model):
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for urls in batches:
-            yield pd.Series([x for part in in_pieces(urls) for x in ratio(part, shared.value.accepted, shared.value.rejected)],
-                            dtype="float64")
-    return rows.withColumn("ratio", score("url"))
+    def ratios(self, rows):
+        """`rows` with `ratio`: the length-normalised log-likelihood difference of `url`, 0 if null or empty."""
+        s = F.col("__s")
+        found = self.models.scored(rows, F.col("url"), "__s")
+        return found.withColumn("ratio", (s["sums"][0] - s["sums"][1]) / F.greatest(s["n"], F.lit(1))).drop("__s")
 
 
 def train(labelled):
-    """UrlFilter from (url, label) rows, label allow or block; other labels and null urls are left out."""
-    rows = labelled.filter("label in ('allow', 'block')").select("label", F.col("url").alias("text"))
-    model = UrlFilter(ngrams.count_windows(rows, ORDER, letters=False).collect())
-    means = dict(_scored(labelled.sparkSession, rows.filter("text is not null").withColumnRenamed("text", "url"), model)
-                 .groupBy("label").agg(F.avg("ratio")).collect())
-    if len(means) == 2:
-        model.threshold = (means["allow"] + means["block"]) / 2
+    """UrlFilter from (url, label) rows, label allow or block; other labels and null urls are left out.
+
+    A fold of the distinct urls, by hash, is held out of the models. The threshold is the middle between the mean
+    ratios of its two classes; if it lacks one of them, of the urls that were learned.
+    """
+    rows = labelled.filter("label in ('allow', 'block') and url is not null").select("label", "url")
+    held_out = F.pmod(F.xxhash64("url", F.lit(FOLDS)), F.lit(FOLDS)) == 0
+    learned = rows.filter(~held_out).select("label", F.col("url").alias("text"))
+    model = UrlFilter(ngrams.Models(learned, ORDER, False, "witten-bell", alphabet=128, names=["allow", "block"]))
+    for part in (rows.filter(held_out), rows.filter(~held_out)):
+        means = dict(model.ratios(part).groupBy("label").agg(F.avg("ratio")).collect())
+        if len(means) == 2:
+            model.threshold = (means["allow"] + means["block"]) / 2
+            break
     return model
 
 
@@ -99,5 +86,5 @@ def judge_urls(pages, id_col="page_id", url_col="url", rules=RULES, model=None):
     rows = rows.withColumns({"rule": rule, "label": verdict})
     model = model or train(rows.select("url", "label"))
     open_verdict = F.when(F.col("url").isNotNull() & (F.col("ratio") > model.threshold), "allow").otherwise("block")
-    return _scored(pages.sparkSession, rows, model).select(
+    return model.ratios(rows).select(
         "page_id", "host", "path", "rule", F.coalesce("label", open_verdict).alias("verdict"), "ratio")
