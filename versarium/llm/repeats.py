@@ -18,8 +18,9 @@ from versarium.llm.common import held, pick, staged
 WIDTH = 400  # bytes of the strings that are looked for
 SEED = 16  # bytes of an anchor
 STEP = 50  # bytes of the blocks that a window has to share before it is indexed
-SHARD = 1 << 21  # bytes that one index is built for, about
-HOT = 1000  # different pieces of an anchor up to which one task takes them all
+SHARD = 1 << 20  # bytes that one index is built for, about
+HOT = 500  # different pieces of an anchor up to which one task takes them all
+CELL = 32  # windows of the cells into which the pieces of other anchors are cut
 ROOM = 1 << 19  # bytes that are cut into pieces together
 _PLACE = np.uint64((1 << 22) - 1)
 _P = 0x9E3779B97F4A7C15
@@ -31,15 +32,18 @@ def _mixed(h):
     return h ^ (h >> np.uint64(31))
 
 
-def _tables():
-    """A hash per byte, and the powers of the base and of its inverse modulo 2^64."""
-    codes = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P))
-    sizes = (1 << 22) + 1
-    powers = [np.full(sizes, x, dtype=np.uint64) for x in (_P, pow(_P, -1, 1 << 64))]
+def _powers(size):
+    """The first powers of the base and of its inverse modulo 2^64."""
+    powers = [np.full(size, x, dtype=np.uint64) for x in (_P, pow(_P, -1, 1 << 64))]
     for p in powers:
         p[0] = 1
         np.cumprod(p, out=p)
-    return codes, *powers
+    return powers
+
+
+def _tables():
+    """A hash per byte, and powers for as many bytes as are mostly hashed together."""
+    return _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P)), *_powers((1 << 21) + 1)
 
 
 class Hashes:
@@ -47,6 +51,8 @@ class Hashes:
 
     def __init__(self, raw):
         codes, powers, self.inverse = held("repeats", _tables)
+        if len(raw) >= len(powers):
+            powers, self.inverse = _powers(len(raw) + 1)
         self.codes = codes[raw]
         self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(self.codes * powers[:len(raw)], out=self.sums[1:])
@@ -232,10 +238,32 @@ def repeated_windows(contents, anchors, places, width=WIDTH, step=STEP):
     return owner, first - base[owner], number
 
 
-def _window_hashes(content, width):
-    h = Hashes(np.frombuffer(content, dtype=np.uint8))
-    start = np.arange(len(content) - width + 1)
-    return h.of(start, start + width)
+def _cells(start, windows, place, cell=CELL):
+    """(piece, first window, windows, where its core starts, number) of pieces cut at multiples of `cell` before their anchor.
+
+    All windows that see their anchor at places cell * m up to cell * (m + 1) - 1 have the bytes
+    from cell * m before the anchor on in common: width - cell + 1 of them are the core of the cell.
+    """
+    high, low = place, place - windows + 1  # places of the anchor in the first and the last window
+    many = high // cell - low // cell + 1
+    piece = np.repeat(np.arange(len(start)), many)
+    m = high[piece] // cell - (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    first = place[piece] - np.minimum(high[piece], m * cell + cell - 1)
+    last = place[piece] - np.maximum(low[piece], m * cell)
+    return piece, start[piece] + first, last - first + 1, start[piece] + place[piece] - m * cell, m
+
+
+def _hot_cells(data, start, windows, place, anchor, hot, single, width):
+    """Columns of the cells of some pieces of one text; `core` and `whole` are hashes."""
+    start, windows, place = [x.astype(np.int64) for x in (start, windows, place)]
+    lengths = windows + width - 1
+    hashes = Hashes(np.frombuffer(b"".join(data[s:s + n] for s, n in zip(start.tolist(), lengths.tolist())), np.uint8))
+    shift = np.cumsum(lengths) - lengths - start  # from a place in the text to one in the joined bytes
+    piece, first, number, core, m = _cells(start, windows, place)
+    key = hashes.of(core + shift[piece], core + shift[piece] + width - CELL + 1) ^ _mixed(anchor[piece].view(np.uint64) + m.view(np.uint64))
+    whole = hashes.of(first + shift[piece], first + shift[piece] + number + width - 1)
+    return {"start": first, "windows": number, "place": place[piece], "anchor": anchor[piece], "hot": hot[piece], "single": single[piece],
+            "core": key.view(np.int64), "whole": whole.view(np.int64)}
 
 
 def _parts(texts, width):
@@ -259,7 +287,8 @@ def repeated_spans(documents, id_col="doc_id", text_col="text", width=WIDTH, hot
 
     Rows are told apart by id and text; those that agree in both repeat each other wholly. Null and
     short texts give no row. An anchor with more than `hot` different pieces is not taken by one task:
-    the hashes of its single windows are counted by Spark instead, which finds the same windows.
+    Spark counts the hashes of its cells, and of the windows of cells that are neither equal as a whole
+    nor apart in their core, which finds the same windows.
     """
     kind = documents.schema[id_col].dataType.simpleString()
     docs = pick(documents, doc_id=id_col, text=text_col).filter("text is not null").withColumn("text_hash", F.xxhash64("text"))
@@ -277,35 +306,47 @@ def repeated_spans(documents, id_col="doc_id", text_col="text", width=WIDTH, hot
                                     "anchor": anchor.view(np.int64), "whole": whole.view(np.int64)})
     row = f"doc_id {kind}, text_hash long, start long, windows int, place int"
     pieces = staged(docs.mapInPandas(cut, f"{row}, anchor long, whole long"), "pieces")
+    # most anchors occur once and are done with
+    shared = staged(pieces.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
+    pieces = staged(pieces.join(shared, "anchor"), "shared")
     one = F.min(F.struct("doc_id", "text_hash", "start", "windows", "place")).alias("one")
     classes = staged(pieces.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("copies"), one), "classes")
     several = classes.filter("copies > 1").select("anchor", "whole")
     same = pieces.join(several, ["anchor", "whole"]).select("doc_id", "text_hash", "start", "windows")
     anchors = staged(classes.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("kinds"), F.sum((F.col("copies") == 1).cast("long")).alias("single"))
-        .filter("kinds > 1 and single > 0").drop("single"), "anchors")
+        .filter("kinds > 1 and single > 0").drop("single"), "kinds")
     asked = classes.join(anchors, "anchor").select(
         "one.*", "anchor", (F.col("kinds") > hot).alias("hot"), (F.col("copies") == 1).alias("single"))
-    wanted = staged(asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(
-        "start", "windows", "place", "anchor", "hot", "single")).alias("p")), "wanted")
+    fields = ["start", "windows", "place", "anchor", "hot", "single"]
+    wanted = staged(asked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct(*fields)).alias("p")), "wanted")
     total = wanted.agg(F.sum(F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["windows"] + width))).first()[0] or 0
     # rows that repeat an id and a text are read once
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.text_hash == wanted.text_hash), "left_semi")
+    texts = docs.join(wanted.select("doc_id", "text_hash"), docs.doc_id.eqNullSafe(wanted.doc_id) & (docs.text_hash == wanted.text_hash), "left_semi")
     both = wanted.alias("w").join(texts.dropDuplicates(["doc_id", "text_hash"]).alias("d"),
                                   F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.text_hash") == F.col("d.text_hash")))
 
     def content(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                data = r.text.encode("utf-8", "surrogatepass")
-                found = pd.DataFrame({k: getattr(r, k) for k in ("start", "windows", "place", "anchor", "hot", "single")})
-                found["bytes"] = [data[s:s + n + width - 1] for s, n in zip(r.start.tolist(), r.windows.tolist())]
-                found.insert(0, "doc_id", r.doc_id)
-                found.insert(1, "text_hash", r.text_hash)
-                yield found
-    read = staged(both.select("w.doc_id", "w.text_hash", "d.text", *[f"w.p.{c}" for c in (
-        "start", "windows", "place", "anchor", "hot", "single")]).mapInPandas(
-        content, f"{row}, anchor long, hot boolean, single boolean, bytes binary"), "contents")
+            for some in np.array_split(batch, max(1, len(batch) // 100)):
+                out = {k: [] for k in ("row", *fields, "core", "whole", "bytes")}
+                for row, r in enumerate(some.itertuples(index=False)):
+                    data = r.text.encode("utf-8", "surrogatepass")
+                    cold = ~r.hot
+                    found = {k: getattr(r, k)[cold] for k in fields}
+                    found["core"] = found["whole"] = np.zeros(len(found["start"]), np.int64)
+                    at = np.flatnonzero(r.hot)
+                    for some_at in np.array_split(at, -(-len(at) // 1000) or 1):
+                        cut_up = _hot_cells(data, *[getattr(r, k)[some_at] for k in fields], width)
+                        found = {k: np.concatenate([found[k], cut_up[k]]) for k in found}
+                    for k, v in found.items():
+                        out[k] += v.tolist()
+                    out["row"] += [row] * len(found["start"])
+                    out["bytes"] += [data[s:s + n + width - 1] for s, n in zip(found["start"].tolist(), found["windows"].tolist())]
+                row = np.array(out.pop("row"), dtype=np.int64)
+                yield pd.DataFrame({k: some[k].to_numpy()[row] for k in ("doc_id", "text_hash")} | out)
+    read = staged(both.select("w.doc_id", "w.text_hash", "d.text", *[f"w.p.{c}" for c in fields]).mapInPandas(
+        content, f"{row}, anchor long, hot boolean, single boolean, core long, whole long, bytes binary"), "contents")
     shards = max(1, -(-total // shard))
 
     def index(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -316,19 +357,34 @@ def repeated_spans(documents, id_col="doc_id", text_col="text", width=WIDTH, hot
         found = rows.iloc[piece[kept]][["doc_id", "text_hash", "start"]].reset_index(drop=True)
         return found.assign(start=found["start"] + start[kept], windows=number[kept])
     out = f"doc_id {kind}, text_hash long, start long, windows int"
-    met = read.filter(~F.col("hot")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(index, out)
+    spot = ["doc_id", "text_hash", "start"]
+    met = read.filter(~F.col("hot")).select(*spot, "anchor", "place", "single", "bytes", F.pmod(
+        F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(index, out)
+    # hot anchors: equal cells repeat each other; where only the core of a cell is shared, its windows are compared
+    cells = read.filter("hot").select(*spot, "windows", "single", "core", "whole", "bytes")
+    kinds = staged(cells.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("copies")), "cells")
+    twin = cells.filter("single").join(kinds.filter("copies > 1").select("core", "whole"), ["core", "whole"]).select(*spot, "windows")
+    mixed = staged(kinds.groupBy("core").count().filter("count > 1").select("core"), "mixed")
+    some = cells.join(mixed, "core").dropDuplicates(["core", "whole"])
 
     def single_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                h = _window_hashes(r.bytes, width) ^ _mixed(np.array([r.anchor]).view(np.uint64))
-                yield pd.DataFrame({"doc_id": r.doc_id, "text_hash": r.text_hash, "start": r.start + np.arange(len(h)),
-                                    "single": r.single, "h": h.view(np.int64)})
-    lone = staged(read.filter("hot").select("doc_id", "text_hash", "start", "single", "anchor", "bytes").mapInPandas(
+            many = batch["windows"].to_numpy()
+            ends = np.cumsum([len(b) for b in batch["bytes"]])
+            if not len(ends):
+                continue
+            hashes = Hashes(np.frombuffer(b"".join(batch["bytes"]), np.uint8))
+            row = np.repeat(np.arange(len(batch)), many)
+            inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = np.concatenate([[0], ends[:-1]])[row] + inside
+            h = hashes.of(at, at + width) ^ _mixed(batch["core"].to_numpy()[row].view(np.uint64))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[row], "text_hash": batch["text_hash"].to_numpy()[row],
+                                "start": batch["start"].to_numpy()[row] + inside, "single": batch["single"].to_numpy()[row], "h": h.view(np.int64)})
+    lone = staged(some.select(*spot, "windows", "single", "core", "bytes").mapInPandas(
         single_windows, f"doc_id {kind}, text_hash long, start long, single boolean, h long"), "windows")
     twice = staged(lone.groupBy("h").count().filter("count > 1").select("h"), "twice")
-    counted = lone.filter("single").join(twice, "h").select("doc_id", "text_hash", "start", F.lit(1).alias("windows"))
-    return same.union(met).union(counted).distinct()
+    counted = lone.filter("single").join(twice, "h").select(*spot, F.lit(1).alias("windows"))
+    return same.union(met).union(twin).union(counted).distinct()
 
 
 def without_repeats(documents, id_col="doc_id", text_col="text", width=WIDTH, **options):
