@@ -187,24 +187,37 @@ def display_books(df, db_name, translation):
             .withColumn("book_display", F.coalesce("display_", F.col(db_name))).drop("display_", "tr_", "db_"))
 
 
+def _merged(refs, keys):
+    """The ranges of one key, book and chapter side by side in one row, without repeats."""
+    return refs.where(F.col("start").isNotNull()).groupBy(*keys, "display", "chapter").agg(
+        F.collect_set(F.struct("start", "end")).alias("ranges_"))
+
+
+def _numbers():
+    """The numbers from lo_ to hi_ in any of ranges_, each once; an open range reaches to hi_."""
+    def inside(r):
+        low, high = F.greatest(r["start"], F.col("lo_")), F.least(F.coalesce(r["end"], F.col("hi_")), F.col("hi_"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform("ranges_", inside)))
+
+
 def resolve_refs(refs, verses, keys):
     """Verses of each reference range, once per verse; ``verses`` has one row per
-    translation, book, chapter and verse. The equality on
-    translation, book and chapter carries the join; the verse range is a
-    filter on at most one chapter. No side is forced: a verse table is a few
-    MB and Catalyst broadcasts it by size, else AQE splits skewed chapters."""
-    named = map_books(refs, "display").select(*keys, "display", "translation", "db_name", "chapter", "start", "end")
-    r, v = named.alias("r"), verses.alias("v")
-    hit = ((F.col("r.translation") == F.col("v.translation")) & (F.col("r.db_name") == F.col("v.book"))
-           & (F.col("r.chapter") == F.col("v.chapter")) & (F.col("v.verse") >= F.col("r.start"))
-           & (F.col("r.end").isNull() | (F.col("v.verse") <= F.col("r.end"))))
-    joined = r.join(v, hit).select(*[F.col(f"r.{k}") for k in keys], F.col("r.display").alias("display"),
-                                   F.col("r.translation").alias("translation"),
-                                   F.col("r.chapter").alias("chapter"), F.col("v.verse").alias("verse"),
-                                   F.col("v.text").alias("text"))
-    # one row per verse of a reference, also where its ranges overlap; a distinct
-    # hashes, while dropDuplicates would sort to carry the text along
-    return joined.distinct()
+    translation, book, chapter and verse.
+
+    A chapter is one row with its verses as an array by number, so the join is an equality and a range
+    is read by place. Overlapping ranges of a key are merged as numbers in their row, before any text comes in."""
+    number = F.col("verse").cast("int")
+    chapters = verses.where(number.isNotNull()).groupBy("translation", "book", "chapter").agg(
+        F.min(number).alias("lo_"), F.max(number).alias("hi_"),
+        F.array_sort(F.collect_list(F.struct(number.alias("verse"), "text"))).alias("sorted_"))
+    by_number = F.transform(F.sequence("lo_", "hi_"), lambda n: F.get(F.filter("sorted_", lambda v: v["verse"] == n), F.lit(0)))
+    chapters = chapters.select("translation", F.col("book").alias("db_name"), "chapter", "lo_", "hi_", by_number.alias("verses_"))
+    named = map_books(_merged(refs, keys), "display").select(*keys, "display", "translation", "db_name", "chapter", "ranges_")
+    hits = named.join(chapters, ["translation", "db_name", "chapter"])
+    found = F.filter(F.transform(_numbers(), lambda n: F.get("verses_", n - F.col("lo_"))), lambda v: v.isNotNull())
+    return hits.select(*keys, "display", "translation", "chapter", F.explode(found).alias("v_")).select(
+        *keys, "display", "translation", "chapter", "v_.verse", "v_.text")
 
 
 def psalm_fallback(refs, verses, keys, min_verse=16):
@@ -220,7 +233,7 @@ def psalm_fallback(refs, verses, keys, min_verse=16):
     direct, allioli = F.col("shift_") == 0, F.col("translation") == "allioli"
     found = F.max(F.when(direct & allioli, 1)).over(W.partitionBy(*ids))
     kept = hits.where(direct | allioli).withColumn("found_", found).where(direct | F.col("found_").isNull())
-    return kept.withColumn("chapter", F.col("chapter") + F.col("shift_")).drop("shift_", "found_").distinct()
+    return kept.withColumn("chapter", F.col("chapter") + F.col("shift_")).drop("shift_", "found_")
 
 
 def parallel_translations(verses):
@@ -234,7 +247,12 @@ def citation_graph(citations, verses, work):
     """Cited verse -> number of citing works and citations. ``at`` tells the
     citations of one work apart. Counting per work first leaves one row per work and verse."""
     # a verse counts once, whichever translations have it
-    hits = resolve_refs(citations, verses, [work, "at"]).select(work, "at", "display", "chapter", "verse").distinct()
+    names = dims.book_names_df(verses.sparkSession).select("translation", F.col("db_name").alias("book"), "display")
+    number = F.col("verse").cast("int")
+    known = verses.select("translation", "book", "chapter", "verse").join(F.broadcast(names), ["translation", "book"]).groupBy(
+        "display", "chapter").agg(F.min(number).alias("lo_"), F.max(number).alias("hi_"), F.collect_set(number).alias("known_"))
+    hits = _merged(citations, [work, "at"]).join(known, ["display", "chapter"]).select(
+        work, "display", "chapter", F.explode(F.array_intersect(_numbers(), "known_")).alias("verse"))
     per_work = hits.groupBy("display", "chapter", "verse", work).agg(F.count(F.lit(1)).alias("n"))
     return per_work.groupBy("display", "chapter", "verse").agg(
         F.count(F.lit(1)).alias("n_works"), F.sum("n").alias("n_citations"))
