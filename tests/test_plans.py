@@ -5,7 +5,7 @@ from versarium.queries import catalog
 
 SF = "/root/testdata/sf0.001"
 # Jobs that run while they are built; their parts are checked by other queries.
-EAGER = {"latest_per_key_stream", "upsert_stream", "ingest_stream", "backlog_stream", "align_stream", "upsert_versions",
+EAGER = {"latest_per_key_stream", "upsert_stream", "ingest_stream", "backlog_stream", "align_stream", "upsert_versions", "cache_fill_stream", "variant_match_indexed",
          "write_partitioned", "knn_ivf", "knn_all"}
 
 

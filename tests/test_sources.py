@@ -241,7 +241,32 @@ def test_align_stream_keeps_the_pointer(spark, tmp_path):
     for batch in ([(1, 1, ["im", "anfank"], goal), (2, 1, ["nein"], goal)], [(1, 2, ["das", "wort"], goal)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
     jobs.align_stream(jobs.file_stream(spark, src, schema, files_per_batch=1), "k", "n", "said", "goal", out, str(tmp_path / "c"))
-    assert sorted(rows(S.read_latest(spark, out, ["k"]))) == [(1, 5), (2, 0)]
+    assert sorted(rows(jobs.pointers(spark, out, "k"))) == [(1, 5), (2, 0)]
+
+
+def test_late_chunks_find_their_place(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "t")
+    schema = "k int, n int, said array<string>, goal array<string>"
+    goal = ["im", "anfang", "war", "das", "wort", "und"]
+    for batch in ([(1, 2, ["das", "wort"], goal)], [(1, 1, ["im", "anfang", "war"], goal)], [(1, 3, ["und"], goal)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+    jobs.align_stream(jobs.file_stream(spark, src, schema, files_per_batch=1), "k", "n", "said", "goal", out, str(tmp_path / "c"))
+    assert rows(jobs.pointers(spark, out, "k")) == [(1, 6)]
+
+
+def test_cache_fill_computes_a_key_once(spark, tmp_path):
+    src, schema, asked = str(tmp_path / "src"), "k int, t timestamp", []
+    for batch in ("(1, timestamp'2026-01-01 00:00:00'), (2, timestamp'2026-01-01 00:00:01'), (1, timestamp'2026-01-01 00:00:02')",
+                  "(1, timestamp'2026-01-03 00:00:00'), (3, timestamp'2026-01-03 00:00:00')",
+                  "(2, timestamp'2026-01-09 00:00:00'), (4, timestamp'2026-01-09 00:00:00')"):
+        spark.sql(f"select * from values {batch} as x(k, t)").coalesce(1).write.mode("append").parquet(src)
+
+    def compute(misses):
+        asked.extend(r.k for r in misses.collect())
+        return misses.select("k", (F.col("k") * 10).alias("v"))
+    jobs.cache_fill(jobs.file_stream(spark, src, schema, files_per_batch=1), "k", compute, str(tmp_path / "t"), str(tmp_path / "c"))
+    assert sorted(rows(S.read_latest(spark, str(tmp_path / "t"), ["k"]))) == [(1, 10), (2, 20), (3, 30), (4, 40)]
+    assert sorted(asked) == [1, 2, 3, 4]
 
 
 def test_late_rows_lose_in_upserts(spark, tmp_path):

@@ -99,7 +99,23 @@ def align_stream(spark, sf_dir):
     spoken = F.filter(F.split(SPACES.sub(WORD_FORM[0].sub(heard)), " "), lambda w: w != "")
     chunks = stream.select("conv_id", "turn", spoken.alias("spoken")).join(goal, "conv_id")
     jobs.align_stream(chunks, "conv_id", "turn", "spoken", "expected", f"{path}/t", f"{path}/c")
-    return writers.read_latest(spark, f"{path}/t", ["conv_id"])
+    return jobs.pointers(spark, f"{path}/t", "conv_id")
+
+
+@query("cache_fill_stream", """SELECT user_id, sha256(user_id::VARCHAR) AS answer, 1::BIGINT AS times FROM (SELECT DISTINCT user_id FROM events)""")
+def cache_fill_stream(spark, sf_dir):
+    path = scratch(spark)
+    events = load(spark, sf_dir, "events").select("event_id", "user_id")
+    # the table as four files, one batch each
+    for part in range(4):
+        events.where(F.pmod("event_id", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+    def answer(misses):
+        return misses.select("user_id", F.sha2(F.col("user_id").cast("string"), 256).alias("answer"))
+    stream = jobs.file_stream(spark, f"{path}/in", events.schema, files_per_batch=1)
+    jobs.cache_fill(stream, "user_id", answer, f"{path}/t", f"{path}/c")
+    # all stored versions: a key that was computed again would show
+    return spark.read.parquet(f"{path}/t").groupBy("user_id", "answer").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query("sql_functions", f"""SELECT doc_id, {S.n_words('text')} AS n_words, {S.dup_key('text')} AS dup_key,

@@ -53,19 +53,33 @@ def backlog_stream(stream, done, key, text, path, checkpoint, encoder=hashed_enc
     run_available(todo.writeStream.foreachBatch(store).outputMode("append"), checkpoint)
 
 
-def align_stream(chunks, session, order, spoken, expected, path, checkpoint):
-    """STR5: pointer into the expected words per session. The stored pointers
-    are the state: a batch starts from those of the batches before it, moves
-    them over its own chunks in order and stores the new ones."""
+def cache_fill(stream, key, compute, path, checkpoint):
+    """STR6: every key is computed once and kept. Repeats within a batch are dropped; what is left is
+    looked up in the results of the batches before, which count as done, however long ago. No watermark
+    is set, as it would drop late rows and with them keys that were never computed. ``compute`` gives
+    the rows to store, one per key, for a frame of misses."""
     def store(batch, batch_id):
-        said = F.transform(F.sort_array(F.collect_list(F.struct(order, spoken))), lambda r: r[spoken])
-        words = batch.groupBy(session).agg(F.flatten(said).alias("said_"), F.first(expected).alias("expected_"))
+        misses = batch.dropDuplicates([key])
         if batch_id > 0:
-            known = read_latest(batch.sparkSession, path, [session], before=batch_id)
-            words = words.join(known, session, "left")
-        else:
-            words = words.withColumn("pointer", F.lit(None).cast("int"))
-        start = F.coalesce("pointer", F.lit(0))
-        moved = words.select(session, greedy_align(F.col("expected_"), F.col("said_"), start).alias("pointer"))
-        upsert(moved, path, [session], batch_id)
+            misses = misses.join(read_latest(batch.sparkSession, path, [key], before=batch_id).select(key), key, "left_anti")
+        upsert(compute(misses), path, [key], batch_id)
+    run_available(stream.writeStream.foreachBatch(store).outputMode("append"), checkpoint)
+
+
+def align_stream(chunks, session, order, spoken, expected, path, checkpoint):
+    """STR5: pointer into the expected words per session. A batch stores its chunks and folds all stored
+    chunks of the sessions it touches, in order, so late chunks find their place and a batch that
+    runs again gives the same pointers; there is no state besides the chunks."""
+    def store(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{path}/chunks/v={batch_id:010d}")
+        stored = batch.sparkSession.read.parquet(f"{path}/chunks").where(F.col("v").cast("bigint") <= batch_id)
+        touched = stored.join(batch.select(session).distinct(), session, "left_semi")
+        said = F.transform(F.array_sort(F.collect_list(F.struct(order, spoken))), lambda r: r[spoken])
+        words = touched.groupBy(session).agg(F.flatten(said).alias("said_"), F.first(expected).alias("expected_"))
+        moved = words.select(session, greedy_align(F.col("expected_"), F.col("said_"), F.lit(0)).alias("pointer"))
+        upsert(moved, f"{path}/pointers", [session], batch_id)
     run_available(chunks.writeStream.foreachBatch(store).outputMode("append"), checkpoint)
+
+
+def pointers(spark, path, session):
+    return read_latest(spark, f"{path}/pointers", [session])
