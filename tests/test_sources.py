@@ -263,7 +263,7 @@ def test_cache_fill_computes_a_key_once(spark, tmp_path):
 
     def compute(misses):
         asked.extend(r.k for r in misses.collect())
-        return misses.select("k", (F.col("k") * 10).alias("v"))
+        return misses.select("k", (F.col("k") * 10).alias("answer"))
     jobs.cache_fill(jobs.file_stream(spark, src, schema, files_per_batch=1), "k", compute, str(tmp_path / "t"), str(tmp_path / "c"))
     assert sorted(rows(S.read_latest(spark, str(tmp_path / "t"), ["k"]))) == [(1, 10), (2, 20), (3, 30), (4, 40)]
     assert sorted(asked) == [1, 2, 3, 4]
