@@ -305,8 +305,8 @@ def repeated_spans(documents, id_col="doc_id", text_col="text", width=WIDTH, hot
                                     "start": start + shift, "windows": windows, "place": place - start,
                                     "anchor": anchor.view(np.int64), "whole": whole.view(np.int64)})
     row = f"doc_id {kind}, text_hash long, start long, windows int, place int"
-    pieces = staged(docs.mapInPandas(cut, f"{row}, anchor long, whole long"), "pieces")
-    # most anchors occur once and are done with
+    # cut twice rather than written: most anchors occur once and are done with
+    pieces = docs.mapInPandas(cut, f"{row}, anchor long, whole long")
     shared = staged(pieces.groupBy("anchor").count().filter("count > 1").select("anchor"), "anchors")
     pieces = staged(pieces.join(shared, "anchor"), "shared")
     one = F.min(F.struct("doc_id", "text_hash", "start", "windows", "place")).alias("one")
