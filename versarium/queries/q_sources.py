@@ -96,18 +96,18 @@ def tolerant_line_parse(spark, sf_dir):
     return readers.tolerant_line_parse(spark, path)
 
 
-@query("json_categories", """SELECT lower(r_name) AS category, r_name AS category_name, n_nationkey::VARCHAR AS id, n_nationkey::VARCHAR AS slug,
-  n_name AS title, n_name || ' text' AS text FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query("json_categories", """SELECT lower(source) || '-' || doc_id // 20 AS category, source || '-' || doc_id // 20 AS category_name, doc_id::VARCHAR AS id,
+  doc_id::VARCHAR AS slug, 'Nr ' || doc_id AS title, text FROM documents""")
 def json_categories(spark, sf_dir):
-    nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
-    item = F.struct(F.col("n_nationkey").cast("string").alias("id"), F.struct(
-        F.col("n_name").alias("title"), F.concat("n_name", F.lit(" text")).alias("body")).alias("attributes"))
-    made = nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy("r_name").agg(F.collect_list(item).alias("data"))
-    one = F.struct(F.lit("7").alias("id"), F.struct(F.lower("r_name").alias("slug"), F.col("r_name").alias("name"),
+    docs = load(spark, sf_dir, "documents").withColumn("name", F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 20).cast("string")))
+    item = F.struct(F.col("doc_id").cast("string").alias("id"), F.struct(
+        F.concat(F.lit("Nr "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("body")).alias("attributes"))
+    made = docs.groupBy("name").agg(F.collect_list(item).alias("data"))  # at most 20 documents
+    one = F.struct(F.lit("7").alias("id"), F.struct(F.lower("name").alias("slug"), F.col("name").alias("name"),
                                                     F.struct("data").alias("prayers")).alias("attributes"))
-    flat = F.struct(F.lit("7").alias("id"), F.struct(F.lower("r_name").alias("slug"), F.col("r_name").alias("name")).alias("attributes"),
+    flat = F.struct(F.lit("7").alias("id"), F.struct(F.lower("name").alias("slug"), F.col("name").alias("name")).alias("attributes"),
                     F.col("data").alias("prayers"))
-    rows = made.select(F.when(F.length("r_name") % 2 == 0, F.to_json(F.array(one))).otherwise(
+    rows = made.select(F.when(F.length("name") % 2 == 0, F.to_json(F.array(one))).otherwise(
         F.to_json(F.struct(F.array(flat).alias("data")))).alias("json"))
     return readers.json_nested_flatten(rows).select("category", "category_name", "item.*")
 
@@ -124,15 +124,16 @@ def feed_items(spark, sf_dir):
     return readers.feed_items(spark, path).withColumn("categories", F.array_join("categories", "|"))
 
 
-@query("book_dim_scan", """SELECT n_name AS abbr, n_name AS short, n_name || ' long' AS long, 'o' || n_nationkey AS osis, 'x' AS type,
-  n_regionkey % 2 = 0 AS nt, n_nationkey::INTEGER AS chapters FROM nation""")
+@query("book_dim_scan", """SELECT p_name AS abbr, p_brand AS short, p_name || ' long' AS long, 'o' || p_partkey AS osis, 'x' AS type,
+  p_size % 2 = 0 AS nt, p_partkey::INTEGER AS chapters FROM part""")
 def book_dim_scan(spark, sf_dir):
     path = scratch(spark)
-    row = F.struct(F.col("n_name").alias("abbr"), F.col("n_name").alias("short"), F.concat("n_name", F.lit(" long")).alias("long"),
-                   F.concat(F.lit("o"), F.col("n_nationkey").cast("string")).alias("osis"), F.lit("x").alias("type"),
-                   (F.col("n_regionkey") % 2 == 0).alias("nt"), F.col("n_nationkey").alias("chapters"))
-    load(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(row)).alias("value")).select("value") \
-        .repartition(5).write.option("maxRecordsPerFile", 1).text(path)
+    row = F.struct(F.col("p_name").alias("abbr"), F.col("p_brand").alias("short"), F.concat("p_name", F.lit(" long")).alias("long"),
+                   F.concat(F.lit("o"), F.col("p_partkey").cast("string")).alias("osis"), F.lit("x").alias("type"),
+                   (F.col("p_size") % 2 == 0).alias("nt"), F.col("p_partkey").alias("chapters"))
+    # one array per file
+    load(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 500).alias("file")).agg(F.to_json(F.collect_list(row)).alias("value")) \
+        .select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.book_dim_scan(spark, path)
 
 
