@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from versarium.llm import bpe, decontam, language, lines, simhash
-from versarium.llm.common import staged
+from versarium.llm.common import small_batches, staged
 from versarium.session import load
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -11,18 +11,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark, docs, sf_dir):
     """Keep the documents in a language that the corpus itself teaches; unrecognised ones go."""
+    small_batches(spark)
     return language.accepted(docs, language.train(docs)).select(*COLUMNS)
 
 
 def line_dedup(spark, docs, sf_dir):
     """Cut the aligned blocks that earlier documents hold; a document cut to nothing goes."""
-    cut = lines.drop_repeated_lines(docs).filter("removed is null or trim(text) <> ''")
+    small_batches(spark)
+    cut = lines.drop_repeated_lines(docs.select(*COLUMNS)).filter("removed is null or trim(text) <> ''")
     return cut.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(
         F.length("text").cast("long"))).select(*COLUMNS)
 
 
 def near_dedup(spark, docs, sf_dir):
     """Keep the first document of each SimHash component."""
+    small_batches(spark)
     return simhash.one_of_each(docs).select(*COLUMNS)
 
 
@@ -33,6 +36,7 @@ def decontaminate(spark, docs, sf_dir):
 
 def encode(spark, docs, sf_dir):
     """Token ids of every document, with the digest of their decoded text."""
+    small_batches(spark)
     return bpe.encoded(docs, keep=["lang", "source"])
 
 
