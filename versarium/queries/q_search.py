@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from versarium import dims
 from versarium import patterns as P
+from versarium.functions import stems
 from versarium.operators import search as X
+from versarium.operators import terms as I
 from versarium.operators import vectors as V
 from versarium.queries import inputs
 from versarium.queries.q_refs import _CITING, _VERSES
@@ -86,6 +88,71 @@ def term_search(spark, sf_dir):
     return X.term_search(postings, "doc_id", "Tion the")
 
 
+def indexed(spark, sf_dir, stemmed=False):
+    path = f"{ensure_checkpoint_dir(spark)}/term-index-{uuid.uuid4().hex}"
+    I.write_term_index(load_text(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", path, stemmed=stemmed)
+    return spark.read.parquet(path)
+
+
+@query("term_search_top", f"""SELECT doc_id, count(*) AS hits FROM ({_TOKENS}) WHERE term IN ('the', 'tion') GROUP BY doc_id
+  HAVING count(DISTINCT term) = 2 ORDER BY hits DESC, doc_id LIMIT 20""")
+def term_search_top(spark, sf_dir):
+    return I.index_search(indexed(spark, sf_dir), "doc_id", "Tion the", 20)
+
+
+@query("term_index", f"""SELECT term, sum(docs)::BIGINT AS docs, sum(tfs)::BIGINT AS tfs, max(most)::INTEGER AS most, count(*) AS blocks FROM (
+  SELECT term, part, count(*) AS docs, sum(tf) AS tfs, max(tf) AS most FROM (SELECT term, doc_id // {I.SPAN} AS part, doc_id, count(*) AS tf
+    FROM ({_TOKENS}) GROUP BY ALL) GROUP BY ALL) GROUP BY term""")
+def term_index(spark, sf_dir):
+    return indexed(spark, sf_dir).groupBy("term").agg(
+        F.sum("docs").alias("docs"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tfs"),
+        F.max("most").alias("most"), F.count(F.lit(1)).alias("blocks"))
+
+
+def _stem_sql(words):
+    """The rules of `stems.german` step by step over the column w of a subquery."""
+    def region(pattern):
+        found = f"length(regexp_extract(w, '{pattern}', 0))"
+        return f"CASE WHEN length(w) < 3 OR {found} = 0 THEN length(w) ELSE {found} END"
+
+    def cut(ending, mark, unless="false"):
+        return f"CASE WHEN {ending} <> '' AND length(w) - length({ending}) >= {mark} AND NOT ({unless}) THEN left(w, length(w) - length({ending})) ELSE w END"
+    v = f"[{stems.VOWELS}]"
+    sql = f"SELECT term, replace(term, 'ß', 'ss') AS w FROM ({words})"
+    for letter in "uy":
+        sql = f"SELECT term, regexp_replace(w, '({v}){letter}({v})', '\\1{letter.upper()}\\2', 'g') AS w FROM ({sql})"
+    sql = f"""SELECT term, w, CASE WHEN length(w) < 3 THEN length(w) ELSE greatest(3, {region(stems.FIRST_REGION)}) END AS r1,
+      {region(stems.SECOND_REGION)} AS r2, regexp_extract(w, '(ern|em|er|en|es|e|s)$', 1) AS e FROM ({sql})"""
+    sql = f"""SELECT term, r1, r2, w AS old, e AS gone, {cut('e', 'r1', f"e = 's' AND NOT regexp_matches(w, '[{stems.BEFORE_S}]s$')")} AS w FROM ({sql})"""
+    sql = f"""SELECT term, r1, r2, CASE WHEN w <> old AND gone IN ('e', 'en', 'es') AND w LIKE '%niss' THEN left(w, length(w) - 1) ELSE w END AS w FROM ({sql})"""
+    sql = f"SELECT *, regexp_extract(w, '(est|en|er|st)$', 1) AS e FROM ({sql})"
+    sql = f"""SELECT term, r1, r2, {cut('e', 'r1', f"e = 'st' AND NOT regexp_matches(w, '.{{3}}[{stems.BEFORE_ST}]st$')")} AS w FROM ({sql})"""
+    sql = f"SELECT *, regexp_extract(w, '(lich|heit|keit|isch|end|ung|ig|ik)$', 1) AS e FROM ({sql})"
+    sql = f"""SELECT term, r1, r2, w AS old, e AS gone, {cut('e', 'r2', "regexp_matches(w, 'e(ig|ik|isch)$')")} AS w FROM ({sql})"""
+    sql = f"""SELECT term, r1, r2, w, gone, CASE WHEN w = old THEN '' WHEN gone IN ('end', 'ung') THEN regexp_extract(w, '(ig)$', 1)
+      WHEN gone IN ('lich', 'heit') THEN regexp_extract(w, '(er|en)$', 1) WHEN gone = 'keit' THEN regexp_extract(w, '(lich|ig)$', 1) ELSE '' END AS e FROM ({sql})"""
+    sql = f"""SELECT term, CASE WHEN gone IN ('lich', 'heit') THEN {cut('e', 'r1')} ELSE {cut('e', 'r2', "gone IN ('end', 'ung') AND w LIKE '%eig'")} END AS w FROM ({sql})"""
+    return f"SELECT term, translate(w, 'UYäöü', 'uyaou') AS stem FROM ({sql})"
+
+
+_STEMMED = f"SELECT doc_id, stem FROM ({_TOKENS}) JOIN ({_stem_sql(f'SELECT DISTINCT term FROM ({_TOKENS})')}) USING (term)"
+
+
+@query("term_stems", f"SELECT stem, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_STEMMED}) GROUP BY stem")
+def term_stems(spark, sf_dir):
+    words = load_text(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(I.search_tokens(F.col("text"))).alias("term"))
+    # few words make up most of a text: count them first, then work out the stem of each once
+    counted = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    per_word = counted.withColumn("stem", stems.german(F.col("term"))).groupBy("stem", "doc_id").agg(F.sum("n").alias("n"))
+    return per_word.groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+
+
+@query("term_search_stemmed", f"""SELECT doc_id, count(*) AS hits FROM ({_STEMMED}) WHERE stem IN ('der', 'nicht') GROUP BY doc_id
+  HAVING count(DISTINCT stem) = 2 ORDER BY hits DESC, doc_id LIMIT 20""")
+def term_search_stemmed(spark, sf_dir):
+    return I.index_search(indexed(spark, sf_dir, stemmed=True), "doc_id", "nichts der", 20, stemmed=True)
+
+
 @query("combined_search", """SELECT id, type, text, author, work, section, ord FROM (
   SELECT 'verse-' || (conv_id * 1000 + turn) AS id, 'verse' AS type, text, role AS author, role AS work, role AS section, turn AS ord,
     row_number() OVER (ORDER BY conv_id * 1000 + turn) AS rn FROM conversations WHERE contains(lower(text), 'ion') UNION ALL
