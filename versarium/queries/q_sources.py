@@ -7,7 +7,7 @@ from versarium.queries import sqlkit as S
 from versarium.queries.q_flows import scratch
 from versarium.queries.registry import projected, query
 from versarium.session import load
-from versarium.sources import readers, writers
+from versarium.sources import csvsplit, readers, writers
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -30,6 +30,16 @@ def csv_scan(spark, sf_dir):
     return readers.csv_scan(spark, written_csv(spark, sf_dir, scratch(spark)), DOCS)
 
 
+@query("csv_scan_split", "SELECT doc_id, text, lang, source, false AS rejected FROM documents UNION ALL SELECT NULL, text, lang, source, true FROM documents WHERE doc_id % 2 = 0")
+def csv_scan_split(spark, sf_dir):
+    path = scratch(spark)
+    written_csv(spark, sf_dir, f"{path}/good")
+    docs = load(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit("no. "), "doc_id").alias("doc_id"), "text", "lang", "source")
+    docs.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/bad")
+    rows = csvsplit.csv_scan_split(spark, f"{path}/*/*.csv", DOCS)
+    return rows.select("doc_id", "text", "lang", "source", F.col(csvsplit.BAD).isNotNull().alias("rejected"))
+
+
 @query("glob_scan", "SELECT doc_id, length(text)::INTEGER AS n, lang FROM documents")
 def glob_scan(spark, sf_dir):
     path = scratch(spark)
