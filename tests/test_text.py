@@ -179,6 +179,23 @@ def test_sql_functions_match_the_column_functions(spark):
     assert tuple(row) == tuple(want)
 
 
+def test_every_sql_function_equals_its_column_function(spark):
+    sqlreg.register(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    odd = ["", "a", "S. 12 Ein [3] <b>Text</b> — it's &lt;4&gt; &amp;amp; 'x' \\ \"q\"", "Kapitel 3\nKapitel 3\nÄÖÜ ß Œuvre é Ψ", "https://x.de/a/cpg1234.pdf",
+           "Buch IV. 12 $ŽT://ESyn0812/Nr. 4 (a) , ; .. ; S. 3", "{\\rtf1 Ein\\par zwei}", "GROSS " * 18, "Nr. 7 x", "12 34 56 78 " * 20, " \u00a0 rand \u00a0 "]
+    df = docs.union(spark.createDataFrame([(t,) for t in odd] + [(None,)], "text string")).cache()
+    column = {name: getattr(T, name, None) or getattr(C, name, None) or getattr(Q, name, None) for name in sqlreg.definitions()}
+    one = [n for n, (args, _, _) in sqlreg.definitions().items() if args == "t STRING" and column[n]]
+    assert len(one) >= 34
+    differs = {}
+    for name in one:
+        got = df.select("text", F.expr(f"{name}(text)").alias("a"), column[name](F.col("text")).alias("b")).where("NOT (a <=> b)").first()
+        if got:
+            differs[name] = got
+    assert not differs
+
+
 PATTERNS = [(name, rx) for name, value in vars(P).items() for rx in
             (value if isinstance(value, list) else value.values() if isinstance(value, dict) else [value]) if isinstance(rx, Rx)]
 

@@ -9,12 +9,15 @@ from versarium.operators import refs as R
 from versarium.operators import segment as G
 from versarium.functions import sqlreg
 from versarium.functions import text as T
+from versarium import patterns as P
 from versarium.patterns import SPACES, WORD_FORM
 from versarium.plans import corpus
 from versarium.queries import inputs, sqlkit as S
 from versarium.queries.q_refs import _CITING, _VERSES
+from versarium.queries.q_search import _NEAREST, centroids
 from versarium.queries.q_segment import _EXPECTED, _SPOKEN, _near
 from versarium.queries.registry import query
+from versarium.rx import sql_chain
 from versarium.session import ensure_checkpoint_dir, load, load_text
 from versarium.sources import writers
 from versarium.streaming import jobs
@@ -126,6 +129,32 @@ def sql_functions(spark, sf_dir):
     return spark.sql("SELECT doc_id, word_count(text) AS n_words, dup_key(text) AS dup_key, snippet(text, 40) AS head FROM documents_view")
 
 
+@query("sql_markup", f"""SELECT page_id, {S.collapse(S.entities(P.TAGS.sql_sub('html')))} AS clean,
+  coalesce(nullif({P.WORK_ID_CPG.sql_group('url', 0)}, ''), {P.LAST_PATH_PART.sql_group('url', 1)}) AS work_id FROM pages""")
+def sql_markup(spark, sf_dir):
+    sqlreg.register(spark)
+    load_text(spark, sf_dir, "pages").createOrReplaceTempView("pages_view")
+    return spark.sql("SELECT page_id, clean_markup(html) AS clean, url_work_id(url) AS work_id FROM pages_view")
+
+
+@query("sql_names", f"""SELECT doc_id, {sql_chain('strip_accents(' + S.umlauts('lower(text)') + ')', P.NON_SLUG)} AS slug,
+  {sql_chain('strip_accents(lower(text))', P.WORD_FORM)} AS word, {P.NON_ID.sql_sub('source')} || '_' ||
+    substring({P.NON_ID.sql_sub('text')}, 1, 30) || '_' || n_chars AS id FROM documents""")
+def sql_names(spark, sf_dir):
+    sqlreg.register(spark)
+    load_text(spark, sf_dir, "documents").createOrReplaceTempView("documents_view")
+    return spark.sql("SELECT doc_id, slugify(text) AS slug, normalize_word(text) AS word, make_id(source, text, n_chars) AS id FROM documents_view")
+
+
+@query("sql_match_passages", f"SELECT vec_id, similarity, rank FROM ({_NEAREST}) WHERE query_id = (SELECT min(label) FROM embeddings)")
+def sql_match_passages(spark, sf_dir):
+    load(spark, sf_dir, "embeddings").createOrReplaceTempView("embeddings_view")
+    centroids(spark, sf_dir).createOrReplaceTempView("centroids_view")
+    sqlreg.register_matches(spark, "embeddings_view")
+    return spark.sql("""SELECT vec_id, round(similarity, 6) AS similarity, rank
+      FROM match_passages((SELECT min_by(embedding, query_id) FROM centroids_view), 12, 0.2D)""")
+
+
 @query("corpus_build")
 def corpus_build(spark, sf_dir):
     return corpus.corpus_build(load_text(spark, sf_dir, "pages"))
