@@ -194,6 +194,11 @@ def test_every_sql_function_equals_its_column_function(spark):
         if got:
             differs[name] = got
     assert not differs
+    row = spark.sql("""SELECT make_id('A. B', 'Über: das Werk', '3') AS a, format_ref('Joh', 3, 16) AS b, vector_literal(array(0.5D, -1D)) AS c,
+      snippet('abcdef', 4) AS d, name_similarity('abcd', 'abce') AS e, search_tokens('Der Weg') AS f""")
+    want = spark.range(1).select(T.make_id(F.lit("A. B"), F.lit("Über: das Werk"), F.lit("3")), T.format_ref(F.lit("Joh"), F.lit(3), F.lit(16)),
+                                 T.vector_literal(F.array(F.lit(0.5), F.lit(-1.0))), T.snippet(F.lit("abcdef"), 4), F.lit(0.75), F.array(F.lit("der"), F.lit("weg")))
+    assert tuple(row.first()) == tuple(want.first())
 
 
 PATTERNS = [(name, rx) for name, value in vars(P).items() for rx in

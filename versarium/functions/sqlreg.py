@@ -138,18 +138,19 @@ def register(spark):
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
 
 
-def register_matches(spark, vectors, name="match_passages", key="vec_id", vector="embedding"):
-    """The nearest rows of a view as an SQL table function: `name(query, k, min_similarity)`.
+def register_matches(spark, vectors, k=12, name="match_passages", key="vec_id", vector="embedding"):
+    """The nearest `k` rows of a view as an SQL table function: `name(query, min_similarity)`.
 
     Rows with enough cosine similarity, nearest first, as `vectors.match_passages` gives them for one
-    query. One scan with a top k; for many queries use the operator.
+    query. One scan whose tasks keep `k` rows each; for many queries use the operator.
     """
     def dot(a, b):
         return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)"
     far = f"sqrt(aggregate(zip_with({vector}, query, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x))"
     similar = f"{dot(vector, 'query')} / sqrt({dot(vector, vector)}) / sqrt({dot('query', 'query')})"
     kind = spark.table(vectors).schema[key].dataType.simpleString()
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, k INT, min_similarity DOUBLE)
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, min_similarity DOUBLE)
       RETURNS TABLE({key} {kind}, similarity DOUBLE, rank INT)
-      RETURN SELECT {key}, similarity, rank FROM (SELECT {key}, similarity, row_number() OVER (ORDER BY distance, {key}) AS rank
-        FROM (SELECT {key}, {similar} AS similarity, {far} AS distance FROM {vectors}) WHERE similarity >= min_similarity) WHERE rank <= k""")
+      RETURN SELECT hit.{key}, hit.similarity, pos + 1 AS rank FROM (SELECT posexplode(array_sort(collect_list(
+        struct(distance, {key}, similarity)))) AS (pos, hit) FROM (SELECT * FROM (SELECT {key}, {similar} AS similarity, {far} AS distance
+        FROM {vectors}) WHERE similarity >= min_similarity ORDER BY distance, {key} LIMIT {int(k)}))""")

@@ -152,7 +152,7 @@ def sql_match_passages(spark, sf_dir):
     centroids(spark, sf_dir).createOrReplaceTempView("centroids_view")
     sqlreg.register_matches(spark, "embeddings_view")
     return spark.sql("""SELECT vec_id, round(similarity, 6) AS similarity, rank
-      FROM match_passages((SELECT min_by(embedding, query_id) FROM centroids_view), 12, 0.2D)""")
+      FROM match_passages((SELECT min_by(embedding, query_id) FROM centroids_view), 0.2D)""")
 
 
 @query("corpus_build")
