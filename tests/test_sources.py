@@ -1,6 +1,7 @@
 """Readers, page parsing, sinks and streams on hand-made fixtures."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,3 +279,31 @@ def test_late_rows_lose_in_upserts(spark, tmp_path):
     jobs.upsert_stream(stream, str(tmp_path / "t"), ["k"], str(tmp_path / "c"), F.desc("o"))
     got = S.read_latest(spark, str(tmp_path / "t"), ["k"], order=[F.desc("o")]).collect()
     assert {(r.k, r.o, r.s) for r in got} == {(1, 3, "new"), (2, 5, "newer"), (3, 1, "own")}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_table_stream_reads_files_and_folders(spark, tmp_path, files):
+    rows_in = [(i, i % 4, f"text {i}") for i in range(20)]
+    table = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(rows_in, "k int, o int, s string").repartition(files).write.parquet(table)
+    if files == 1:  # the table is the file itself
+        table = next((tmp_path / "docs.parquet").glob("part-*.parquet")).rename(tmp_path / "one.parquet")
+    name = Path(table).stem
+    stream = jobs.table_stream(spark, str(tmp_path), name, "k int, o int, s string")
+    jobs.upsert_stream(stream, str(tmp_path / "t"), ["o"], str(tmp_path / "c"), F.desc("k"))
+    stored = S.read_latest(spark, str(tmp_path / "t"), ["o"], order=[F.desc("k")])
+    assert sorted((r.o, r.k) for r in stored.collect()) == [(0, 16), (1, 17), (2, 18), (3, 19)]
+
+
+@pytest.mark.parametrize("name", ["align_stream", "backlog_stream"])
+def test_stream_queries_read_tables_of_several_files(spark, tmp_path, name):
+    from versarium.queries import catalog
+    tables = {"documents": ([(i, f"text {i}", "de", "s", 6) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long"),
+              "labels": ([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"),
+              "conversations": ([(c, t, "user", f"am anfang war {c} wort") for c in range(4) for t in range(3)],
+                                "conv_id long, turn int, role string, text string")}
+    for table, (values, schema) in tables.items():
+        spark.createDataFrame(values, schema).repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    found = catalog.QUERIES[name](spark, str(tmp_path))
+    keys = {"align_stream": list(range(4)), "backlog_stream": [0, 3, 4, 5, 6, 7, 8]}
+    assert sorted(r[0] for r in found.collect()) == keys[name]

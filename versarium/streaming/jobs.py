@@ -13,6 +13,12 @@ def file_stream(spark, folder, schema, pattern="*.parquet", files_per_batch=100)
             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
 
+def table_stream(spark, folder, table, schema, files_per_batch=100):
+    """A table as a stream, be it one Parquet file or a folder of part files. The name is given as a
+    pattern, as a stream takes a plain path for a folder."""
+    return file_stream(spark, f"{folder}/{table}.[p]arquet", schema, "*", files_per_batch)
+
+
 def run_available(writer, checkpoint):
     """Take everything that is there now, then stop."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
