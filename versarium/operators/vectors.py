@@ -18,22 +18,63 @@ def _matrix(values, dims):
     return np.asarray([v for v in values], dtype=np.float64).reshape(-1, dims)
 
 
+BLOCKS = 48  # of queries, where each has 50,000 at most
+# Rows and queries of one matrix product, and pairs whose differences are held at once.
+TILE_ROWS, TILE_QUERIES, TILE_PAIRS = 4096, 512, 1 << 16
+
+
+def _exact(vectors, queries, rows, asked):
+    """Cosine and distance of pairs of places, the same for equal vectors wherever they stand."""
+    cosine, l2 = np.empty(len(rows)), np.empty(len(rows))
+    for i in range(0, len(rows), TILE_PAIRS):
+        v, q = vectors[rows[i:i + TILE_PAIRS]], queries[asked[i:i + TILE_PAIRS]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine[i:i + TILE_PAIRS] = (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * np.sqrt((q * q).sum(axis=1)))
+        l2[i:i + TILE_PAIRS] = np.sqrt(((v - q) ** 2).sum(axis=1))
+    return cosine, l2
+
+
 def _batch_hits(ids, vectors, query_ids, queries, k, min_similarity, order_by="l2"):
-    """Per query the best k rows of one block, by distance (or similarity), then id."""
-    norms = np.linalg.norm(vectors, axis=1)
-    q_norms = np.linalg.norm(queries, axis=1)
-    dots = vectors @ queries.T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cosine = dots / np.outer(norms, q_norms)
-    l2 = np.sqrt(np.maximum(norms[:, None] ** 2 + q_norms[None, :] ** 2 - 2 * dots, 0))
-    for j, query_id in enumerate(query_ids):
-        fits = np.flatnonzero(cosine[:, j] >= min_similarity)
-        if len(fits) == 0:
-            continue
-        best = l2[fits, j] if order_by == "l2" else -cosine[fits, j]
-        order = fits[np.lexsort((ids[fits], best))][:k]
-        for i in order:
-            yield query_id, ids[i], float(cosine[i, j]), float(l2[i, j])
+    """Per query the best k rows of one block, by distance (or similarity), then id.
+
+    The product is made tile by tile, and of a tile only the pairs that may be among the best k so far
+    are kept, so that memory depends on the sizes of the tiles and not on those of the block.
+    """
+    for start in range(0, len(queries), TILE_QUERIES):
+        some = queries[start:start + TILE_QUERIES]
+        q_squares = (some ** 2).sum(axis=1)
+        kth, kept = np.full(len(some), np.inf), None  # kth: squared distance, or similarity with a minus
+        for at in range(0, len(vectors), TILE_ROWS):
+            part = vectors[at:at + TILE_ROWS]
+            squares = (part ** 2).sum(axis=1)
+            dots = part @ some.T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cosine = dots / np.outer(np.sqrt(squares), np.sqrt(q_squares))
+            if order_by == "l2":
+                value = squares[:, None] + q_squares[None, :] - 2 * dots
+                slack = 1e-11 * (np.nanmax(squares, initial=0) + q_squares)
+            else:
+                value, slack = -cosine, np.full(len(some), 1e-11)
+            if len(part) >= k and np.isinf(kth).any():
+                sure = np.where(cosine >= min_similarity + 1e-11, value, np.inf)
+                kth = np.minimum(kth, np.partition(sure, k - 1, axis=0)[k - 1])
+            asked, rows = np.nonzero(((cosine >= min_similarity - 1e-11) & (value <= kth + slack)).T)
+            if len(rows) == 0:
+                continue
+            found = (asked, rows + at, *_exact(part, some, rows, asked))
+            found = [x[found[2] >= min_similarity] for x in found]
+            if kept is not None:
+                found = [np.concatenate(x) for x in zip(kept, found)]
+            best = found[3] if order_by == "l2" else -found[2]
+            order = np.lexsort((ids[found[1]], best, found[0]))
+            asked, best = found[0][order], best[order]
+            rank = np.arange(len(asked)) - np.searchsorted(asked, asked)
+            kept = [x[order[rank < k]] for x in found]
+            last = rank == k - 1
+            kth[asked[last]] = np.minimum(kth[asked[last]], best[last] ** 2 if order_by == "l2" else best[last])
+        if kept is not None:
+            for j, i, similarity, distance in zip(*kept):
+                yield query_ids[start + j], ids[i], float(similarity), float(distance)
 
 
 def match_passages(vectors, queries, k=12, min_similarity=0.20, key="vec_id", vector="embedding",
@@ -47,12 +88,14 @@ def match_passages(vectors, queries, k=12, min_similarity=0.20, key="vec_id", ve
 
 
 def match_all(vectors, queries, k=12, min_similarity=0.20, key="vec_id", vector="embedding", query_key="query_id",
-              vector_bucket=50_000, query_bucket=2_000, order_by="l2"):
-    """Both sides are cut into buckets by key hash and each pair of buckets is one
-    bounded matrix product with at most k rows per query; the final ranking sees
-    only those. Neither side passes through the driver, at any size."""
+              vector_bucket=50_000, query_bucket=None, order_by="l2"):
+    """Both sides are cut into buckets by key hash and each pair of buckets gives at most k
+    rows per query, by matrix products over tiles; the final ranking sees only those. Neither
+    side passes through the driver, at any size. Each side is shuffled once per bucket of the other, so
+    the buckets of many queries grow from 2,000 to 50,000 before there are more than `BLOCKS` of them."""
     n_v = max(1, -(-vectors.count() // vector_bucket))
-    n_q = max(1, -(-queries.count() // query_bucket))
+    count = queries.count()
+    n_q = max(1, -(-count // (query_bucket or min(max(2_000, -(-count // BLOCKS)), 50_000))))
     left = (vectors.select(key, vector).withColumn("vb", F.pmod(F.xxhash64(key), F.lit(n_v)))
             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))))
     right = (queries.select(query_key, F.col(vector).alias("q_")).withColumn("qb", F.pmod(F.xxhash64(query_key), F.lit(n_q)).cast("int"))
