@@ -57,3 +57,28 @@ def test_stemmed_index_and_empty_table(spark, tmp_path):
     assert [tuple(r) for r in found.collect()] == [(1, 1), (2, 1)]
     I.write_term_index(df.where("k > 9"), "k", "t", str(tmp_path / "b"))
     assert I.index_search(spark.read.schema(spark.read.parquet(str(tmp_path / "a")).schema).parquet(str(tmp_path / "b")), "k", "x", 3).count() == 0
+
+
+def test_words_of_one_stem_add_up_over_tasks(spark, tmp_path):
+    rows = [(i, "Katze Katzen katze Haus") for i in range(40)] + [(3, "Katzen"), (100, "Hauses")]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    I.write_term_index(df, "k", "t", str(tmp_path), stemmed=True)
+    got = {r.term: (r.docs, r.most, sum(r.tfs), r.places == sorted(set(r.places))) for r in spark.read.parquet(str(tmp_path)).collect()}
+    assert got == {"katz": (40, 4, 121, True), "haus": (41, 1, 41, True)}
+
+
+def test_batches_are_worked_off_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    from versarium.operators import html as H
+    from versarium.session import in_slices
+    batch = pa.RecordBatch.from_pydict({"key_": pa.array(range(50), pa.int64()), "words_": [["a", "b"]] * 49 + [None]})
+    monkeypatch.setattr(I, "WORDS", 10)
+    out = list(I._counted(4096)(iter([batch])))
+    assert len(out) == 10 and max(len(b.column("places").flatten()) for b in out) == 10
+    assert sum(len(b.column("places").flatten()) for b in out) == 98
+    pages = pa.RecordBatch.from_pydict({"html": ["<p>x</p>", None, "y" * 90, ""] * 3})
+    parts = list(in_slices(pages, pa.compute.binary_length(pages.column("html")), 100))
+    assert [v for p in parts for v in p.column("html").to_pylist()] == pages.column("html").to_pylist() and len(parts) == 3
+    assert list(in_slices(pages.slice(0, 0), pa.compute.binary_length(pages.slice(0, 0).column("html")), 100)) == []
+    assert H.PAGE_BYTES == 1 << 20

@@ -141,9 +141,9 @@ _STEMMED = f"SELECT doc_id, stem FROM ({_TOKENS}) JOIN ({_stem_sql(f'SELECT DIST
 @query("term_stems", f"SELECT stem, count(*) AS n, count(DISTINCT doc_id) AS docs FROM ({_STEMMED}) GROUP BY stem")
 def term_stems(spark, sf_dir):
     words = load_text(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(I.search_tokens(F.col("text"))).alias("term"))
-    # few words make up most of a text: count them first, then work out the stem of each once
+    # few words make up most of a text: count them first; the stem of each word is worked out once
     counted = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    per_word = counted.withColumn("stem", stems.german(F.col("term"))).groupBy("stem", "doc_id").agg(F.sum("n").alias("n"))
+    per_word = counted.join(I.stem_table(words), "term").groupBy("stem", "doc_id").agg(F.sum("n").alias("n"))
     return per_word.groupBy("stem").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
