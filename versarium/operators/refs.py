@@ -9,6 +9,7 @@ from versarium import dims
 from versarium.functions import classify as C
 from versarium.functions import text as T
 from versarium.operators.ordered import first_per_key
+from versarium.session import staged
 
 
 def _token_pattern():
@@ -201,39 +202,62 @@ def _numbers():
     return F.array_distinct(F.flatten(F.transform("ranges_", inside)))
 
 
-def resolve_refs(refs, verses, keys):
-    """Verses of each reference range, once per verse; ``verses`` has one row per
-    translation, book, chapter and verse.
+def _chapters(verses):
+    """One row per display name and chapter: its translations, each with its verses as an array by number.
 
-    A chapter is one row with its verses as an array by number, so the join is an equality and a range
-    is read by place. Overlapping ranges of a key are merged as numbers in their row, before any text comes in."""
+    Written once, so that Spark knows its size: a small table is sent to the references, which then stay where they are.
+    """
     number = F.col("verse").cast("int")
     chapters = verses.where(number.isNotNull()).groupBy("translation", "book", "chapter").agg(
         F.min(number).alias("lo_"), F.max(number).alias("hi_"),
         F.array_sort(F.collect_list(F.struct(number.alias("verse"), "text"))).alias("sorted_"))
     by_number = F.transform(F.sequence("lo_", "hi_"), lambda n: F.get(F.filter("sorted_", lambda v: v["verse"] == n), F.lit(0)))
-    chapters = chapters.select("translation", F.col("book").alias("db_name"), "chapter", "lo_", "hi_", by_number.alias("verses_"))
-    named = map_books(_merged(refs, keys), "display").select(*keys, "display", "translation", "db_name", "chapter", "ranges_")
-    hits = named.join(chapters, ["translation", "db_name", "chapter"])
+    names = dims.book_names_df(verses.sparkSession).select("translation", F.col("db_name").alias("book"), "display")
+    named = chapters.join(F.broadcast(names), ["translation", "book"])
+    return staged(named.groupBy("display", "chapter").agg(
+        F.collect_list(F.struct("translation", "lo_", "hi_", by_number.alias("verses_"))).alias("books_")), "chapters")
+
+
+def _resolved(refs, chapters, keys):
+    hits = _merged(refs, keys).join(chapters, ["display", "chapter"]).select(
+        *keys, "display", "chapter", "ranges_", F.inline("books_"))
     found = F.filter(F.transform(_numbers(), lambda n: F.get("verses_", n - F.col("lo_"))), lambda v: v.isNotNull())
     return hits.select(*keys, "display", "translation", "chapter", F.explode(found).alias("v_")).select(
         *keys, "display", "translation", "chapter", "v_.verse", "v_.text")
 
 
-def psalm_fallback(refs, verses, keys, min_verse=16):
+def resolve_refs(refs, verses, keys):
+    """Verses of each reference range, once per verse; ``verses`` has one row per
+    translation, book, chapter and verse.
+
+    A chapter is one row with its verses as an array by number, so the join is an equality and a range
+    is read by place. Overlapping ranges of a key are merged as numbers in their row, before any text comes in."""
+    return _resolved(refs, _chapters(verses), keys)
+
+
+def psalm_fallback(refs, verses, keys, min_verse=16, by_item=True):
     """References that find nothing in the old psalm numbering are looked up in
-    the psalm before, from verse 16 on."""
+    the psalm before, from verse 16 on.
+
+    Whether a reference finds something is told by verse numbers, before any text comes in. A verse
+    comes once per part and item of a key, or with ``by_item=False`` once per key: what is found in the psalm
+    before has no number that a reference of the key finds in the psalm itself."""
     ids = [*keys, "part", "item"]
+    chapters = _chapters(verses)
     old = ((F.col("display") == "Psalmen")
            & ((F.col("start") >= min_verse) | (F.col("end") >= min_verse)))
-    # both chapters are asked for at once; the psalm before counts only where its own has nothing
-    shifts = F.when(old, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    asked = refs.withColumn("shift_", F.explode(shifts)).withColumn("chapter", F.col("chapter") - F.col("shift_"))
-    hits = resolve_refs(asked, verses, [*ids, "shift_"])
-    direct, allioli = F.col("shift_") == 0, F.col("translation") == "allioli"
-    found = F.max(F.when(direct & allioli, 1)).over(W.partitionBy(*ids))
-    kept = hits.where(direct | allioli).withColumn("found_", found).where(direct | F.col("found_").isNull())
-    return kept.withColumn("chapter", F.col("chapter") + F.col("shift_")).drop("shift_", "found_")
+    def holds(book):
+        inside = F.exists(book["verses_"], lambda v: v.isNotNull() & (v["verse"] >= F.col("start"))
+                          & (v["verse"] <= F.coalesce("end", v["verse"])))
+        return (book["translation"] == "allioli") & inside
+    direct = F.when(F.exists("books_", holds), 1)
+    known = refs.join(chapters, ["display", "chapter"], "left").select(*[F.col(c) for c in refs.columns], direct.alias("direct_"))
+    known = known.withColumn("found_", F.max("direct_").over(W.partitionBy(*ids)))
+    shifts = F.when(old & F.col("found_").isNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    asked = known.withColumn("shift_", F.explode(shifts)).withColumn("chapter", F.col("chapter") - F.col("shift_"))
+    hits = _resolved(asked, chapters, [*(ids if by_item else keys), "shift_"])
+    kept = hits.where((F.col("shift_") == 0) | (F.col("translation") == "allioli"))
+    return kept.withColumn("chapter", F.col("chapter") + F.col("shift_")).drop("shift_")
 
 
 def parallel_translations(verses):
