@@ -173,11 +173,14 @@ def smart_search(queries, key, query, verses, translation="schoeningh", limit=10
     verses or its chapter; any query gives the books it names; other queries
     give the first ``limit`` verses that contain them."""
     asked = queries.select(key, F.col(query).alias("q")).where(F.length("q") >= 2)
-    parsed = asked.withColumn("r", R.parse_query_ref(F.col("q")))
-    one = verses.where(F.col("translation") == translation)
+    # queries and verses are worked out once for all branches
+    parsed = staged(asked.withColumn("r", R.parse_query_ref(F.col("q"))), "parsed")
+    asked = parsed.drop("r")
+    one = staged(verses.where(F.col("translation") == translation), "verses")
     refs = parsed.where(F.col("r").isNotNull()).select(key, "r", F.col("r.book").alias("named"))
     # many queries name the same book: look each name up once
     looked_up = refs.select("named").distinct().select("named", F.explode(J.book_lookup(F.col("named"))).alias("display"))
+    looked_up = staged(looked_up, "books")
     rows = refs.join(looked_up, "named")
     chapters = rows.where(F.col("r.start").isNull()).select(
         key, F.lit("chapter").alias("type"), F.concat("display", F.lit(" "), F.col("r.chapter").cast("string")).alias("title"),
@@ -198,7 +201,7 @@ def smart_search(queries, key, query, verses, translation="schoeningh", limit=10
     texts = one.select(F.lower("text").alias("low_")).distinct().withColumn("low_key_", F.col("low_"))
     found = substring_join(texts, "low_key_", "low_", free.select("needle").distinct(), "needle")
     hits = one.withColumn("low_key_", F.lower("text")).join(found, "low_key_")
-    first = top_per_key(hits, ["needle"], limit, "book", "chapter", "verse").join(free, "needle")
+    first = staged(top_per_key(hits, ["needle"], limit, "book", "chapter", "verse"), "first").join(free, "needle")
     first = R.display_books(first, "book", "translation").withColumn("display", F.col("book_display"))
     return chapters.unionByName(verse_hits).unionByName(books).unionByName(shown(first))
 
