@@ -1,5 +1,6 @@
 """Substring, term and combined search (FLT7-8, JN10, TXS1-TXS3, DUP2)."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -16,6 +17,9 @@ from versarium.session import staged
 # Patterns of one automaton, and their characters.
 PATTERN_BLOCK = 50_000
 PATTERN_CHARS = 8_000_000
+# Pairs of gram and key that a task sorts at once, and the base of the hash of a gram.
+POSTING_PAIRS = 1_000_000
+GRAM_BASE = 0x9E3779B97F4A7C15
 
 
 def ilike_search(df, text, term, order, limit=10):
@@ -78,17 +82,71 @@ def _contained(words, key, pattern):
     return match
 
 
-def gram_index(df, key, text, path, q=3):
+def _gram_ids(text, q):
+    """The distinct substrings of q characters of a text as 64-bit hashes."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    if len(codes) < q:
+        return np.zeros(0, np.int64)
+    ids = np.zeros(len(codes) - q + 1, np.uint64)
+    for i in range(q):
+        ids = ids * np.uint64(GRAM_BASE) + codes[i:i + len(ids)]
+    return np.unique(ids.view(np.int64))
+
+
+def _posting_lists(q, limit):
+    """Batches of (key_, text_) to (gram_, n_, keys_), in order of gram for each part of about ``limit`` pairs."""
+    def lists(keys, grams):
+        counts = [len(g) for g in grams]
+        ids = np.concatenate(grams)
+        order = np.argsort(ids, kind="stable")
+        starts = np.flatnonzero(np.diff(ids[order], prepend=0) != 0) if len(ids) else np.zeros(0, np.int64)
+        if len(ids) and (not len(starts) or starts[0] != 0):
+            starts = np.append(0, starts)
+        held = pa.concat_arrays(keys).take(pa.array(np.repeat(np.arange(len(grams)), counts)[order]))
+        edges = np.append(starts, len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[order][starts]), pa.array(np.diff(edges)), pa.ListArray.from_arrays(
+            pa.array(edges.astype(np.int32)), held)], names=["gram_", "n_", "keys_"])
+
+    def post(batches):
+        keys, grams, pairs = [], [], 0
+        for batch in batches:
+            for n, text in enumerate(batch.column("text_")):
+                ids = _gram_ids(text.as_py(), q)
+                keys.append(batch.column("key_").slice(n, 1))
+                grams.append(ids)
+                pairs += len(ids)
+                if pairs >= limit:
+                    yield lists(keys, grams)
+                    keys, grams, pairs = [], [], 0
+        if pairs:
+            yield lists(keys, grams)
+    return post
+
+
+def gram_index(df, key, text, path, q=3, pairs=POSTING_PAIRS):
     """Posting lists of the q-character substrings of the texts, for many searches over one corpus.
 
-    Written to ``path``: (gram, key) in order of gram, so that a look-up reads the files and row groups
-    of its grams only, and the number of keys of each gram. A key may have several texts.
+    Written to ``path``: (gram, number, keys), one list per gram and part of the texts, made and sorted by the
+    task that reads them, so that no pair of gram and key is shuffled; and the number of keys of each gram. A
+    gram is a 64-bit hash: two that meet cost a search in more texts. A key may have several texts.
     """
-    pairs = df.select(F.col(key).alias("key_"), F.explode(qgrams(F.col(text), q)).alias("gram_")).distinct()
-    # a gram of very many keys fills several ranges
-    pairs.repartitionByRange("gram_", "key_").sortWithinPartitions("gram_", "key_").write.mode("overwrite").parquet(f"{path}/postings")
+    texts = df.select(F.col(key).alias("key_"), F.col(text).alias("text_")).where("key_ IS NOT NULL AND text_ IS NOT NULL")
+    kind = df.schema[key].dataType.simpleString()
+    lists = texts.mapInArrow(_posting_lists(q, pairs), f"gram_ long, n_ long, keys_ array<{kind}>")
+    lists.write.mode("overwrite").parquet(f"{path}/postings")
     postings = df.sparkSession.read.parquet(f"{path}/postings")
-    postings.groupBy("gram_").agg(F.count(F.lit(1)).alias("keys_")).write.mode("overwrite").parquet(f"{path}/counts")
+    postings.groupBy("gram_").agg(F.sum("n_").alias("keys_")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def _pattern_grams(q):
+    def cut(batches):
+        for batch in batches:
+            column = batch.column("pattern_")
+            grams = [_gram_ids(p, q) for p in column.to_pylist()]
+            rows = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            yield pa.RecordBatch.from_arrays([column.take(pa.array(rows)), pa.array(np.concatenate([np.zeros(0, np.int64), *grams]))],
+                                             names=["pattern_", "gram_"])
+    return cut
 
 
 def indexed_join(df, key, text, patterns, pattern, path, q=3):
@@ -101,11 +159,12 @@ def indexed_join(df, key, text, patterns, pattern, path, q=3):
     spark = df.sparkSession
     postings, counts = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts")
     wanted = staged(patterns.select(F.col(pattern).alias("pattern_")).where(F.length("pattern_") > 0).distinct(), "patterns")
-    grams = wanted.where(F.length("pattern_") >= q).select("pattern_", F.explode(qgrams(F.col("pattern_"), q)).alias("gram_"))
+    grams = wanted.where(F.length("pattern_") >= q).mapInArrow(_pattern_grams(q), "pattern_ string, gram_ long")
     rarest = (grams.join(counts, "gram_", "left").groupBy("pattern_")
               .agg(F.min_by("gram_", "keys_").alias("gram_"), F.count_if(F.col("keys_").isNull()).alias("unknown_"))
               .where("unknown_ = 0"))
-    near = postings.join(rarest.select("pattern_", "gram_"), "gram_").select("key_", "pattern_")
+    near = (postings.join(rarest.select("pattern_", "gram_"), "gram_")
+            .select(F.explode("keys_").alias("key_"), "pattern_").distinct())
     texts = df.select(F.col(key).alias("key_"), F.col(text).alias("text_"))
     found = texts.join(near, "key_").where(F.contains("text_", "pattern_")).select(
         F.col("key_").alias(key), F.col("pattern_").alias(pattern))
