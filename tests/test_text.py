@@ -1,11 +1,13 @@
 """Column functions on literal cases, and the quirks we fixed."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from versarium import patterns as P
+from versarium import rx
 from versarium.functions import arrays, classify as C, predicates as Q, sqlreg
 from versarium.functions import text as T
 from versarium.rx import Rx
@@ -218,3 +220,45 @@ def test_pattern_classes_are_unicode():
     with pytest.raises(ValueError):
         Rx(r"[\W]")
     assert re.search(r"\\p\{L\}", Rx(r"\w").java)
+
+
+def test_java_classes_hold_the_same_characters(spark):
+    codes = spark.createDataFrame([(chr(i),) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000], "c string")
+    wrong = [F.count_if(F.rlike("c", F.lit(flags + rx.expand(p, rx._JAVA_CLASSES))) != F.rlike("c", F.lit(flags + rx.expand(p)))).alias(f"w{i}_{j}")
+             for i, flags in enumerate(("(?d)", "(?diu)")) for j, p in enumerate((r"\s", r"\d", r"\w", r"\S", r"\W", r"[^\w\s]", r"[\d,]"))]
+    assert set(codes.agg(*wrong).first()) == {0}
+    assert r"\p{Z}" not in P.SPACES.java and r"\p{Z}" in P.SPACES.re2
+    for rule in P.BIBLIO_REFS:
+        same = F.rlike("c", F.lit(rule.java[:rule.java.index("]") + 1])) if rule.java.startswith("(?d)[") else None
+        if same is not None:  # the first letter alone
+            letter = rule.java[5]
+            assert codes.agg(F.count_if(same != F.rlike("c", F.lit(f"(?diu){letter}")))).first()[0] == 0
+
+
+def test_cleaning_by_what_a_text_holds_equals_the_plain_chain(spark):
+    rng = random.Random(5)
+    parts = ["Autor:", "AUTOR:", "TiTel Werk:", "Tag:", "ıdentifier:", "Time:", "cpG 1", "BKV", "sWkV", "Übersetzung (x):", "kommentar (y):", "lib. ıv",
+             "Hiſt. x", "e. İV", "c. 3", "CAP. 4", "§ 5", "nr. 6", "N. 7", "S. 8", "[9]", "(1)", "2.", ", de", ", 12", " 34", "AB 5", "http://x.y",
+             "www.z", "\n", " ", " ", " ", "\x1c", "  ", ",", ";", "..", "( )", "[ ]", "Priester", "Diakon X", "Max Muster", "Max, Muster.",
+             "wort", "ende", "K", "K:", "é", "٣", "²", "!", "„", "↩", "a b c Bischof", "𝄞"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 14))) for _ in range(6000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+
+    def slow(rule):
+        return lambda c: F.regexp_replace(c, f"(?d{rule.flags}{'u' if 'i' in rule.flags else ''})" + rx.expand(rule.pattern), rule.to)
+    steps = [P.TRIM_ARTIFACTS + P.PAGE_NUMBERS + P.FOOTNOTE_REFS[:2], P.FOOTNOTE_REFS[2:] + P.NUMBERING + P.WEB_ARTIFACTS, P.BIBLIO_REFS[:9], P.BIBLIO_REFS[9:]]
+    plain = df.select("t", F.col("t").alias("x"))
+    for rules in steps:
+        for rule in rules:
+            plain = plain.select("t", slow(rule)(F.col("x")).alias("x"))
+
+    def keep(line):
+        n = F.size(F.filter(F.split(F.regexp_replace(line, rx.expand(r"\s+"), " "), " "), lambda w: w != ""))
+        pair = (n == 2) & P.TWO_NAMES.found(F.regexp_replace(line, rx.expand(r"\A\s+|\s+\z"), ""))
+        return ~(((n <= 3) & P.NAME_TITLES.found(line)) | pair)
+    lines = F.array_join(F.filter(F.split("x", "\n", -1), keep), "\n")
+    plain = plain.select("t", F.when(P.PRIEST_OR_DEACON.found(F.col("x")), lines).otherwise(F.col("x")).alias("x"))
+    for rule in [*P.TIDY, P.EDGE_SPACE]:
+        plain = plain.select("t", slow(rule)(F.col("x")).alias("x"))
+    both = plain.select("t", "x", T.deep_clean(F.col("t")).alias("y"))
+    assert both.where("x != y").take(3) == []
